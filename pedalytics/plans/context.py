@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pedalytics import schemas as K
 from pedalytics.operators import marts as M
 from pedalytics.operators import staging as ST
-from pedalytics.sources import driver_tables
+from pedalytics.session import scratch_dir
+from pedalytics.sources import driver_tables, export
 
 
 class Tables:
@@ -56,5 +57,16 @@ class Tables:
                 self["stg_month_station_snapshot_map"])
         raise KeyError(name)
 
+    def source_files(self) -> str:
+        """Folder holding this context's raw tables written out as source files (made once)."""
+        if "_files" not in self.__dict__:
+            root = scratch_dir(self.spark, "source-files")
+            export.export_all({n: self[n] for n in K.RAW_TABLES}, root)
+            self.__dict__["_files"] = root
+        return self.__dict__["_files"]
+
+    def scratch(self, label: str) -> str:
+        return scratch_dir(self.spark, label)
+
     def many(self, *names: str) -> dict[str, DataFrame]:
         return {n: self[n] for n in names}
