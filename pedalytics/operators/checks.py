@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from pedalytics import schemas as K
 from pedalytics.functions import columns as C
+from pedalytics.operators.staging import literal_rows
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
@@ -229,7 +230,7 @@ def completeness_gate(spark: SparkSession, stg: dict[str, DataFrame]) -> DataFra
         seen = df.select(F.col(col).alias("month_ym")).distinct()
         frames.append(exp.join(seen, "month_ym", "left_anti")
                       .select(F.lit(name).alias("table_name"), "month_ym"))
-    snaps = spark.createDataFrame([(m,) for m in K.SNAPSHOT_MONTHS], "month_ym int")
+    snaps = literal_rows(spark, [(m,) for m in K.SNAPSHOT_MONTHS], ["month_ym"], ["int"])
     seen = stg["stg_station_snapshot"].select(F.col("snapshot_ym").alias("month_ym")).distinct()
     frames.append(snaps.join(seen, "month_ym", "left_anti")
                   .select(F.lit("stg_station_snapshot").alias("table_name"), "month_ym"))
@@ -238,6 +239,6 @@ def completeness_gate(spark: SparkSession, stg: dict[str, DataFrame]) -> DataFra
 
 def required_tables(spark: SparkSession, required: list[str], existing: list[str]) -> DataFrame:
     """Required table names that do not exist (empty = gate passes)."""
-    req = spark.createDataFrame([(t,) for t in required], "table_name string")
-    have = spark.createDataFrame([(t,) for t in existing], "table_name string")
+    req = literal_rows(spark, [(t,) for t in required], ["table_name"], ["string"])
+    have = literal_rows(spark, [(t,) for t in existing], ["table_name"], ["string"])
     return req.join(have, "table_name", "left_anti")

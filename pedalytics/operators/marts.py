@@ -55,19 +55,24 @@ def ride_by_segment(stg_ride: DataFrame, start: int = K.WARMUP_START,
 
 
 def growth_base(stg_signup: DataFrame, stg_ride: DataFrame) -> DataFrame:
-    """Spine of distinct segment keys, left-joined to signups and rides, zero-filled.
-
-    Both inputs are already aggregated to at most (months x segments) rows.
+    """Every segment-month present in signups or rides, zero-filled.
+
+    The reference builds a distinct key spine (UNION) and left-joins both
+    aggregates to it.  Both sides are already aggregated to unique
+    (month, gender, age band) keys that are never NULL (the standardisers
+    map missing values to UNKNOWN, the window filter drops NULL months), so
+    one full outer join yields exactly the spine with its values, and each
+    base table is scanned once instead of twice.
     """
-    signup = signup_by_segment(stg_signup)
-    ride = ride_by_segment(stg_ride)
-    keys = signup.select(*SEGMENT).union(ride.select(*SEGMENT)).distinct()
     on = ["month_ym", "gender", "age_band"]
-    s = signup.select(*on, F.col("signup_cnt").alias("_signup_cnt"))
-    r = ride.select(*on, F.col("sub_ride_cnt").alias("_sub"), F.col("total_ride_cnt").alias("_tot"))
+    s = signup_by_segment(stg_signup).select(
+        *on, F.col("month_date").alias("_sd"), F.col("signup_cnt").alias("_signup_cnt"))
+    r = ride_by_segment(stg_ride).select(
+        *on, F.col("month_date").alias("_rd"), F.col("sub_ride_cnt").alias("_sub"),
+        F.col("total_ride_cnt").alias("_tot"))
     zero = F.lit(0).cast("bigint")
-    return keys.join(s, on, "left").join(r, on, "left").select(
-        *SEGMENT,
+    return s.join(r, on, "full_outer").select(
+        "month_ym", F.coalesce("_sd", "_rd").alias("month_date"), "gender", "age_band",
         F.coalesce("_signup_cnt", zero).alias("signup_cnt"),
         F.coalesce("_sub", zero).alias("sub_ride_cnt"),
         F.coalesce("_tot", zero).alias("total_ride_cnt"))
@@ -103,20 +108,30 @@ def mart_growth_month(stg_signup: DataFrame, stg_ride: DataFrame) -> DataFrame:
 
 
 def ride_by_station(stg_ride: DataFrame) -> DataFrame:
-    """Rides per (month, station) inside the window, operations stations excluded."""
+    """Rides per (month, station) inside the window, operations stations excluded.
+
+    ``MAX(station_name)`` over text would force a sort-based aggregate over
+    every ride row.  The rows are therefore first reduced with a hash
+    aggregate keyed by (month, station, name) -- map-side partial
+    aggregation included -- and the max is taken over that small result.
+    """
     sub = F.when(F.col("pass_group") == K.SUBSCRIPTION, F.col("ride_cnt")) \
         .otherwise(F.lit(0).cast("bigint"))
     non = F.when(F.col("pass_group") == K.NON_SUBSCRIPTION, F.col("ride_cnt")) \
         .otherwise(F.lit(0).cast("bigint"))
-    return stg_ride.filter(_in_window() & F.col("station_id").isNotNull()
-                           & (F.col("is_ops_excluded") == 0)) \
-        .groupBy("month_ym", "month_date", "station_id").agg(
-            F.max("station_name").alias("station_name_from_ride"),
-            F.sum("ride_cnt").alias("total_ride_cnt"),
-            F.sum(sub).alias("sub_ride_cnt"),
-            F.sum(non).alias("non_sub_ride_cnt"),
-            F.sum("distance_m").alias("total_distance_m"),
-            F.sum("duration_min").alias("total_duration_min"))
+    keys = ["month_ym", "month_date", "station_id"]
+    per_name = stg_ride.filter(_in_window() & F.col("station_id").isNotNull()
+                               & (F.col("is_ops_excluded") == 0)) \
+        .groupBy(*keys, "station_name").agg(
+            F.sum("ride_cnt").alias("t"), F.sum(sub).alias("s"), F.sum(non).alias("n"),
+            F.sum("distance_m").alias("d"), F.sum("duration_min").alias("m"))
+    return per_name.groupBy(*keys).agg(
+        F.max("station_name").alias("station_name_from_ride"),
+        F.sum("t").alias("total_ride_cnt"),
+        F.sum("s").alias("sub_ride_cnt"),
+        F.sum("n").alias("non_sub_ride_cnt"),
+        F.sum("d").alias("total_distance_m"),
+        F.sum("m").alias("total_duration_min"))
 
 
 def station_joined(stg_ride: DataFrame, stg_snapshot: DataFrame, month_map: DataFrame) -> DataFrame:

@@ -91,9 +91,17 @@ def stg_station_usage_month(raw: DataFrame) -> DataFrame:
     )
 
 
+def literal_rows(spark: SparkSession, rows, names: list[str], types: list[str]) -> DataFrame:
+    """A small literal table planned as a JVM-side local relation (no Python round trip)."""
+    structs = [F.struct(*[F.lit(v).cast(t).alias(n) for v, n, t in zip(r, names, types)]) for r in rows]
+    if not structs:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in zip(names, types)])
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def month_snapshot_map(spark: SparkSession) -> DataFrame:
-    """The 24-row month -> snapshot lookup as a literal DataFrame."""
-    return spark.createDataFrame(list(K.MONTH_SNAPSHOT_MAP), K.MONTH_SNAPSHOT)
+    """The 24-row month -> snapshot lookup (primary key month_ym, checked by D19)."""
+    return literal_rows(spark, K.MONTH_SNAPSHOT_MAP, ["month_ym", "snapshot_ym"], ["int", "int"])
 
 
 STAGING = {
