@@ -42,19 +42,25 @@ def as_col(c: Column | str) -> Column:
 
 
 def lenient_long(c: Column | str) -> Column:
-    """Text -> bigint, longest integer prefix, 0 when none, NULL only for NULL."""
+    """Text -> bigint, longest integer prefix, 0 when none, NULL only for NULL.
+
+    The prefix regex always yields a well-formed number or '', so the cast
+    never fails (no exception path per row).
+    """
     c = as_col(c)
     digits = F.regexp_extract(c.cast("string"), _INT_PREFIX, 1)
-    return F.when(c.isNull(), F.lit(None).cast("bigint")).otherwise(
-        F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint")))
+    return F.when(c.isNotNull(), F.coalesce(digits.try_cast("bigint"), F.lit(0).cast("bigint")))
 
 
 def lenient_double(c: Column | str) -> Column:
-    """Text -> double, longest real prefix, 0.0 when none, NULL only for NULL."""
+    """Text -> double, longest real prefix, 0.0 when none, NULL only for NULL.
+
+    'nan' and 'inf' have no numeric prefix, so they become 0.0, never NaN or
+    infinity.
+    """
     c = as_col(c)
     digits = F.regexp_extract(c.cast("string"), _REAL_PREFIX, 1)
-    return F.when(c.isNull(), F.lit(None).cast("double")).otherwise(
-        F.coalesce(digits.try_cast("double"), F.lit(0.0)))
+    return F.when(c.isNotNull(), F.coalesce(digits.try_cast("double"), F.lit(0.0)))
 
 
 def strip_all(c: Column | str) -> Column:
@@ -154,9 +160,14 @@ def age_band(c: Column | str) -> Column:
 
 
 def gender(c: Column | str) -> Column:
-    """M / F (any case, trimmed), else UNKNOWN."""
-    u = F.upper(F.trim(as_col(c)))
-    return F.when(u == "M", F.lit("M")).when(u == "F", F.lit("F")).otherwise(F.lit(K.UNKNOWN))
+    """M / F (any case, trimmed), else UNKNOWN.
+
+    ``upper(trim(x)) = 'M'`` holds exactly for 'M' and 'm', so the test is an
+    ``isin`` on the trimmed text (no case mapping per row).
+    """
+    t = F.trim(as_col(c))
+    return F.when(t.isin("M", "m"), F.lit("M")).when(t.isin("F", "f"), F.lit("F")) \
+        .otherwise(F.lit(K.UNKNOWN))
 
 
 def pass_group(c: Column | str) -> Column:
@@ -175,13 +186,13 @@ def rack_cnt(op: Column | str, lcd: Column | str, qr: Column | str) -> Column:
             .otherwise(F.coalesce(qr, lcd, zero)))
 
 
-def ops_flag(station_id_raw: Column | str, station_name_raw: Column | str) -> Column:
+def ops_flag(station_id: Column | str, station_name_raw: Column | str) -> Column:
     """T5: 1 for the operations station (id 9980 or name containing AS센터), else 0.
 
-    Mirrors ``CASE WHEN id = 9980 OR name LIKE ... THEN 1 ELSE 0``: a NULL
-    predicate falls to the ELSE branch.
+    ``station_id`` is the already lenient-cast id.  Mirrors ``CASE WHEN
+    id = 9980 OR name LIKE ... THEN 1 ELSE 0``: a NULL predicate falls to ELSE.
     """
-    hit = (lenient_long(station_id_raw) == K.OPS_STATION_ID) | \
+    hit = (as_col(station_id) == K.OPS_STATION_ID) | \
         F.trim(as_col(station_name_raw)).ilike(K.OPS_STATION_PATTERN)
     return F.when(hit, F.lit(1)).otherwise(F.lit(0))
 

@@ -28,45 +28,64 @@ def stg_signup_month(raw: DataFrame) -> DataFrame:
     )
 
 
+def _cleaned(c: str) -> F.Column:
+    """Trim -> blank to NULL -> drop commas (the text part of T6)."""
+    return C.strip_commas(C.blank_to_null(c))
+
+
 def stg_ride_month(raw: DataFrame) -> DataFrame:
+    # Two projections: the cleaned texts are computed once, and the lenient
+    # casts (which read their input several times) refer to them as plain
+    # columns.  Catalyst keeps the projections apart instead of copying the
+    # text expressions into every use, so the generated code stays small.
     ym = F.col("ride_ym").cast("int")
-    return raw.select(
-        "source_file",
-        ym.alias("month_ym"),
-        C.month_date(ym).alias("month_date"),
-        C.lenient_long("station_id_raw").alias("station_id"),
+    text = raw.select(
+        "source_file", ym.alias("month_ym"), "station_id_raw",
         F.trim("station_name_raw").alias("station_name_raw"),
+        F.trim("pass_type_raw").alias("pass_type"), "gender_raw", "age_band_raw",
+        F.col("ride_cnt_raw").cast("bigint").alias("ride_cnt"),
+        *[_cleaned(f"{c}_raw").alias(f"_{c}") for c in NUMBERS],
+        "loaded_at")
+    typed = text.select(
+        "source_file", "month_ym", C.month_date("month_ym").alias("month_date"),
+        C.lenient_long("station_id_raw").alias("station_id"),
+        "station_name_raw",
         C.station_name_from_name("station_name_raw").alias("station_name"),
-        F.trim("pass_type_raw").alias("pass_type"),
-        C.pass_group("pass_type_raw").alias("pass_group"),
+        "pass_type",
+        C.pass_group("pass_type").alias("pass_group"),
         C.gender("gender_raw").alias("gender"),
         C.age_band("age_band_raw").alias("age_band"),
-        F.col("ride_cnt_raw").cast("bigint").alias("ride_cnt"),
-        C.clean_number("exercise_amt_raw").alias("exercise_amt"),
-        C.clean_number("carbon_amt_raw").alias("carbon_amt"),
-        C.clean_number("distance_m_raw").alias("distance_m"),
-        C.clean_number("duration_min_raw").alias("duration_min"),
-        C.ops_flag("station_id_raw", "station_name_raw").alias("is_ops_excluded"),
-        "loaded_at",
-    )
+        "ride_cnt",
+        *[C.lenient_double(f"_{c}").alias(c) for c in NUMBERS],
+        "loaded_at")
+    return typed.select(
+        "source_file", "month_ym", "month_date", "station_id", "station_name_raw", "station_name",
+        "pass_type", "pass_group", "gender", "age_band", "ride_cnt", *NUMBERS,
+        C.ops_flag("station_id", "station_name_raw").alias("is_ops_excluded"), "loaded_at")
+
+
+NUMBERS = ("exercise_amt", "carbon_amt", "distance_m", "duration_min")
 
 
 def stg_station_snapshot(raw: DataFrame) -> DataFrame:
-    base = raw.select(
+    text = raw.select(
         F.col("snapshot_ym").cast("int").alias("snapshot_ym"),
-        "source_file",
-        C.lenient_long("station_id_raw").alias("station_id"),
+        "source_file", "station_id_raw",
         F.trim("station_name_raw").alias("station_name"),
         F.trim("district_raw").alias("district"),
         F.trim("address_raw").alias("address"),
-        C.clean_number("lat_raw").alias("lat"),
-        C.clean_number("lon_raw").alias("lon"),
+        _cleaned("lat_raw").alias("_lat"), _cleaned("lon_raw").alias("_lon"),
         C.blank_to_null("installed_at_raw").alias("installed_at_raw"),
-        C.clean_long("rack_lcd_raw").alias("rack_lcd"),
-        C.clean_long("rack_qr_raw").alias("rack_qr"),
+        _cleaned("rack_lcd_raw").alias("_lcd"), _cleaned("rack_qr_raw").alias("_qr"),
         F.trim("operation_type_raw").alias("operation_type"),
         "loaded_at",
     )
+    base = text.select(
+        "snapshot_ym", "source_file", C.lenient_long("station_id_raw").alias("station_id"),
+        "station_name", "district", "address",
+        C.lenient_double("_lat").alias("lat"), C.lenient_double("_lon").alias("lon"),
+        "installed_at_raw", C.lenient_long("_lcd").alias("rack_lcd"),
+        C.lenient_long("_qr").alias("rack_qr"), "operation_type", "loaded_at")
     return base.filter(F.col("station_id").isNotNull()).select(
         "snapshot_ym", "source_file", "station_id", "station_name", "district", "address",
         "lat", "lon", "installed_at_raw", "rack_lcd", "rack_qr", "operation_type",
@@ -77,17 +96,17 @@ def stg_station_snapshot(raw: DataFrame) -> DataFrame:
 
 def stg_station_usage_month(raw: DataFrame) -> DataFrame:
     ym = F.col("usage_ym").cast("int")
-    return raw.select(
-        "source_file",
-        ym.alias("month_ym"),
-        C.month_date(ym).alias("month_date"),
-        F.trim("district_raw").alias("district"),
+    text = raw.select(
+        "source_file", ym.alias("month_ym"), F.trim("district_raw").alias("district"),
         F.trim("station_name_raw").alias("station_name_raw"),
+        F.col("checkout_cnt_raw").cast("bigint").alias("checkout_cnt"),
+        F.col("return_cnt_raw").cast("bigint").alias("return_cnt"), "loaded_at")
+    return text.select(
+        "source_file", "month_ym", C.month_date("month_ym").alias("month_date"), "district",
+        "station_name_raw",
         C.station_id_from_name("station_name_raw").alias("station_id"),
         C.station_name_from_name("station_name_raw").alias("station_name"),
-        F.col("checkout_cnt_raw").cast("bigint").alias("checkout_cnt"),
-        F.col("return_cnt_raw").cast("bigint").alias("return_cnt"),
-        "loaded_at",
+        "checkout_cnt", "return_cnt", "loaded_at",
     )
 
 

@@ -23,6 +23,10 @@ PIPELINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The JIT does not compile methods above 8000 bytecodes; a fused stage
+    # beyond that runs interpreted and slower than unfused operators.  Fall
+    # back exactly where the JIT would give up.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -107,7 +107,7 @@ def test_ops_flag_ignores_ascii_case(spark):
     rows = [("9980", "x"), ("9980.0", "x"), ("1", "중랑 as센터"), ("1", "AS센터"), ("1", "x"),
             (None, None), ("nan", "센터")]
     df = spark.createDataFrame(rows, "i string, n string")
-    assert [r[0] for r in df.select(C.ops_flag("i", "n")).collect()] == [1, 1, 1, 1, 0, 0, 0]
+    assert [r[0] for r in df.select(C.ops_flag(C.lenient_long("i"), "n")).collect()] == [1, 1, 1, 1, 0, 0, 0]
 
 
 def test_round_half_away_from_zero(spark):
