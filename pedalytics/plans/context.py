@@ -57,13 +57,19 @@ class Tables:
                 self["stg_month_station_snapshot_map"])
         raise KeyError(name)
 
-    def source_files(self) -> str:
-        """Folder holding this context's raw tables written out as source files (made once)."""
+    def source_files(self, *datasets: str) -> str:
+        """Folder holding this context's raw tables written out as source files.
+
+        Only the requested datasets (default: all) are written, each once.
+        """
         if "_files" not in self.__dict__:
-            root = scratch_dir(self.spark, "source-files")
-            export.export_all({n: self[n] for n in K.RAW_TABLES}, root)
-            self.__dict__["_files"] = root
-        return self.__dict__["_files"]
+            self.__dict__["_files"] = (scratch_dir(self.spark, "source-files"), set())
+        root, done = self.__dict__["_files"]
+        for ds in datasets or tuple(export.DATASET_TABLES):
+            if ds not in done:
+                export.export_dataset(self[export.DATASET_TABLES[ds]], ds, root)
+                done.add(ds)
+        return root
 
     def scratch(self, label: str) -> str:
         return scratch_dir(self.spark, label)

@@ -44,25 +44,25 @@ _USAGE_TEXT = ("district_raw", "station_name_raw")
 @query("raw_signup_month", f"SELECT {_select_norm(K.RAW_SIGNUP.fieldNames(), _SIGNUP_TEXT)} "
        "FROM raw_signup_month", "raw_signup_month")
 def _raw_signup(t: Tables) -> DataFrame:
-    return loaders.load_raw_signup_month(t.spark, t.source_files(), LOADED_AT)
+    return loaders.load_raw_signup_month(t.spark, t.source_files("signup_month"), LOADED_AT)
 
 
 @query("raw_ride_month", f"SELECT {_select_norm(K.RAW_RIDE.fieldNames(), _RIDE_TEXT)} FROM raw_ride_month",
        "raw_ride_month")
 def _raw_ride(t: Tables) -> DataFrame:
-    return loaders.load_raw_ride_month(t.spark, t.source_files(), LOADED_AT)
+    return loaders.load_raw_ride_month(t.spark, t.source_files("ride_month"), LOADED_AT)
 
 
 @query("raw_station_usage_month", f"SELECT {_select_norm(K.RAW_USAGE.fieldNames(), _USAGE_TEXT)} "
        "FROM raw_station_usage_month", "raw_station_usage_month")
 def _raw_usage(t: Tables) -> DataFrame:
-    return loaders.load_raw_station_usage_month(t.spark, t.source_files(), LOADED_AT)
+    return loaders.load_raw_station_usage_month(t.spark, t.source_files("station_usage_month"), LOADED_AT)
 
 
 @query("raw_station_snapshot", f"SELECT {_select_norm(K.RAW_SNAPSHOT.fieldNames(), K.SNAPSHOT_POSITIONAL_COLUMNS)} "
        "FROM raw_station_snapshot", "raw_station_snapshot")
 def _raw_snapshot(t: Tables) -> DataFrame:
-    return loaders.load_raw_station_snapshot(t.spark, t.source_files(), LOADED_AT)
+    return loaders.load_raw_station_snapshot(t.spark, t.source_files("station_snapshot"), LOADED_AT)
 
 
 @query("src_csv_multi_encoding", f"""
@@ -70,7 +70,7 @@ SELECT source_file, usage_ym, {norm('district_raw')} AS district_raw,
        {norm('station_name_raw')} AS station_name_raw, checkout_cnt_raw, return_cnt_raw
 FROM raw_station_usage_month""", "raw_station_usage_month")
 def _src_csv_multi_encoding(t: Tables) -> DataFrame:
-    return loaders.load_raw_station_usage_month(t.spark, t.source_files(), LOADED_AT).drop("loaded_at")
+    return loaders.load_raw_station_usage_month(t.spark, t.source_files("station_usage_month"), LOADED_AT).drop("loaded_at")
 
 
 # ---------------------------------------------------------------------------
@@ -101,7 +101,7 @@ FROM raw_station_usage_month"""
 
 @query("src_detect_encoding", _ENC_SQL, "raw_signup_month", "raw_ride_month", "raw_station_usage_month")
 def _src_detect_encoding(t: Tables) -> DataFrame:
-    root = t.source_files()
+    root = t.source_files(*K.PERIOD_COLUMNS)
     paths = [p for ds in K.PERIOD_COLUMNS for p in files.find_files(t.spark, root, ds)]
     info = files.detect_encodings(files.physical_files(t.spark, paths))
     return info.select(files.logical_file_name(F.col("path")).alias("file_name"), "encoding").distinct()
@@ -111,7 +111,7 @@ def _src_detect_encoding(t: Tables) -> DataFrame:
 SELECT source_file, '2026-01-01 00:00:00' AS loaded_at, COUNT(*) AS row_count
 FROM raw_ride_month GROUP BY source_file""", "raw_ride_month")
 def _src_lineage(t: Tables) -> DataFrame:
-    r = loaders.load_raw_ride_month(t.spark, t.source_files(), LOADED_AT)
+    r = loaders.load_raw_ride_month(t.spark, t.source_files("ride_month"), LOADED_AT)
     return r.groupBy("source_file", "loaded_at").agg(F.count(F.lit(1)).alias("row_count"))
 
 
@@ -120,7 +120,7 @@ SELECT source_file, COUNT(*) AS row_count,
        SUM(CASE WHEN {norm('distance_m_raw')} <> 'nan' THEN 1 ELSE 0 END) AS distance_rows
 FROM raw_ride_month GROUP BY source_file""", "raw_ride_month")
 def _src_schema_drift(t: Tables) -> DataFrame:
-    r = loaders.load_raw_ride_month(t.spark, t.source_files(), LOADED_AT)
+    r = loaders.load_raw_ride_month(t.spark, t.source_files("ride_month"), LOADED_AT)
     return r.groupBy("source_file").agg(
         F.count(F.lit(1)).alias("row_count"),
         F.sum(F.when(F.col("distance_m_raw") != "nan", 1).otherwise(0)).alias("distance_rows"))
@@ -133,7 +133,7 @@ def _src_schema_drift(t: Tables) -> DataFrame:
 SELECT source_file AS file_name, snapshot_ym, COUNT(*) AS data_rows
 FROM raw_station_snapshot GROUP BY source_file, snapshot_ym""", "raw_station_snapshot")
 def _src_xlsx_snapshot(t: Tables) -> DataFrame:
-    data = loaders.positional(loaders.workbook_rows(t.spark, t.source_files()))
+    data = loaders.positional(loaders.workbook_rows(t.spark, t.source_files("station_snapshot")))
     return data.na.drop("all", subset=list(K.SNAPSHOT_POSITIONAL_COLUMNS)) \
         .groupBy("file_name", "snapshot_ym").agg(F.count(F.lit(1)).alias("data_rows"))
 
@@ -142,7 +142,7 @@ def _src_xlsx_snapshot(t: Tables) -> DataFrame:
 SELECT DISTINCT source_file AS file_name, 2 AS header_row FROM raw_station_snapshot""",
        "raw_station_snapshot")
 def _src_header_row(t: Tables) -> DataFrame:
-    h = filecheck.header_rows(loaders.workbook_rows(t.spark, t.source_files()))
+    h = filecheck.header_rows(loaders.workbook_rows(t.spark, t.source_files("station_snapshot")))
     return h.groupBy("file_name").agg(F.max("header_row").alias("header_row"))
 
 
@@ -150,7 +150,7 @@ def _src_header_row(t: Tables) -> DataFrame:
 SELECT DISTINCT source_file AS file_name, snapshot_ym FROM raw_station_snapshot""",
        "raw_station_snapshot")
 def _src_snapshot_ym(t: Tables) -> DataFrame:
-    return loaders.workbook_rows(t.spark, t.source_files()).select("file_name", "snapshot_ym").distinct()
+    return loaders.workbook_rows(t.spark, t.source_files("station_snapshot")).select("file_name", "snapshot_ym").distinct()
 
 
 _XLSX_COLUMNS = ("대여소 번호, 보관소(대여소)명, 자치구, 상세주소, 위도, 경도, 설치 시기, 설치형태, "
@@ -164,7 +164,7 @@ FROM raw_station_snapshot GROUP BY source_file, snapshot_ym"""
 
 @query("chk_xlsx_files", _XLSX_SQL, "raw_station_snapshot")
 def _chk_xlsx_files(t: Tables) -> DataFrame:
-    return filecheck.xlsx_file_check(t.spark, t.source_files())
+    return filecheck.xlsx_file_check(t.spark, t.source_files("station_snapshot"))
 
 
 # ---------------------------------------------------------------------------
@@ -193,7 +193,7 @@ FROM raw_station_usage_month GROUP BY source_file"""
 
 @query("chk_csv_files", _CSV_SQL, "raw_signup_month", "raw_ride_month", "raw_station_usage_month")
 def _chk_csv_files(t: Tables) -> DataFrame:
-    return filecheck.csv_file_checks(t.spark, t.source_files())
+    return filecheck.csv_file_checks(t.spark, t.source_files(*K.PERIOD_COLUMNS))
 
 
 @query("chk_dataset_summary", f"""
@@ -214,7 +214,7 @@ def _chk_dataset_summary(t: Tables) -> DataFrame:
 def _src_sample_json(t: Tables) -> DataFrame:
     # first two rows of each dataset's first file: the row order inside a file depends on how
     # the files were cut into parts, so only the row count is compared
-    return filecheck.sample_preview(t.spark, t.source_files())
+    return filecheck.sample_preview(t.spark, t.source_files(*K.PERIOD_COLUMNS))
 
 
 # ---------------------------------------------------------------------------

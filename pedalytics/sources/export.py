@@ -113,7 +113,16 @@ def export_xlsx(raw_snapshot: DataFrame, root: str) -> int:
     return manifest.agg(F.sum("rows")).first()[0] or 0
 
 
+DATASET_TABLES = {"signup_month": "raw_signup_month", "ride_month": "raw_ride_month",
+                  "station_usage_month": "raw_station_usage_month",
+                  "station_snapshot": "raw_station_snapshot"}
+
+
+def export_dataset(raw: DataFrame, dataset: str, root: str) -> int:
+    if dataset == "station_snapshot":
+        return export_xlsx(raw, root)
+    return export_csv(raw, dataset, root)
+
+
 def export_all(raw: dict[str, DataFrame], root: str) -> dict[str, int]:
-    out = {ds: export_csv(raw[CSV_LAYOUT[ds][0]], ds, root) for ds in CSV_LAYOUT}
-    out["station_snapshot"] = export_xlsx(raw["raw_station_snapshot"], root)
-    return out
+    return {ds: export_dataset(raw[t], ds, root) for ds, t in DATASET_TABLES.items()}

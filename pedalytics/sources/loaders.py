@@ -36,16 +36,24 @@ def _normalise(df: DataFrame, schema, loaded_at: str | None) -> DataFrame:
     return df.select(*out)
 
 
-def load_csv_dataset(spark: SparkSession, root: str, dataset: str, loaded_at: str | None = None) -> DataFrame:
-    mapping, schema = {
-        "signup_month": (K.SIGNUP_SOURCE_COLUMNS, K.RAW_SIGNUP),
-        "ride_month": (K.RIDE_SOURCE_COLUMNS, K.RAW_RIDE),
-        "station_usage_month": (K.USAGE_SOURCE_COLUMNS, K.RAW_USAGE),
-    }[dataset]
-    paths = files.find_files(spark, root, dataset)
+CSV_DATASETS = {
+    "signup_month": (K.SIGNUP_SOURCE_COLUMNS, K.RAW_SIGNUP),
+    "ride_month": (K.RIDE_SOURCE_COLUMNS, K.RAW_RIDE),
+    "station_usage_month": (K.USAGE_SOURCE_COLUMNS, K.RAW_USAGE),
+}
+
+
+def load_csv_files(spark: SparkSession, paths: list[str], dataset: str,
+                   loaded_at: str | None = None) -> DataFrame:
+    """Given CSV files (or part folders) of one dataset -> its raw table."""
+    mapping, schema = CSV_DATASETS[dataset]
     return _normalise(files.read_dataset_csv(spark, paths, mapping), schema, loaded_at)
 
 
+def load_csv_dataset(spark: SparkSession, root: str, dataset: str, loaded_at: str | None = None) -> DataFrame:
+    return load_csv_files(spark, files.find_files(spark, root, dataset), dataset, loaded_at)
+
+
 def load_raw_signup_month(spark, root, loaded_at=None) -> DataFrame:
     """S16."""
     return load_csv_dataset(spark, root, "signup_month", loaded_at)
@@ -61,9 +69,10 @@ def load_raw_station_usage_month(spark, root, loaded_at=None) -> DataFrame:
     return load_csv_dataset(spark, root, "station_usage_month", loaded_at)
 
 
-def workbook_rows(spark: SparkSession, root: str) -> DataFrame:
+def workbook_rows(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
     """Sheet rows of every snapshot workbook, with the logical file name and snapshot month."""
-    paths = files.find_files(spark, root, "station_snapshot")
+    if paths is None:
+        paths = files.find_files(spark, root, "station_snapshot")
     if not paths:
         return spark.createDataFrame([], xlsx.SHEET_ROWS).select(
             "*", F.lit(None).cast("string").alias("file_name"),
@@ -82,9 +91,10 @@ def positional(rows: DataFrame) -> DataFrame:
     return rows.filter(F.col("row_idx") >= SKIP_ROWS).select("snapshot_ym", "file_name", *cols)
 
 
-def load_raw_station_snapshot(spark: SparkSession, root: str, loaded_at: str | None = None) -> DataFrame:
+def load_raw_station_snapshot(spark: SparkSession, root: str | None, loaded_at: str | None = None,
+                              paths: list[str] | None = None) -> DataFrame:
     """Positional read -> drop empty rows -> keep numeric ids -> text normalisation."""
-    data = positional(workbook_rows(spark, root))
+    data = positional(workbook_rows(spark, root, paths))
     data = data.na.drop("all", subset=list(K.SNAPSHOT_POSITIONAL_COLUMNS)) \
         .filter(C.is_numeric_text("station_id_raw"))
     out = [F.col("snapshot_ym").cast("int").alias("snapshot_ym"),
