@@ -45,7 +45,10 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
                .config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
                .config("spark.driver.memory", os.environ.get("PEDALYTICS_DRIVER_MEMORY", "16g"))
-               .config("spark.sql.execution.arrow.pyspark.enabled", "true"))
+               .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+               # call-site capture on every Column call makes building the
+               # (expression-heavy) plans several times slower
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false"))
     for k, v in PIPELINE_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

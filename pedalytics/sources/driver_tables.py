@@ -26,7 +26,29 @@ YEAR_SHIFT = 28  # moves 1995-2001 ship dates onto 2023-2029
 
 
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Scan of a driver table, spread over the cluster when it has too few splits.
+
+    A file written as a single row group is one split, so one task would do
+    all row-level work.  Such a scan is spread round-robin over the
+    session's parallelism; a large table already has more splits than
+    cores and is left alone (no extra shuffle).
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    want = spark.sparkContext.defaultParallelism
+    if want > 1 and _splits(df, path) < want:
+        return df.repartition(want)
+    return df
+
+
+_SPLITS: dict[str, int] = {}
+
+
+def _splits(df: DataFrame, path: str) -> int:
+    """Number of scan splits (planning metadata only, no job)."""
+    if path not in _SPLITS:
+        _SPLITS[path] = df._jdf.rdd().getNumPartitions()
+    return _SPLITS[path]
 
 
 def _ym(ts: Column) -> Column:
