@@ -118,9 +118,16 @@ def literal_rows(spark: SparkSession, rows, names: list[str], types: list[str])
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+_MAPS: dict[tuple[int, str], DataFrame] = {}
+
+
 def month_snapshot_map(spark: SparkSession) -> DataFrame:
     """The 24-row month -> snapshot lookup (primary key month_ym, checked by D19)."""
-    return literal_rows(spark, K.MONTH_SNAPSHOT_MAP, ["month_ym", "snapshot_ym"], ["int", "int"])
+    key = (id(spark), spark.sparkContext.applicationId)
+    if key not in _MAPS:
+        _MAPS[key] = literal_rows(spark, K.MONTH_SNAPSHOT_MAP, ["month_ym", "snapshot_ym"],
+                                  ["int", "int"])
+    return _MAPS[key]
 
 
 STAGING = {

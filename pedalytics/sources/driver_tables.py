@@ -25,30 +25,41 @@ LOADED_AT = "2026-01-01 00:00:00"
 YEAR_SHIFT = 28  # moves 1995-2001 ship dates onto 2023-2029
 
 
+SPREAD_BYTES = 1 << 20  # at least this much input per extra partition
+
+
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Scan of a driver table, spread over the cluster when it has too few splits.
 
     A file written as a single row group is one split, so one task would do
-    all row-level work.  Such a scan is spread round-robin over the
-    session's parallelism; a large table already has more splits than
-    cores and is left alone (no extra shuffle).
+    all row-level work.  Such a scan is spread round-robin over up to the
+    session's parallelism (one partition per MiB of input at most); a large
+    table already has more splits than cores and a tiny one is not worth a
+    shuffle, so both are left alone.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    want = spark.sparkContext.defaultParallelism
-    if want > 1 and _splits(df, path) < want:
-        return df.repartition(want)
-    return df
-
-
-_SPLITS: dict[str, int] = {}
-
-
-def _splits(df: DataFrame, path: str) -> int:
-    """Number of scan splits (planning metadata only, no job)."""
-    if path not in _SPLITS:
-        _SPLITS[path] = df._jdf.rdd().getNumPartitions()
-    return _SPLITS[path]
+    key = (id(spark), spark.sparkContext.applicationId, path)
+    if key not in _SCANS:
+        df = spark.read.parquet(path)
+        splits, size = _scan_shape(spark, df, path)
+        want = min(spark.sparkContext.defaultParallelism, size // SPREAD_BYTES)
+        _SCANS[key] = df.repartition(int(want)) if want > splits else df
+    return _SCANS[key]
+
+
+# scans are immutable plans over read-only inputs: one per (session, table) is reused
+_SCANS: dict[tuple[int, str, str], DataFrame] = {}
+_SHAPE: dict[str, tuple[int, int]] = {}
+
+
+def _scan_shape(spark: SparkSession, df: DataFrame, path: str) -> tuple[int, int]:
+    """(scan splits, input bytes) from planning and file metadata; no job runs."""
+    if path not in _SHAPE:
+        jvm = spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+        _SHAPE[path] = (df._jdf.rdd().getNumPartitions(), int(size))
+    return _SHAPE[path]
 
 
 def _ym(ts: Column) -> Column:
