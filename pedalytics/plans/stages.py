@@ -32,8 +32,12 @@ def table_path(root: str, name: str) -> str:
 def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> str:
     """S20 (append) / S21 (overwrite, dynamic by partition) / S23 (CTAS) as a Parquet write."""
     path = table_path(root, name)
-    w = df.write.mode(mode)
     part = PARTITIONED.get(name)
+    # REBALANCE lets AQE size the written files: rows of one month meet in
+    # few tasks (no file per task per month), a month bigger than the
+    # advisory size is split over several tasks, small outputs are coalesced.
+    df = df.hint("rebalance", part) if part else df.hint("rebalance")
+    w = df.write.mode(mode)
     if part:
         w = w.partitionBy(part)
     w.parquet(path)
