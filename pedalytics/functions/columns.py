@@ -63,9 +63,18 @@ def lenient_double(c: Column | str) -> Column:
     return F.when(c.isNotNull(), F.coalesce(digits.try_cast("double"), F.lit(0.0)))
 
 
+# The characters Python's str.strip() removes (str.isspace() is true).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+                 "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip_all(c: Column | str) -> Column:
-    """Strip every kind of leading/trailing whitespace (Python ``str.strip``)."""
-    return F.regexp_replace(as_col(c), r"^\s+|\s+$", "")
+    """Strip leading/trailing whitespace exactly like Python's ``str.strip``.
+
+    Includes the Unicode spaces (e.g. the ideographic space U+3000), which
+    ``trim`` and the regex class ``\\s`` leave in place.
+    """
+    return F.btrim(as_col(c), F.lit(PY_WHITESPACE))
 
 
 def null_tokens(c: Column | str) -> Column:

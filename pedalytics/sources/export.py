@@ -1,11 +1,11 @@
 """Write raw tables out as source files (CSV in the source encodings, XLSX workbooks).
 
 Used to exercise the file ingest on data derived from the driver tables.
-Each Spark task writes the rows of its own partition into part files of
-the logical source file they belong to
-(``<root>/<folder>/<source_file>/part-<partition>-<batch>.<ext>``), so no
-file, group or table passes through the driver or a single task.  Part
-names are deterministic, so a retried task overwrites its own output.
+Each Spark task writes the rows of its own partition into one part file
+per logical source file it holds
+(``<root>/<folder>/<source_file>/part-<partition>.<ext>``), so no file,
+group or table passes through the driver or a single task.  Part names
+are deterministic, so a retried task overwrites its own output.
 """
 
 from __future__ import annotations
@@ -49,26 +49,35 @@ def csv_encoding(dataset: str, ym: Column) -> Column:
     return F.lit("cp949")
 
 
-def _part_name(ctx_seq: int, ext: str) -> str:
+def _part_name(ext: str) -> str:
     tc = TaskContext.get()
     pid = tc.partitionId() if tc is not None else 0
-    return f"part-{pid:05d}-{ctx_seq:04d}.{ext}"
+    return f"part-{pid:05d}.{ext}"
 
 
 def _csv_writer(headers_by_drift: dict[bool, list[str]], folder: str):
+    """One part file per task and logical file; batches are streamed into it."""
     def write(it):
-        seq = 0
-        for pdf in it:
-            out = []
-            for (name, enc, drift), g in pdf.groupby(["_file", "_enc", "_drift"], sort=False):
-                body = g.drop(columns=["_file", "_enc", "_drift"])
-                body.columns = headers_by_drift[bool(drift)]
-                data = body.to_csv(index=False, lineterminator="\n").encode(enc)
-                path = f"{folder}/{name}/{_part_name(seq, 'csv')}"
-                fs.write_bytes(path, data)
-                out.append((path, len(g)))
-                seq += 1
-            yield pd.DataFrame(out, columns=["path", "rows"])
+        streams: dict[str, tuple] = {}
+        try:
+            for pdf in it:
+                for (name, enc, drift), g in pdf.groupby(["_file", "_enc", "_drift"], sort=False):
+                    body = g.drop(columns=["_file", "_enc", "_drift"])
+                    body.columns = headers_by_drift[bool(drift)]
+                    if name not in streams:
+                        path = f"{folder}/{name}/{_part_name('csv')}"
+                        streams[name] = (path, fs.open_output(path), [0])
+                        # header (and the byte-order mark of utf-8-sig) once per file
+                        data = body.to_csv(index=False, lineterminator="\n").encode(enc)
+                    else:
+                        data = body.to_csv(index=False, header=False, lineterminator="\n") \
+                            .encode("utf-8" if enc == "utf-8-sig" else enc)
+                    streams[name][1].write(data)
+                    streams[name][2][0] += len(g)
+        finally:
+            for _, stream, _ in streams.values():
+                stream.close()
+        yield pd.DataFrame([(p, n[0]) for p, _, n in streams.values()], columns=["path", "rows"])
     return write
 
 
@@ -90,17 +99,19 @@ def export_csv(raw: DataFrame, dataset: str, root: str) -> int:
 
 
 def _xlsx_writer(folder: str):
+    """One workbook per task and snapshot file (a workbook cannot be appended to)."""
     def write(it):
-        seq = 0
+        rows: dict[str, list] = {}
         for pdf in it:
-            out = []
             for name, g in pdf.groupby("_file", sort=False):
-                rows = g[list(K.SNAPSHOT_POSITIONAL_COLUMNS)].itertuples(index=False, name=None)
-                path = f"{folder}/{name}/{_part_name(seq, 'xlsx')}"
-                fs.write_bytes(path, xlsx.write_workbook(list(rows)))
-                out.append((path, len(g)))
-                seq += 1
-            yield pd.DataFrame(out, columns=["path", "rows"])
+                rows.setdefault(name, []).extend(
+                    g[list(K.SNAPSHOT_POSITIONAL_COLUMNS)].itertuples(index=False, name=None))
+        out = []
+        for name, rs in rows.items():
+            path = f"{folder}/{name}/{_part_name('xlsx')}"
+            fs.write_bytes(path, xlsx.write_workbook(rs))
+            out.append((path, len(rs)))
+        yield pd.DataFrame(out, columns=["path", "rows"])
     return write
 
 

@@ -114,15 +114,17 @@ def logical_file_name(path: Column) -> Column:
     """The source file name of a row.
 
     For a folder of part files (``name.csv/part-00000.csv``) it is the
-    folder's name, otherwise the file's own name.
+    folder's name, otherwise the file's own name.  Plain substring search,
+    no regex: this runs once per scanned row.
     """
-    parent = F.regexp_extract(path, r"([^/]+)/part-[^/]+$", 1)
-    return F.when(parent != "", parent).otherwise(F.regexp_extract(path, r"([^/]+)$", 1))
+    leaf = F.substring_index(path, "/", -1)
+    parent = F.substring_index(F.substring_index(path, "/", -2), "/", 1)
+    return F.when(leaf.startswith("part-"), parent).otherwise(leaf)
 
 
-def scan_path_name() -> Column:
-    """File path of the row being scanned, URL-decoded."""
-    return C.decoded_file_name(F.col("_metadata.file_path"))
+def scan_file_name() -> Column:
+    """Source file name of the row being scanned (the scan reports URL-encoded paths)."""
+    return C.decoded_file_name(logical_file_name(F.col("_metadata.file_path")))
 
 
 def clean_col_name(name: str) -> str:
@@ -154,7 +156,7 @@ def read_csv_group(spark: SparkSession, paths: list[str], encoding: str) -> Data
     """S3: Spark CSV scan of files sharing an encoding and header, all columns as text."""
     return (spark.read.option("header", True).option("encoding", SPARK_ENCODING[encoding])
             .option("mode", "PERMISSIVE").option("inferSchema", False).csv(paths)
-            .select("*", logical_file_name(scan_path_name()).alias("_source_file")))
+            .select("*", scan_file_name().alias("_source_file")))
 
 
 def file_groups(info: DataFrame) -> list[tuple[str, str, list[str]]]:

@@ -30,6 +30,15 @@ def read_head(path: str, n: int) -> bytes:
         return f.read(n)
 
 
+def open_output(path: str):
+    """A writable stream at ``path`` (parent folders created)."""
+    fs, p = resolve(path)
+    parent = p.rsplit("/", 1)[0]
+    if parent:
+        fs.create_dir(parent, recursive=True)
+    return fs.open_output_stream(p)
+
+
 def write_bytes(path: str, data: bytes) -> None:
     fs, p = resolve(path)
     parent = p.rsplit("/", 1)[0]

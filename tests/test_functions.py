@@ -136,3 +136,9 @@ def test_decoded_file_name(spark):
 def test_keyword_score(spark):
     assert one(spark, C.keyword_score, "대여소 번호 자치구 위도") == 3
     assert one(spark, C.keyword_score, None) == 0
+
+
+def test_strip_all_matches_python_strip(spark):
+    vals = ["　 30대\xa0\t", " x ", "y ", "", "a b", "\x1c\n"]
+    df = spark.createDataFrame([(v,) for v in vals], "v string")
+    assert [r[0] for r in df.select(C.strip_all("v")).collect()] == [v.strip() for v in vals]
