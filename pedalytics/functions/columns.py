@@ -19,7 +19,7 @@ from pedalytics import schemas as K
 
 __all__ = [
     "as_col", "lenient_long", "lenient_double", "null_tokens", "to_int_coerce", "month_date",
-    "strip_commas", "blank_to_null", "station_split", "station_id_from_name",
+    "strip_commas", "blank_to_null", "station_id_from_name",
     "station_name_from_name", "round_half_up", "safe_ratio", "age_band", "gender",
     "pass_group", "rack_cnt", "ops_flag", "clean_number", "clean_long", "strip_all",
     "is_numeric_text", "snapshot_ym_from_name", "keyword_score", "decoded_file_name",
@@ -143,10 +143,6 @@ def station_name_from_name(c: Column | str) -> Column:
     return F.when(_dot(t) > 0, F.trim(F.substr(t, _dot(t) + 1))).otherwise(t)
 
 
-def station_split(c: Column | str) -> tuple[Column, Column]:
-    return station_id_from_name(c), station_name_from_name(c)
-
-
 def round_half_up(c: Column | str, digits: int) -> Column:
     """ROUND(x, n), half away from zero, on doubles."""
     return F.round(as_col(c).cast("double"), digits)

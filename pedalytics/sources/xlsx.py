@@ -19,7 +19,6 @@ from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pedalytics import schemas as K
@@ -175,9 +174,3 @@ def write_workbook(rows: list[tuple], sheet: str = K.SNAPSHOT_SHEET) -> bytes:
         for name, body in parts.items():
             z.writestr(name, '<?xml version="1.0" encoding="UTF-8" standalone="yes"?>' + body)
     return buf.getvalue()
-
-
-def keep_numeric_id(cells_col: str = "cells"):
-    """P12 on the first cell."""
-    d = F.trim(F.col(cells_col)[0]).try_cast("double")
-    return d.isNotNull() & ~F.isnan(d)
