@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pedalytics import schemas as K
 from pedalytics.functions import columns as C
+from pedalytics.session import session_key
 
 
 def stg_signup_month(raw: DataFrame) -> DataFrame:
@@ -123,7 +124,7 @@ _MAPS: dict[tuple[int, str], DataFrame] = {}
 
 def month_snapshot_map(spark: SparkSession) -> DataFrame:
     """The 24-row month -> snapshot lookup (primary key month_ym, checked by D19)."""
-    key = (id(spark), spark.sparkContext.applicationId)
+    key = session_key(spark)
     if key not in _MAPS:
         _MAPS[key] = literal_rows(spark, K.MONTH_SNAPSHOT_MAP, ["month_ym", "snapshot_ym"],
                                   ["int", "int"])

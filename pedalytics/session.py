@@ -56,6 +56,15 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
     return configure(spark)
 
 
+def session_key(spark: SparkSession) -> tuple[int, str]:
+    """Identity of a live session, for reusing plans built on it."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - remote sessions expose no context
+        app = ""
+    return id(spark), app
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

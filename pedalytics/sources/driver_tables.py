@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pedalytics import schemas as K
+from pedalytics.session import session_key
 
 LOADED_AT = "2026-01-01 00:00:00"
 YEAR_SHIFT = 28  # moves 1995-2001 ship dates onto 2023-2029
@@ -38,11 +39,14 @@ def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     shuffle, so both are left alone.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
+    key = (*session_key(spark), path)
     if key not in _SCANS:
         df = spark.read.parquet(path)
-        splits, size = _scan_shape(spark, df, path)
-        want = min(spark.sparkContext.defaultParallelism, size // SPREAD_BYTES)
+        try:
+            splits, size = _scan_shape(spark, df, path)
+            want = min(spark.sparkContext.defaultParallelism, size // SPREAD_BYTES)
+        except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): plain scan
+            splits, want = 1, 0
         _SCANS[key] = df.repartition(int(want)) if want > splits else df
     return _SCANS[key]
 
