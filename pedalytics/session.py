@@ -7,9 +7,12 @@ session for tests and benchmarks only.
 
 from __future__ import annotations
 
+import hashlib
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -34,9 +37,43 @@ def configure(spark: SparkSession) -> SparkSession:
     for k, v in PIPELINE_CONF.items():
         if spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[tuple[int, str]] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers (``addPyFile``), once per session.
+
+    The per-partition functions (encoding detection, workbook reading, file
+    export) live in this package; executors import them from the zip, which
+    is written to the shared checkpoint folder.
+    """
+    key = session_key(spark)
+    if key in _SHIPPED:
+        return
+    from pedalytics.sources import fs  # local import: fs only needs pyarrow
+
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in sorted(os.walk(pkg)):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    data = buf.getvalue()
+    path = f"{checkpoint_root(spark)}/pyfiles/pedalytics-{hashlib.sha1(data).hexdigest()[:16]}.zip"
+    try:
+        fs.write_bytes(path, data)
+        spark.sparkContext.addPyFile(path)
+    except Exception:  # noqa: BLE001 - already registered, or a session without a context
+        pass
+    _SHIPPED.add(key)
+
+
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
                   app: str = "pedalytics") -> SparkSession:
     """A local session for tests and benchmarks (UI off, small shuffle)."""
@@ -56,6 +93,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
     return configure(spark)
 
 
+
 def session_key(spark: SparkSession) -> tuple[int, str]:
     """Identity of a live session, for reusing plans built on it."""
     try:
