@@ -117,7 +117,7 @@ def _src_lineage(t: Tables) -> DataFrame:
 
 @query("src_schema_drift", f"""
 SELECT source_file, COUNT(*) AS row_count,
-       SUM(CASE WHEN {norm('distance_m_raw')} <> 'nan' THEN 1 ELSE 0 END) AS distance_rows
+       CAST(SUM(CASE WHEN {norm('distance_m_raw')} <> 'nan' THEN 1 ELSE 0 END) AS BIGINT) AS distance_rows
 FROM raw_ride_month GROUP BY source_file""", "raw_ride_month")
 def _src_schema_drift(t: Tables) -> DataFrame:
     r = loaders.load_raw_ride_month(t.spark, t.source_files("ride_month"), LOADED_AT)

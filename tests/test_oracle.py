@@ -16,6 +16,8 @@ SF = os.environ.get("PEDALYTICS_SF", "/root/testdata/sf0.001")
 DEFAULT = ["stg_ride_month", "mart_signup_segment_month", "mart_ride_segment_month", "mart_growth_month",
            "mart_station_efficiency_month", "dq_join_success", "dq_station_match", "topk_rides_per_rack",
            "fn_lenient_double", "dq_null_counts", "raw_ride_month", "chk_xlsx_files"]
+DUCK_TO_SPARK = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string",
+                 "BOOLEAN": "boolean"}
 KEYS = sorted(E.oracle_sql()) if os.environ.get("PEDALYTICS_FULL") else DEFAULT
 
 
@@ -45,6 +47,9 @@ def test_query_matches_oracle(spark, duck, name):
     got = _sorted(tuple(_norm(r[c]) for c in cols) for r in df.collect())
     rel = duck.sql(E.oracle_sql()[name])
     assert sorted(rel.columns) == cols
+    spark_types = dict(df.dtypes)
+    for c, ty in zip(rel.columns, rel.types):
+        assert DUCK_TO_SPARK.get(str(ty), str(ty)) == spark_types[c], (c, str(ty), spark_types[c])
     idx = [rel.columns.index(c) for c in cols]
     want = _sorted(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
     assert got == want
