@@ -46,7 +46,11 @@ def _col_index(ref: str) -> int:
 
 
 def _text(node) -> str:
-    return "".join(t.text or "" for t in node.iter(f"{{{NS['m']}}}t"))
+    """Text of a string item: its own <t> plus rich-text runs; phonetic guides (<rPh>) ignored."""
+    parts = [t.text or "" for t in node.findall("m:t", NS)]
+    for run in node.findall("m:r", NS):
+        parts += [t.text or "" for t in run.findall("m:t", NS)]
+    return "".join(parts)
 
 
 def read_sheet(data: bytes, preferred: str = K.SNAPSHOT_SHEET):

@@ -110,3 +110,13 @@ def test_part_folders_are_one_logical_file(spark, tmp_root):
     raw = loaders.load_raw_signup_month(spark, tmp_root, "L")
     assert raw.select("source_file").distinct().collect()[0][0].endswith("_x.csv")
     assert raw.agg(F.sum("signup_cnt_raw")).first()[0] == 3
+
+
+def test_shared_strings_rich_text_and_phonetic_runs():
+    from xml.etree import ElementTree as ET
+    m = xlsx.NS["m"]
+    si = ET.fromstring(f'<si xmlns="{m}"><r><t>망원</t></r><r><t>역</t></r>'
+                       '<rPh sb="0" eb="1"><t>phonetic</t></rPh></si>')
+    assert xlsx._text(si) == "망원역"
+    plain = ET.fromstring(f'<si xmlns="{m}"><t xml:space="preserve"> 대여소 </t></si>')
+    assert xlsx._text(plain) == " 대여소 "
