@@ -70,9 +70,14 @@ def read_sheet(data: bytes, preferred: str = K.SNAPSHOT_SHEET):
             shared = [_text(si) for si in sst.findall("m:si", NS)]
         ws = ET.fromstring(z.read(target))
     rows = []
+    last_row = -1
     for row in ws.iter(f"{{{NS['m']}}}row"):
+        # row and cell references are optional: fall back to counting positions
+        last_row = int(row.get("r")) - 1 if row.get("r") else last_row + 1
         cells: dict[int, str] = {}
+        last_col = -1
         for c in row.findall("m:c", NS):
+            last_col = _col_index(c.get("r")) if c.get("r") else last_col + 1
             kind, v = c.get("t"), c.find("m:v", NS)
             if kind == "s" and v is not None:
                 val = shared[int(v.text)]
@@ -83,9 +88,9 @@ def read_sheet(data: bytes, preferred: str = K.SNAPSHOT_SHEET):
             else:
                 val = v.text if v is not None else None
             if val is not None and val != "":
-                cells[_col_index(c.get("r"))] = val
+                cells[last_col] = val
         width = max(cells) + 1 if cells else 0
-        rows.append((int(row.get("r")) - 1, [cells.get(i) for i in range(width)]))
+        rows.append((last_row, [cells.get(i) for i in range(width)]))
     return names, used, rows
 
 

@@ -120,3 +120,20 @@ def test_shared_strings_rich_text_and_phonetic_runs():
     assert xlsx._text(si) == "망원역"
     plain = ET.fromstring(f'<si xmlns="{m}"><t xml:space="preserve"> 대여소 </t></si>')
     assert xlsx._text(plain) == " 대여소 "
+
+
+def test_workbook_without_cell_references():
+    import io
+    import re
+    import zipfile
+    src = zipfile.ZipFile(io.BytesIO(xlsx.write_workbook([("7", "x")])))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w") as z:
+        for n in src.namelist():
+            body = src.read(n)
+            if n == "xl/worksheets/sheet1.xml":
+                body = re.sub(rb' r="[A-Z0-9]+"', b"", body)
+            z.writestr(n, body)
+    _, _, rows = xlsx.read_sheet(buf.getvalue())
+    assert [r[0] for r in rows] == list(range(len(rows)))
+    assert rows[-1][1][:2] == ["7", "x"]
