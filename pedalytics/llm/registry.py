@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from pedalytics.llm.common import table
 from pedalytics.llm.exact_dedup import exact_groups
 from pedalytics.llm.mixing import mix_spans, taken_words
+from pedalytics.llm.packing import pack
+from pedalytics.llm.quality import score_quality
 from pedalytics.llm.sharding import shard_rows
 
 
@@ -20,6 +22,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = taken_words(*mix_spans(table(spark, sf_dir, "documents")))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -29,7 +35,18 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_sharding": op1_sharding, "op7_mixing": op7_mixing, "op8_exact_dedup": op8_exact_dedup}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+QUERIES = {
+    "op1_sharding": op1_sharding,
+    "op3_packing": op3_packing,
+    "op7_mixing": op7_mixing,
+    "op8_exact_dedup": op8_exact_dedup,
+    "op10_quality": op10_quality,
+}
 
 ORACLE = {
     "op8_exact_dedup": r"""
