@@ -53,8 +53,9 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def _decide(rows: DataFrame, group: list[str]) -> DataFrame:
     longest = rows.groupBy(*group, "n").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("first"))
-    keep = longest.groupBy(*group).agg(F.sum("c").alias("group_size"),
-                                       F.max_by("first", "n").alias("keep_id"))
+    # stored, so that the join below has a plain exchange on either side and a hot group's rows can be split
+    keep = materialize(longest.groupBy(*group).agg(F.sum("c").alias("group_size"),
+                                                   F.max_by("first", "n").alias("keep_id")), "groups")
     return rows.join(keep, group).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         "text_sha256")
