@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pedalytics.llm.common import table
 from pedalytics.llm.exact_dedup import exact_groups
 from pedalytics.llm.mixing import mix_spans, taken_words
+from pedalytics.llm.near_dedup import near_groups
 from pedalytics.llm.packing import pack
 from pedalytics.llm.quality import score_quality
 from pedalytics.llm.sharding import shard_rows
@@ -22,6 +25,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"), words=3, threshold=Fraction(85, 100))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
@@ -42,6 +49,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_minhash": op2_minhash,
     "op3_packing": op3_packing,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
