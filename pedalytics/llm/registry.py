@@ -14,6 +14,7 @@ from pedalytics.llm.near_dedup import near_groups
 from pedalytics.llm.packing import pack
 from pedalytics.llm.quality import score_quality
 from pedalytics.llm.sharding import shard_rows
+from pedalytics.llm.vector_dedup import near_vectors
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +43,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
@@ -53,6 +58,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_embedding_dedup": op9_embedding_dedup,
     "op10_quality": op10_quality,
 }
 
