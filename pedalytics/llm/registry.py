@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pedalytics.llm.common import table
 from pedalytics.llm.exact_dedup import exact_groups
+from pedalytics.llm.language_id import identify
 from pedalytics.llm.mixing import mix_spans, taken_words
 from pedalytics.llm.near_dedup import near_groups
 from pedalytics.llm.packing import pack
@@ -34,6 +35,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = taken_words(*mix_spans(table(spark, sf_dir, "documents")))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -56,6 +61,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
     "op3_packing": op3_packing,
+    "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
