@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pedalytics.llm.common import table
 from pedalytics.llm.exact_dedup import exact_groups
 from pedalytics.llm.language_id import identify
+from pedalytics.llm.language_model import score_documents
 from pedalytics.llm.mixing import mix_spans, taken_words
 from pedalytics.llm.near_dedup import near_groups
 from pedalytics.llm.packing import pack
@@ -35,6 +36,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
     "op3_packing": op3_packing,
+    "op4_language_model": op4_language_model,
     "op5_language_id": op5_language_id,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
