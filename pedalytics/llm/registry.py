@@ -7,6 +7,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pedalytics.llm.chat_format import format_trees, linear_trees, read_back
 from pedalytics.llm.common import table
 from pedalytics.llm.exact_dedup import exact_groups
 from pedalytics.llm.language_id import identify
@@ -44,6 +45,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    probe = r"\### Assistant: </turn> ok"
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    told = read_back(format_trees(linear_trees(rows)))
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return told.select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = taken_words(*mix_spans(table(spark, sf_dir, "documents")))
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -68,6 +84,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_language_model": op4_language_model,
     "op5_language_id": op5_language_id,
+    "op6_chat_format": op6_chat_format,
     "op7_mixing": op7_mixing,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
@@ -75,6 +92,19 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op6_chat_format": r"""
+        WITH rows AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+        told AS (
+          SELECT conv_id, count(*) AS n_turns,
+                 string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
+                 coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
+                 CAST(sum(length(replace(replace(replace(text, '\', '\\'), '<', '\l'), '>', '\g'))
+                     + length(replace(replace(replace(role, '\', '\\'), '<', '\l'), '>', '\g')) + 16) AS BIGINT) AS formatted_chars
+          FROM rows GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(learned) AS loss_chars,
+               sha256(learned) AS loss_sha256, formatted_chars FROM told""",
     "op8_exact_dedup": r"""
         WITH n AS (
           SELECT doc_id, length(coalesce(text, '')) AS len,
