@@ -217,8 +217,8 @@ def _needed_sets(src: DataFrame, members: DataFrame, words: int) -> DataFrame:
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The input rows that stand for their component, all columns unchanged."""
-    kept = near_groups(df, id_col=id_col, text_col=text_col, **options).filter("kept") \
-        .select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = df.select(F.struct("*").alias("record")).withColumn("id", F.col("record").getField(id_col))
-    return rows.join(kept, rows.id == kept.kept_id, "left_semi").select("record.*")
+    """The rows that stand for their component, all columns unchanged; rows with a null id stay."""
+    groups = near_groups(df, id_col=id_col, text_col=text_col, **options)
+    gone = groups.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = df.select(F.struct("*").alias("record")).withColumn("id", F.col("record").getField(id_col).cast("long"))
+    return rows.join(gone, rows.id == gone.gone_id, "left_anti").select("record.*")

@@ -97,6 +97,10 @@ def document_statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "
     return src.mapInArrow(run, "doc_id long, x array<double>")
 
 
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
+
+
 @dataclass
 class Discriminant:
     """Class means, inverse Cholesky factors and log-density constants for classes 0 and 1."""
@@ -122,8 +126,8 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     Counts, sums and cross products of each class are one grouped aggregate
     of all labelled rows.  A class's covariance is drawn by ``shrink`` towards
     the pooled one and by ``ridge`` towards its diagonal.  A line fitted to
-    the log-density differences of at most ``calibration_rows`` labelled rows
-    (those of least id hash) turns them into probabilities.  Null labels,
+    the log-density differences of about ``calibration_rows`` labelled rows
+    (all, if there are fewer; chosen by id hash) turns them into probabilities.  Null labels,
     labels other than 0 and 1 and ids without text are left out; where a class
     has no row, all scores equal the other class's share.
     """
@@ -155,8 +159,17 @@ def fit(stats: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     if not n.all():
         model.slope = 0.0
         return model
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(calibration_rows).select("x", "y").toPandas()
-    q, y = model.difference(np.array(sample["x"].tolist())), sample["y"].to_numpy(float)
+    share = min(1.0, calibration_rows / n.sum())
+    chosen = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(model.difference(_matrix(batch))), batch.column("y")], ["q", "y"])
+
+    sample = chosen.mapInArrow(run, "q double, y int").toPandas()
+    q, y = sample["q"].to_numpy(), sample["y"].to_numpy(float)
+    if not 0 < y.sum() < len(y):
+        return model
     model.slope, model.shift = _logistic(q, y, prior)
     return model
 
@@ -173,6 +186,26 @@ def _logistic(q: np.ndarray, y: np.ndarray, prior: float) -> tuple[float, float]
     return max(float(w[0]), 0.0) / spread, float(w[1])
 
 
+def keep_quality(df: DataFrame, labels: DataFrame, least: float = 0.7, id_col: str = "doc_id",
+                 text_col: str = "text", label_col: str = "quality", modulus: int = 4, **options) -> DataFrame:
+    """The rows of ``df`` whose text scores ``least`` or more, all columns unchanged.
+
+    Learns as ``score_quality`` does; then every row is scored where it is
+    read, so no text is shuffled and repeated or null ids do not matter.
+    """
+    stats = materialize(document_statistics(df, id_col, text_col), "statistics")
+    model = fit(stats.filter(learned_rows(F.col("doc_id"), modulus)), labels, label_col, id_col, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [model.score(statistics(raw, offsets)) >= least
+                    for _, _, raw, offsets in slices(batch.column(text_col))]
+            if keep:
+                yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   label_col: str = "quality", modulus: int = 4, **options) -> DataFrame:
     """``doc_id, held_out, score`` for every row of ``df``; learns where crc32(id) mod ``modulus`` is not 2.
@@ -186,9 +219,8 @@ def score_quality(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(model.score(x))],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(model.score(_matrix(batch)))],
                 ["doc_id", "held_out", "score"])
 
     return stats.select("doc_id", (~learned).alias("held_out"), "x").mapInArrow(
