@@ -4,8 +4,9 @@ The public monthly extracts are not available here, so the four raw
 tables are derived from ``orders`` / ``lineitem`` / ``supplier`` /
 ``nation``.  The mapping plants the awkward values the staging rules
 exist for (numeric text like '12.0', 'nan' ids, thousands separators,
-blanks around values, operations stations, gap months, stations missing
-from a snapshot, zero racks).
+blanks around values, quotes and commas inside names, operations stations,
+gap months, stations missing from a snapshot, zero racks).  Every row of the
+ride and sign-up sources is used: gaps arise by relabelling, never by a filter.
 
 Scale notes: signup and ride are map-only scans of one table each (no
 join); usage pre-aggregates lineitem to (month, supplier) before it meets
@@ -20,50 +21,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pedalytics import schemas as K
-from pedalytics.session import session_key
 
 LOADED_AT = "2026-01-01 00:00:00"
 YEAR_SHIFT = 28  # moves 1995-2001 ship dates onto 2023-2029
 
 
-SPREAD_BYTES = 1 << 20  # at least this much input per extra partition
-
-
 def read_driver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Scan of a driver table, spread over the cluster when it has too few splits.
-
-    A file written as a single row group is one split, so one task would do
-    all row-level work.  Such a scan is spread round-robin over up to the
-    session's parallelism (one partition per MiB of input at most); a large
-    table already has more splits than cores and a tiny one is not worth a
-    shuffle, so both are left alone.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (*session_key(spark), path)
-    if key not in _SCANS:
-        df = spark.read.parquet(path)
-        try:
-            splits, size = _scan_shape(spark, df, path)
-            want = min(spark.sparkContext.defaultParallelism, size // SPREAD_BYTES)
-        except Exception:  # noqa: BLE001 - no JVM handle (e.g. a remote session): plain scan
-            splits, want = 1, 0
-        _SCANS[key] = df.repartition(int(want)) if want > splits else df
-    return _SCANS[key]
-
-
-# scans are immutable plans over read-only inputs: one per (session, table) is reused
-_SCANS: dict[tuple[int, str, str], DataFrame] = {}
-_SHAPE: dict[str, tuple[int, int]] = {}
-
-
-def _scan_shape(spark: SparkSession, df: DataFrame, path: str) -> tuple[int, int]:
-    """(scan splits, input bytes) from planning and file metadata; no job runs."""
-    if path not in _SHAPE:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        size = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
-        _SHAPE[path] = (df._jdf.rdd().getNumPartitions(), int(size))
-    return _SHAPE[path]
+    """Scan of a driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _ym(ts: Column) -> Column:
@@ -78,28 +43,30 @@ def _txt(c: Column) -> Column:
     return c.cast("bigint").cast("string")
 
 
-def _age_from_priority(p: Column) -> Column:
-    return (F.when(p == "1-URGENT", "20대").when(p == "2-HIGH", " 30대 ")
-            .when(p == "3-MEDIUM", "~10대").when(p == "4-NOT SPECIFIED", "nan")
+def _signup_age(priority: Column, status: Column, month: Column) -> Column:
+    """Age band by order priority; two bands lack some months or a whole gender, so windows meet gaps."""
+    return (F.when((priority == "5-LOW") & (month == 6), "20대")
+            .when((priority == "1-URGENT") & (status == "P"), " 30대 ")
+            .when(priority == "1-URGENT", "20대").when(priority == "2-HIGH", " 30대 ")
+            .when(priority == "3-MEDIUM", "~10대").when(priority == "4-NOT SPECIFIED", "nan")
             .otherwise("기타"))
 
 
-def _age_from_discount(d: Column) -> Column:
-    return (F.when(d < 0.015, "20대").when(d < 0.035, " 30대 ").when(d < 0.055, "~10대")
-            .when(d < 0.075, "nan").otherwise("기타"))
+def _ride_age(d: Column, month: Column) -> Column:
+    """Age band by discount; the last band has no rides in June."""
+    return (F.when((d >= 0.075) & (month == 6), "20대").when(d < 0.015, "20대").when(d < 0.035, " 30대 ")
+            .when(d < 0.055, "~10대").when(d < 0.075, "nan").otherwise("기타"))
 
 
 def raw_signup_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = read_driver(spark, sf_dir, "orders").select(
         "o_orderdate", "o_orderstatus", "o_orderpriority", "o_totalprice")
-    o = o.filter(~((o.o_orderpriority == "5-LOW") & (F.month("o_orderdate") == 6))
-                 & ~((o.o_orderstatus == "P") & (o.o_orderpriority == "1-URGENT")))
     keyed = o.select(
         _yearly_file("서울특별시 공공자전거 신규가입자 정보(월별)_", F.col("o_orderdate"))
         .alias("source_file"),
         _ym(F.col("o_orderdate")).alias("signup_ym"),
         F.when(F.col("o_totalprice") >= 250000, "단체").otherwise("개인").alias("member_type_raw"),
-        _age_from_priority(F.col("o_orderpriority")).alias("age_band_raw"),
+        _signup_age(F.col("o_orderpriority"), F.col("o_orderstatus"), F.month("o_orderdate")).alias("age_band_raw"),
         F.when(F.col("o_orderstatus") == "F", "f").when(F.col("o_orderstatus") == "O", " M")
         .otherwise("nan").alias("gender_raw"),
     )
@@ -112,7 +79,6 @@ def raw_ride_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_driver(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
-    li = li.filter(~((li.l_discount >= 0.075) & (F.month("l_shipdate") == 6)))
     supp = _txt(F.col("l_suppkey"))
     qty = F.floor("l_quantity").cast("bigint")
     price = F.floor("l_extendedprice").cast("bigint")
@@ -133,7 +99,7 @@ def raw_ride_month(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("DAY_GUEST").alias("pass_type_raw"),
         F.when(F.col("l_linestatus") == "F", "m").when(F.col("l_orderkey") % 3 == 0, "nan")
         .otherwise("F ").alias("gender_raw"),
-        _age_from_discount(F.col("l_discount")).alias("age_band_raw"),
+        _ride_age(F.col("l_discount"), F.month("l_shipdate")).alias("age_band_raw"),
         qty.alias("ride_cnt_raw"),
         F.when(F.col("l_linenumber") == 1, "nan").otherwise(F.concat(qty.cast("string"), F.lit(".5")))
         .alias("exercise_amt_raw"),
@@ -198,6 +164,7 @@ def raw_station_usage_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         "source_file", "usage_ym", F.col("n_name").alias("district_raw"),
         F.when(F.col("s_suppkey") % 10 == 9, F.concat(F.lit("Station "), sk))
+        .when(F.col("s_suppkey") % 10 == 8, F.concat(sk, F.lit('. "Station" '), sk, F.lit(', "east"')))
         .otherwise(F.concat(sk, F.lit(". Station "), sk)).alias("station_name_raw"),
         "checkout_cnt_raw", "return_cnt_raw", F.lit(LOADED_AT).alias("loaded_at"),
     )
