@@ -83,22 +83,29 @@ def null_tokens(c: Column | str) -> Column:
     return F.when(c.isNull() | c.isin(*PANDAS_NA_TOKENS), F.lit("nan")).otherwise(strip_all(c))
 
 
+# whole texts that are numbers (no type suffixes, no hexadecimal digits)
+_WHOLE_INT = r"^[+-]?[0-9]+$"
+_WHOLE_REAL = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+_INFINITE = r"^[+-]?[iI][nN][fF]([iI][nN][iI][tT][yY])?$"
+
+
 def is_numeric_text(c: Column | str) -> Column:
-    """The value parses as a finite-or-infinite number (not missing, not NaN)."""
+    """The value is written as a finite or infinite number (not missing, not NaN)."""
     c = strip_all(as_col(c).cast("string"))
-    d = c.try_cast("double")
-    return d.isNotNull() & ~F.isnan(d)
+    return F.coalesce(c.rlike(_WHOLE_REAL) | c.rlike(_INFINITE), F.lit(False))
 
 
 def to_int_coerce(c: Column | str) -> Column:
     """C4: value -> nullable bigint; unparseable -> NULL.
 
-    An integral number written as real ('12.0') is accepted; a fractional
-    value cannot be held by a nullable integer and is rejected as NULL too.
+    Integers are read as such, with all digits.  An integral number written
+    as real ('12.0') is accepted; a fractional value or one outside the range
+    cannot be held by a nullable integer and is NULL too.
     """
-    d = strip_all(as_col(c).cast("string")).try_cast("double")
-    ok = d.isNotNull() & ~F.isnan(d) & (d == F.floor(d)) & (F.abs(d) < F.lit(9.2e18))
-    return F.when(ok, d.cast("bigint"))
+    s = strip_all(as_col(c).cast("string"))
+    d = F.when(s.rlike(_WHOLE_REAL), s.try_cast("double"))
+    whole = (d == F.floor(d)) & (F.abs(d) < F.lit(9.2e18))
+    return F.when(s.rlike(_WHOLE_INT), s.try_cast("bigint")).when(whole, d.try_cast("bigint"))
 
 
 def month_date(ym: Column | str) -> Column:

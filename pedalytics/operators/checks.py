@@ -80,6 +80,7 @@ def _unpivot_metrics(df: DataFrame, table: str, metrics: dict[str, Column],
 
 # (table, column) pairs checked for NULLs, as in the staging quality notebook
 NULL_RULES = (
+    ("stg_signup_month", "month_ym"),
     ("stg_signup_month", "signup_cnt"),
     ("stg_ride_month", "station_id"),
     ("stg_ride_month", "ride_cnt"),
@@ -189,6 +190,22 @@ def growth_sample(growth: DataFrame, k: int = 20) -> DataFrame:
     return growth.orderBy("month_ym", "gender", "age_band").limit(k)
 
 
+# tables with a declared key, as in the original table definitions
+UNIQUE_KEYS = {"stg_month_station_snapshot_map": ("month_ym",), "stg_station_snapshot": ("snapshot_ym", "station_id")}
+
+
+def key_counts(tables: dict[str, tuple[DataFrame, tuple[str, ...]]]) -> DataFrame:
+    """Per table its rows, distinct keys and keys that occur more than once."""
+    frames = []
+    for name, (df, key) in tables.items():
+        per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+        frames.append(per_key.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("row_count"),
+                                  F.count(F.lit(1)).alias("key_count"),
+                                  F.count(F.when(F.col("n") > 1, 1)).alias("duplicate_keys"))
+                      .select(F.lit(name).alias("table_name"), "*"))
+    return union_all(frames)
+
+
 def unique_keys(stg_snapshot: DataFrame, month_map: DataFrame) -> DataFrame:
     """Keys that occur more than once (empty when the keys are unique)."""
     dup_map = month_map.groupBy("month_ym").agg(F.count(F.lit(1)).alias("n")) \
@@ -213,32 +230,61 @@ def expected_months(spark: SparkSession, start: int, end: int) -> DataFrame:
     return spark.range(0, max(n, 0), 1, 1).select(ym.alias("month_ym"))
 
 
-def completeness_gate(spark: SparkSession, stg: dict[str, DataFrame]) -> DataFrame:
-    """Expected months missing from the data; no rows means the gate passes.
+def completeness(spark: SparkSession, stg: dict[str, DataFrame], start: int = K.WINDOW_START,
+                 ride_start: int = K.WARMUP_START) -> DataFrame:
+    """Every expected month of each table with its row count and whether there are rows.
 
-    signup/usage must cover the window, rides the warm-up plus window, and
-    the snapshots the five snapshot months.
+    Sign-ups and usage must cover the window, rides the warm-up months as
+    well, and the snapshots the five snapshot months.
     """
-    want = {
-        "stg_signup_month": (stg["stg_signup_month"], "month_ym", K.WINDOW_START),
-        "stg_ride_month": (stg["stg_ride_month"], "month_ym", K.WARMUP_START),
-        "stg_station_usage_month": (stg["stg_station_usage_month"], "month_ym", K.WINDOW_START),
-    }
     frames = []
-    for name, (df, col, start) in want.items():
-        exp = expected_months(spark, start, K.WINDOW_END)
-        seen = df.select(F.col(col).alias("month_ym")).distinct()
-        frames.append(exp.join(seen, "month_ym", "left_anti")
-                      .select(F.lit(name).alias("table_name"), "month_ym"))
-    snaps = literal_rows(spark, [(m,) for m in K.SNAPSHOT_MONTHS], ["month_ym"], ["int"])
-    seen = stg["stg_station_snapshot"].select(F.col("snapshot_ym").alias("month_ym")).distinct()
-    frames.append(snaps.join(seen, "month_ym", "left_anti")
-                  .select(F.lit("stg_station_snapshot").alias("table_name"), "month_ym"))
+    for name, first in (("stg_signup_month", start), ("stg_ride_month", ride_start),
+                        ("stg_station_usage_month", start), ("stg_station_snapshot", None)):
+        if first is None:
+            want = literal_rows(spark, [(m,) for m in K.SNAPSHOT_MONTHS], ["month_ym"], ["int"])
+        else:
+            want = expected_months(spark, first, K.WINDOW_END)
+        seen = stg[name].groupBy(F.col(K.MONTH_COLUMN[name]).alias("month_ym")).agg(F.count(F.lit(1)).alias("n"))
+        frames.append(want.join(seen, "month_ym", "left").select(
+            F.lit(name).alias("table_name"), "month_ym", F.coalesce("n", F.lit(0)).alias("row_count"),
+            F.col("n").isNotNull().alias("present")))
     return union_all(frames)
 
 
-def required_tables(spark: SparkSession, required: list[str], existing: list[str]) -> DataFrame:
-    """Required table names that do not exist (empty = gate passes)."""
+def completeness_gate(spark: SparkSession, stg: dict[str, DataFrame]) -> DataFrame:
+    """Expected months without rows (empty when the gate passes)."""
+    return completeness(spark, stg).filter(~F.col("present")).select("table_name", "month_ym")
+
+
+def required_tables(spark: SparkSession, required: list[str], rows: dict[str, DataFrame]) -> DataFrame:
+    """Every required table with whether it exists and its row count (NULL where it does not)."""
     req = literal_rows(spark, [(t,) for t in required], ["table_name"], ["string"])
-    have = literal_rows(spark, [(t,) for t in existing], ["table_name"], ["string"])
-    return req.join(have, "table_name", "left_anti")
+    have = literal_rows(spark, [], ["table_name"], ["string"]).withColumn("row_count", F.lit(0).cast("long"))
+    if rows:
+        have = row_counts(rows)
+    return req.join(have, "table_name", "left").select(
+        "table_name", F.col("row_count").isNotNull().alias("present"), "row_count")
+
+
+class GateFailed(RuntimeError):
+    """A stage's input is not fit for the next stage; the message lists the first faults."""
+
+
+def stop_if_any(gate: str, faults: DataFrame, shown: int = 20) -> None:
+    """Stop the run where a gate has faults; at most ``shown`` of them are read."""
+    found = faults.limit(shown).collect()
+    if found:
+        raise GateFailed(f"{gate}: " + "; ".join(str(r.asDict()) for r in found))
+
+
+def profile(df: DataFrame, table: str, month: str | None) -> DataFrame:
+    """All stored counts of one table from one scan: rows, months, NULLs and rule violations."""
+    metrics: dict[tuple[str, str], Column] = {("row_count", "rows"): F.count(F.lit(1))}
+    if month:
+        metrics["month_count", "months"] = F.count_distinct(month)
+    metrics |= {("null_count", c): F.count(F.when(F.col(c).isNull(), 1)) for t, c in NULL_RULES if t == table}
+    metrics |= {("issue_count", label): F.count(F.when(pred(), 1)) for t, label, pred in NONPOSITIVE_RULES if t == table}
+    row = df.agg(*[m.cast("double").alias(f"m{i}") for i, m in enumerate(metrics.values())])
+    return row.select(F.inline(F.array(*[
+        F.struct(F.lit(check).alias("check_name"), F.lit(table).alias("table_name"), F.lit(item).alias("item"),
+                 F.col(f"m{i}").alias("value")) for i, (check, item) in enumerate(metrics)])))

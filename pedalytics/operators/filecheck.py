@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pedalytics import schemas as K
 from pedalytics.functions import columns as C
+from pedalytics.operators.staging import literal_rows
 from pedalytics.sources import files
 from pedalytics.sources.loaders import workbook_rows
 
@@ -21,40 +22,37 @@ CSV_CHECK_COLUMNS = ["dataset", "file_name", "encoding", "row_count", "columns",
 
 
 def csv_file_check(spark: SparkSession, root: str, dataset: str) -> DataFrame:
-    """L1: per source file: encoding, rows, header, period min/max, status."""
+    """L1: per source file: encoding, rows, header, period min/max, status.
+
+    A file that cannot be opened or decoded, or holds malformed rows, is a
+    row with a status that says so; a file with a header only has 0 rows.
+    """
     period = K.PERIOD_COLUMNS[dataset]
-    label = K.DATASET_LABELS[dataset]
-    info = files.detect_encodings(files.physical_files(spark, files.find_files(spark, root, dataset)))
-    info = info.select("*", files.logical_file_name(F.col("path")).alias("file_name"))
-    per_file = info.groupBy("file_name").agg(
-        F.min("encoding").alias("encoding"), F.min("header").alias("columns"),
-        F.count(F.when(F.col("encoding").isNull(), 1)).alias("_failed"))
-    frames = []
-    for enc, _header, paths in files.file_groups(info):
-        df = files.read_csv_group(spark, paths, enc)
-        cols = [c for c in df.columns if c != "_source_file"]
-        p = F.col(f"`{period}`") if period in cols else F.lit(None).cast("string")
+    found = files.detect_all(spark, files.find_files(spark, root, dataset))
+    info = literal_rows(spark, [(f.name, f.encoding, ", ".join(f.header) if f.encoding else None, f.error)
+                                for f in found], ["file_name", "encoding", "columns", "error"], ["string"] * 4)
+    frames = [spark.range(0).select(F.lit("").alias("file_name"), F.lit(None).cast("double").alias("v"),
+                                    F.lit(None).cast("string").alias("_problem"))]
+    for group in files.csv_groups(found):
+        df, header = files.read_csv_group(spark, group), group[0].header
+        p = F.col(f"c{header.index(period)}") if period in header else F.lit(None).cast("string")
         v = F.trim(p).try_cast("double")
-        v = F.when(~F.isnan(v), v)
-        frames.append(df.groupBy(F.col("_source_file").alias("file_name")).agg(
-            F.count(F.lit(1)).alias("row_count"),
-            F.min(v).cast("bigint").alias("period_min"), F.max(v).cast("bigint").alias("period_max")))
-    if frames:
-        stats = reduce(lambda a, b: a.unionByName(b), frames).groupBy("file_name").agg(
-            F.sum("row_count").alias("row_count"), F.min("period_min").alias("period_min"),
-            F.max("period_max").alias("period_max"))
-    else:
-        stats = spark.createDataFrame([], "file_name string, row_count bigint, period_min bigint, "
-                                          "period_max bigint")
-    ok = F.col("_failed") == 0
-    return per_file.join(stats, "file_name", "left").select(
-        F.lit(label).alias("dataset"), "file_name",
+        frames.append(df.select(F.col("_source_file").alias("file_name"), F.when(~F.isnan(v), v).alias("v"), "_problem"))
+    stats = reduce(lambda a, b: a.unionByName(b), frames).groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("v").try_cast("bigint").alias("period_min"),
+        F.max("v").try_cast("bigint").alias("period_max"), F.count("_problem").alias("bad"),
+        F.max("_problem").alias("problem"))
+    joined = info.join(stats, "file_name", "left")
+    error = F.coalesce(F.col("error"), F.when(F.col("bad") > 0, F.concat(
+        F.col("bad").cast("string"), F.lit(" rows: "), F.col("problem"))))
+    ok = error.isNull()
+    return joined.select(
+        F.lit(K.DATASET_LABELS[dataset]).alias("dataset"), "file_name",
         F.when(ok, F.col("encoding")).otherwise(F.lit("READ_FAILED")).alias("encoding"),
-        F.when(ok, F.col("row_count")).alias("row_count"),
-        F.when(ok, F.col("columns")).alias("columns"),
-        F.when(ok, F.col("period_min")).alias("period_min"),
+        F.when(ok, F.coalesce("row_count", F.lit(0))).alias("row_count"),
+        F.when(ok, F.col("columns")).alias("columns"), F.when(ok, F.col("period_min")).alias("period_min"),
         F.when(ok, F.col("period_max")).alias("period_max"),
-        F.when(ok, F.lit("ok")).otherwise(F.lit("fail: cannot detect encoding")).alias("status"))
+        F.when(ok, F.lit("ok")).otherwise(F.concat(F.lit("fail: "), error)).alias("status"))
 
 
 def csv_file_checks(spark: SparkSession, root: str) -> DataFrame:
@@ -122,25 +120,55 @@ def dataset_summary(csv_checks: DataFrame, xlsx_checks: DataFrame) -> DataFrame:
         F.bool_and(F.col("status") == "ok").alias("all_status_ok"))
 
 
+PREVIEW = "dataset_key string, file_name string, encoding string, columns string, sample_json string"
+
+
 def sample_preview(spark: SparkSession, root: str, n: int = 2) -> DataFrame:
-    """First file of each CSV dataset: encoding, columns, first n rows as JSON records."""
-    out = []
+    """First file of each dataset: encoding, columns, first ``n`` rows as JSON records.
+
+    The first rows are those of the file's first part, in file order; missing
+    values are written as null.  A file that cannot be read is a row with the
+    encoding READ_FAILED and the error in place of the columns.  Workbook
+    rows are those below the detected header.
+    """
+    out = [spark.createDataFrame([], PREVIEW)]
     for ds in K.PERIOD_COLUMNS:
-        paths = files.find_files(spark, root, ds)
-        if not paths:
-            continue
-        leaves = files.physical_files(spark, paths[:1])
-        info = files.detect_encodings(leaves.orderBy("path").limit(1))
-        first = info.first()  # one short metadata row: (path, encoding, header)
-        if first is None or first["encoding"] is None:
-            continue
-        df = files.read_csv_group(spark, [first["path"]], first["encoding"]).drop("_source_file")
-        rows = df.select(F.monotonically_increasing_id().alias("_i"), F.struct(*df.columns).alias("r")) \
-            .limit(n)
-        out.append(rows.agg(F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("_i", "r"))),
-                                                  lambda x: x["r"])).alias("sample_json"))
-                   .select(F.lit(ds).alias("dataset_key"),
-                           F.lit(paths[0].rstrip("/").rsplit("/", 1)[-1]).alias("file_name"),
-                           F.lit(first["encoding"]).alias("encoding"),
-                           F.lit(first["header"]).alias("columns"), "sample_json"))
+        for path in files.find_files(spark, root, ds)[:1]:
+            f = files.detect(spark, path)
+            if f.encoding is None:
+                out.append(literal_rows(spark, [(ds, f.name, "READ_FAILED", f.error, None)],
+                                        [c.split()[0] for c in PREVIEW.split(", ")], ["string"] * 5))
+                continue
+            part = files.SourceFile(files.first_part(spark, path), f.name, f.encoding, f.header)
+            df = files.read_csv_group(spark, [part])
+            out.append(_records(df.withColumn("_i", F.monotonically_increasing_id()),
+                                {h: F.col(f"c{i}") for i, h in enumerate(f.header)}, n, ds, f))
+    for path in files.find_files(spark, root, "station_snapshot")[:1]:
+        out.append(_workbook_preview(spark, path, n))
     return reduce(lambda a, b: a.unionByName(b), out)
+
+
+def _records(df: DataFrame, fields: dict, n: int, dataset: str, f: files.SourceFile) -> DataFrame:
+    first = df.orderBy("_i").limit(n)
+    record = F.struct(*[c.alias(h) for h, c in fields.items()])
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("_i", record.alias("r")))), lambda x: x["r"])
+    return first.agg(F.to_json(rows, {"ignoreNullFields": "false"}).alias("sample_json")).select(
+        F.lit(dataset).alias("dataset_key"), F.lit(f.name).alias("file_name"), F.lit(f.encoding).alias("encoding"),
+        F.lit(", ".join(f.header)).alias("columns"), "sample_json")
+
+
+def _workbook_preview(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first workbook's rows below its header, keyed by the header's cells (one row of cells is collected)."""
+    part = files.first_part(spark, path)
+    rows = workbook_rows(spark, "", [part]).withColumn("file_name", F.lit(files.leaf_name(path)))
+    head = rows.join(header_rows(rows.filter(F.col("error").isNull())), ["path", "file_name"], "left")
+    top = head.filter(F.col("error").isNotNull() | (F.col("row_idx") == F.col("header_row"))) \
+        .select("error", "cells", "header_row").first()
+    if top is None or top["error"]:
+        return literal_rows(spark, [("station_snapshot", files.leaf_name(path), "READ_FAILED",
+                                     top["error"] if top else "no header row", None)],
+                            [c.split()[0] for c in PREVIEW.split(", ")], ["string"] * 5)
+    header = tuple(files.tidy_header(h) or f"Unnamed: {i}" for i, h in enumerate(top["cells"]))
+    body = rows.filter(F.col("row_idx") > top["header_row"]).withColumn("_i", F.col("row_idx"))
+    return _records(body, {h: F.try_element_at("cells", F.lit(i + 1)) for i, h in enumerate(header)}, n,
+                    "station_snapshot", files.SourceFile(path, files.leaf_name(path), "xlsx", header))

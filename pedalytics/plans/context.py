@@ -26,6 +26,7 @@ class Tables:
         self._raw = raw
         self._stored = stored or (lambda name: None)
         self._memo: dict[str, DataFrame] = {}
+        self._files: dict[bool, tuple[str, set[str]]] = {}
 
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str) -> "Tables":
@@ -57,17 +58,16 @@ class Tables:
                 self["stg_month_station_snapshot_map"])
         raise KeyError(name)
 
-    def source_files(self, *datasets: str) -> str:
+    def source_files(self, *datasets: str, ordered: bool = False) -> str:
         """Folder holding this context's raw tables written out as source files.
 
-        Only the requested datasets (default: all) are written, each once.
+        Only the requested datasets (default: all) are written, each once;
+        ``ordered`` files begin with their least rows.
         """
-        if "_files" not in self.__dict__:
-            self.__dict__["_files"] = (scratch_dir(self.spark, "source-files"), set())
-        root, done = self.__dict__["_files"]
+        root, done = self._files.setdefault(ordered, (scratch_dir(self.spark, "source-files"), set()))
         for ds in datasets or tuple(export.DATASET_TABLES):
             if ds not in done:
-                export.export_dataset(self[export.DATASET_TABLES[ds]], ds, root)
+                export.export_dataset(self[export.DATASET_TABLES[ds]], ds, root, ordered)
                 done.add(ds)
         return root
 

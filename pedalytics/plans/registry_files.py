@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from pedalytics import schemas as K
 from pedalytics.functions import columns as C
-from pedalytics.operators import filecheck
+from pedalytics.operators import checks, filecheck
+from pedalytics.plans import oracle_ctes as O
 from pedalytics.plans import stages
 from pedalytics.plans.context import Tables
-from pedalytics.plans.registry import query
+from pedalytics.plans.registry import FLAGS, query
 from pedalytics.sources import driver_tables, files, loaders
 
 LOADED_AT = driver_tables.LOADED_AT
@@ -103,8 +104,8 @@ FROM raw_station_usage_month"""
 def _src_detect_encoding(t: Tables) -> DataFrame:
     root = t.source_files(*K.PERIOD_COLUMNS)
     paths = [p for ds in K.PERIOD_COLUMNS for p in files.find_files(t.spark, root, ds)]
-    info = files.detect_encodings(files.physical_files(t.spark, paths))
-    return info.select(files.logical_file_name(F.col("path")).alias("file_name"), "encoding").distinct()
+    found = files.detect_all(t.spark, paths)
+    return t.spark.createDataFrame([(f.name, f.encoding) for f in found], "file_name string, encoding string")
 
 
 @query("src_lineage", """
@@ -210,11 +211,28 @@ def _chk_dataset_summary(t: Tables) -> DataFrame:
                                      filecheck.xlsx_file_check(t.spark, root))
 
 
-@query("src_sample_json")
+def _preview_sql(ds: str, table: str, header: str, columns: list[str]) -> str:
+    """First two rows, in the order of all columns, of the dataset's first file."""
+    names = header.split(", ")
+    cells = ", ".join(f"'{h}', CAST({c} AS VARCHAR)" for h, c in zip(names, columns, strict=True))
+    order = ", ".join(f"CAST({c} AS VARCHAR) NULLS FIRST" for c in columns)
+    return f"""
+SELECT '{ds}' AS dataset_key, any_value(source_file) AS file_name, 'cp949' AS encoding, '{header}' AS columns,
+       CAST(to_json(list(json_object({cells}) ORDER BY {order})) AS VARCHAR) AS sample_json
+FROM (SELECT * FROM {table} WHERE source_file = (SELECT min(source_file) FROM {table}) ORDER BY {order} LIMIT 2)"""
+
+
+@query("src_sample_json", "\nUNION ALL\n".join((
+    _preview_sql("signup_month", "raw_signup_month", _SIGNUP_COLS,
+                 ["signup_ym", "member_type_raw", "age_band_raw", "gender_raw", "signup_cnt_raw"]),
+    _preview_sql("ride_month", "raw_ride_month", _RIDE_COLS.format(d="이용거리(M)"), [
+        "ride_ym", "station_id_raw", "station_name_raw", "pass_type_raw", "gender_raw", "age_band_raw", "ride_cnt_raw",
+        "exercise_amt_raw", "carbon_amt_raw", "distance_m_raw", "duration_min_raw"]),
+    _preview_sql("station_usage_month", "raw_station_usage_month", _USAGE_COLS, [
+        "district_raw", "station_name_raw", "usage_ym", "checkout_cnt_raw", "return_cnt_raw"]))),
+    "raw_signup_month", "raw_ride_month", "raw_station_usage_month")
 def _src_sample_json(t: Tables) -> DataFrame:
-    # first two rows of each dataset's first file: the row order inside a file depends on how
-    # the files were cut into parts, so only the row count is compared
-    return filecheck.sample_preview(t.spark, t.source_files(*K.PERIOD_COLUMNS))
+    return filecheck.sample_preview(t.spark, t.source_files(*K.PERIOD_COLUMNS, ordered=True))
 
 
 # ---------------------------------------------------------------------------
@@ -222,21 +240,32 @@ def _src_sample_json(t: Tables) -> DataFrame:
 # ---------------------------------------------------------------------------
 @query("sink_append", "SELECT * FROM raw_ride_month", "raw_ride_month")
 def _sink_append(t: Tables) -> DataFrame:
-    root = t.scratch("sink-append")
-    raw = t["raw_ride_month"]
-    stages.write_table(raw.filter(F.col("ride_ym") < K.WINDOW_START), root, "raw_ride_month", "append")
-    stages.write_table(raw.filter(F.col("ride_ym") >= K.WINDOW_START), root, "raw_ride_month", "append")
+    root, old = t.scratch("sink-append"), F.coalesce(F.col("ride_ym") < K.WINDOW_START, F.lit(False))
+    stages.write_table(t["raw_ride_month"], f"{root}/given", "raw_ride_month")
+    raw = stages.read_table(t.spark, f"{root}/given", "raw_ride_month")
+    stages.write_table(raw.filter(old), root, "raw_ride_month", "append")
+    stages.write_table(raw.filter(~old), root, "raw_ride_month", "append")
     return stages.read_table(t.spark, root, "raw_ride_month")
 
 
-@query("sink_overwrite", "SELECT * FROM stg_ride_month", "stg_ride_month")
+@query("sink_overwrite", f"""
+SELECT * FROM stg_ride_month WHERE month_ym BETWEEN {K.WINDOW_START} AND {K.WINDOW_END}""", "stg_ride_month")
 def _sink_overwrite(t: Tables) -> DataFrame:
+    # a table of all months, refreshed in full with those of the window only: the others must go
     root = t.scratch("sink-overwrite")
-    stg = t["stg_ride_month"]
-    stages.write_table(stg, root, "stg_ride_month", "overwrite")
-    # reload of the analysis window: only those month partitions are replaced
-    stages.write_table(stg.filter(F.col("month_ym").between(K.WINDOW_START, K.WINDOW_END)),
-                       root, "stg_ride_month", "overwrite")
+    stages.write_table(t["stg_ride_month"], root, "stg_ride_month")
+    stages.write_table(t["stg_ride_month"].filter(F.col("month_ym").between(K.WINDOW_START, K.WINDOW_END)),
+                       root, "stg_ride_month")
+    return stages.read_table(t.spark, root, "stg_ride_month")
+
+
+@query("sink_reload_months", "SELECT * FROM stg_ride_month", "stg_ride_month")
+def _sink_reload_months(t: Tables) -> DataFrame:
+    # the window's months are written with wrong counts, then reloaded; all other months stay
+    root, window = t.scratch("sink-reload"), F.col("month_ym").between(K.WINDOW_START, K.WINDOW_END)
+    wrong = F.when(window, F.lit(-1)).otherwise(F.col("ride_cnt")).cast("bigint")
+    stages.write_table(t["stg_ride_month"].withColumn("ride_cnt", wrong), root, "stg_ride_month")
+    stages.reload_months(t["stg_ride_month"].filter(window), root, "stg_ride_month")
     return stages.read_table(t.spark, root, "stg_ride_month")
 
 
@@ -252,15 +281,15 @@ def _src_table_scan(t: Tables) -> DataFrame:
 
 
 @query("chk_required_tables", "\nUNION ALL\n".join(
-    f"SELECT '{n}' AS table_name" for n in K.STG_TABLES))
+    [f"SELECT '{n}' AS table_name, true AS present, count(*) AS row_count FROM {n}" for n in K.RAW_TABLES]
+    + [f"SELECT '{n}', false, NULL" for n in K.STG_TABLES]), *K.RAW_TABLES)
 def _chk_required_tables(t: Tables) -> DataFrame:
-    # raw stage written, staging not yet: the gate reports the staging tables as missing
+    # raw stage written, staging not yet
     root = t.scratch("gate")
     for n in K.RAW_TABLES:
         stages.write_table(t[n], root, n)
-    from pedalytics.operators import checks
-    return checks.required_tables(t.spark, list(K.RAW_TABLES) + list(K.STG_TABLES),
-                                  stages.existing_tables(t.spark, root))
+    rows = {n: stages.read_table(t.spark, root, n) for n in stages.existing_tables(t.spark, root)}
+    return checks.required_tables(t.spark, [*K.RAW_TABLES, *K.STG_TABLES], rows)
 
 
 def _check_results_sql() -> str:
@@ -272,8 +301,7 @@ def _check_results_sql() -> str:
         c = K.MONTH_COLUMN[n]
         parts.append(f"SELECT 'staging', 'month_count', '{n}', 'months', "
                      f"CAST(COUNT(DISTINCT {c}) AS DOUBLE) FROM {n}")
-    from pedalytics.operators.checks import NULL_RULES
-    for tb, c in NULL_RULES:
+    for tb, c in checks.NULL_RULES:
         parts.append(f"SELECT 'staging', 'null_count', '{tb}', '{c}', "
                      f"CAST(SUM(CASE WHEN {c} IS NULL THEN 1 ELSE 0 END) AS DOUBLE) FROM {tb}")
     for tb, rule in (("stg_signup_month", "signup_cnt <= 0"), ("stg_ride_month", "ride_cnt <= 0"),
@@ -287,11 +315,33 @@ def _check_results_sql() -> str:
     for n in K.MART_TABLES:
         parts.append(f"SELECT 'mart', 'month_count', '{n}', 'months', "
                      f"CAST(COUNT(DISTINCT month_ym) AS DOUBLE) FROM {n}")
+    for n, c in (("stg_signup_month", "gender"), ("stg_ride_month", "gender"), ("stg_signup_month", "age_band"),
+                 ("stg_ride_month", "age_band"), ("stg_ride_month", "pass_group")):
+        parts.append(f"SELECT 'staging', '{c}_rows', '{n}', {c}, CAST(count(*) AS DOUBLE) FROM {n} GROUP BY {c}")
+    parts.append("SELECT 'staging', 'pass_group_rides', 'stg_ride_month', pass_group, CAST(sum(ride_cnt) AS DOUBLE) "
+                 "FROM stg_ride_month GROUP BY pass_group")
+    parts.append("SELECT 'staging', 'station_count', 'stg_station_snapshot', CAST(snapshot_ym AS VARCHAR), "
+                 "CAST(count(*) AS DOUBLE) FROM stg_station_snapshot GROUP BY snapshot_ym")
+    for check, n, src, num, stage in (
+            ("join_success_pct", "stg_ride_month", "join_matched", "matched_station_id", "staging"),
+            ("id_extraction_pct", "stg_station_usage_month", "stg_station_usage_month", "station_id", "staging"),
+            ("station_match_pct", "mart_station_efficiency_month", "station_joined", "rack_cnt", "mart")):
+        parts.append(f"SELECT '{stage}', '{check}', '{n}', CAST(month_ym AS VARCHAR), "
+                     f"{O.round_ratio(f'count({num})', 'count(*)', 2, 100)} FROM {src} GROUP BY month_ym")
+    parts.append("SELECT 'mart', 'growth_validity', 'mart_growth_month', 'row_count', CAST(count(*) AS DOUBLE) "
+                 "FROM mart_growth_month")
+    parts += [f"SELECT 'mart', 'growth_validity', 'mart_growth_month', '{name}', "
+              f"CAST(count(*) FILTER ({rule}) AS DOUBLE) FROM mart_growth_month" for name, rule in FLAGS.items()]
+    parts.append(f"""SELECT * FROM (
+        SELECT 'mart', 'top_rides_per_rack', 'mart_station_efficiency_month', month_ym || '|' || station_id,
+               {O.round_ratio('total_ride_cnt', 'rack_cnt', 2)} AS value FROM station_joined WHERE rack_cnt > 0
+        ORDER BY value DESC, month_ym, station_id LIMIT 20) top""")
     return "\nUNION ALL\n".join(parts)
 
 
-@query("sink_check_results", _check_results_sql(), *K.STG_TABLES, *K.MART_TABLES)
+@query("sink_check_results", _check_results_sql(), *K.STG_TABLES, *K.MART_TABLES, "join_matched", "station_joined")
 def _sink_check_results(t: Tables) -> DataFrame:
+    # staging and marts are stored once, and the checks read what is stored
     root = t.scratch("checks")
-    stages.write_table(stages.check_results(t), root, "check_results")
+    stages.build(t.spark, root, raw=t, gates=False)
     return stages.read_table(t.spark, root, "check_results")

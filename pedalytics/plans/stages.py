@@ -10,15 +10,14 @@ some months replaces just those partitions (dynamic partition overwrite).
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pedalytics import schemas as K
 from pedalytics.operators import checks as Q
+from pedalytics.operators import filecheck
 from pedalytics.plans.context import Tables
-from pedalytics.sources import loaders
+from pedalytics.sources import files, loaders
 from pedalytics.session import configure
 
 # tables written partitioned by their month column
@@ -30,14 +29,25 @@ def table_path(root: str, name: str) -> str:
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> str:
-    """S20 (append) / S21 (overwrite, dynamic by partition) / S23 (CTAS) as a Parquet write."""
+    """S20 (append) / S21 (full refresh: nothing of the old table stays) / S23 as a Parquet write."""
+    return _write(df, root, name, mode, "static")
+
+
+def reload_months(df: DataFrame, root: str, name: str) -> str:
+    """Replace the months that ``df`` holds rows of, and only those, in a table partitioned by month."""
+    if name not in PARTITIONED:
+        raise ValueError(f"{name} is not partitioned by month")
+    return _write(df, root, name, "overwrite", "dynamic")
+
+
+def _write(df: DataFrame, root: str, name: str, mode: str, replaced: str) -> str:
     path = table_path(root, name)
     part = PARTITIONED.get(name)
     # REBALANCE lets AQE size the written files: rows of one month meet in
     # few tasks (no file per task per month), a month bigger than the
     # advisory size is split over several tasks, small outputs are coalesced.
     df = df.hint("rebalance", part) if part else df.hint("rebalance")
-    w = df.write.mode(mode)
+    w = df.write.mode(mode).option("partitionOverwriteMode", replaced)
     if part:
         w = w.partitionBy(part)
     w.parquet(path)
@@ -50,55 +60,104 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def existing_tables(spark: SparkSession, root: str) -> list[str]:
-    """Names of the tables written under ``root`` (metadata listing)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(root)
-    fs = p.getFileSystem(conf)
+    """Names of the tables completely written under ``root`` (metadata listing)."""
+    fs, p = files._hadoop(spark, root)
     if not fs.exists(p):
         return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)
+                  if s.isDirectory() and files.exists(spark, f"{s.getPath().toString()}/_SUCCESS"))
 
 
 def check_results(t: Tables) -> DataFrame:
-    """Staging and mart checks as one long table (stage, check_name, table_name, item, value)."""
-    def long(stage: str, check: str, df: DataFrame, item: str, value: str) -> DataFrame:
-        return df.select(F.lit(stage).alias("stage"), F.lit(check).alias("check_name"), "table_name",
-                         F.col(item).cast("string").alias("item"),
+    """Staging and mart checks as one long table (stage, check_name, table_name, item, value).
+
+    The counts of a table (rows, months, NULLs, rule violations) come from one
+    scan of it; distributions and rates from one grouped scan each.
+    """
+    def long(check: str, table: str, df: DataFrame, item: list, value: str) -> DataFrame:
+        return df.select(F.lit(check).alias("check_name"), F.lit(table).alias("table_name"),
+                         F.concat_ws("|", *[F.col(c).cast("string") for c in item]).alias("item"),
                          F.col(value).cast("double").alias("value"))
 
-    stg = t.many(*K.STG_TABLES)
-    marts = t.many(*K.MART_TABLES)
-    cov = Q.coverage({n: (t[n], K.MONTH_COLUMN[n]) for n in K.STG_TABLES[:4]})
-    mcov = Q.coverage({n: (t[n], "month_ym") for n in K.MART_TABLES})
-    frames = [
-        long("staging", "row_count", Q.row_counts(stg).withColumn("item", F.lit("rows")),
-             "item", "row_count"),
-        long("staging", "month_count", cov.withColumn("item", F.lit("months")), "item", "month_count"),
-        long("staging", "null_count", Q.null_counts(stg), "column_name", "null_count"),
-        long("staging", "issue_count", Q.nonpositive_counts(stg), "check_item", "issue_count"),
-        long("mart", "row_count", Q.row_counts(marts).withColumn("item", F.lit("rows")),
-             "item", "row_count"),
-        long("mart", "month_count", mcov.withColumn("item", F.lit("months")), "item", "month_count"),
-    ]
-    return reduce(lambda a, b: a.unionByName(b), frames)
-
-
-def run(spark: SparkSession, out_root: str, raw: dict[str, DataFrame] | None = None,
-        source_root: str | None = None, loaded_at: str | None = None) -> dict[str, str]:
-    """Load (from files or given raw frames), stage, build marts, check; every stage written."""
-    configure(spark)
+    stg, marts = t.many(*K.STG_TABLES), t.many(*K.MART_TABLES)
+    ride, station = stg["stg_ride_month"], marts["mart_station_efficiency_month"]
+    passes = Q.pass_group_distribution(ride)
+    growth = Q.growth_metrics(marts["mart_growth_month"])
+    match = Q.station_match(station)
+    staging = [Q.profile(df, n, K.MONTH_COLUMN.get(n) if n in K.STG_TABLES[:4] else None) for n, df in stg.items()] + [
+        long("station_count", "stg_station_snapshot", Q.stations_per_snapshot(stg["stg_station_snapshot"]),
+             ["snapshot_ym"], "station_count"),
+        *[long(f"{c}_rows", n, Q.distribution({n: stg[n]}, c), [c], "row_count")
+          for c in ("gender", "age_band") for n in ("stg_signup_month", "stg_ride_month")],
+        long("pass_group_rows", "stg_ride_month", passes, ["pass_group"], "row_count"),
+        long("pass_group_rides", "stg_ride_month", passes, ["pass_group"], "ride_cnt_sum"),
+        long("join_success_pct", "stg_ride_month", Q.join_success(
+            ride, stg["stg_station_snapshot"], stg["stg_month_station_snapshot_map"]),
+            ["month_ym"], "join_success_rate_pct"),
+        long("id_extraction_pct", "stg_station_usage_month", Q.id_extraction(stg["stg_station_usage_month"]),
+             ["month_ym"], "extract_success_rate_pct")]
+    mart = [Q.profile(df, n, "month_ym") for n, df in marts.items()] + [
+        long("growth_validity", "mart_growth_month", growth.unpivot([], growth.columns, "metric", "value"),
+             ["metric"], "value"),
+        long("station_match_pct", "mart_station_efficiency_month", match, ["month_ym"], "matched_rate_pct"),
+        long("top_rides_per_rack", "mart_station_efficiency_month", Q.top_rides_per_rack(station),
+             ["month_ym", "station_id"], "rides_per_rack")]
+    return Q.union_all([f.select(F.lit(stage).alias("stage"), "*") for stage, own in (("staging", staging), ("mart", mart))
+                        for f in own])
+
+
+def stored_tables(spark: SparkSession, root: str, names) -> Tables:
+    """Tables read from what is written under ``root``; others are derived from those."""
+    have = set(names)
+    return Tables(spark, lambda n: read_table(spark, root, n),
+                  stored=lambda n: read_table(spark, root, n) if n in have else None)
+
+
+def require(spark: SparkSession, root: str, names: tuple[str, ...]) -> None:
+    """Stop unless all named tables are written under ``root`` and hold rows."""
+    rows = {n: read_table(spark, root, n) for n in existing_tables(spark, root) if n in names}
+    Q.stop_if_any("missing or empty tables", Q.required_tables(spark, list(names), rows)
+                  .filter("NOT present OR row_count = 0"))
+
+
+def build(spark: SparkSession, out_root: str, raw: Tables | None = None, gates: bool = True) -> dict[str, str]:
+    """Staging, marts and checks from the raw tables under ``out_root`` (or given ones), every stage written."""
+    paths: dict[str, str] = {}
     if raw is None:
-        raw = loaders.load_raw_tables(spark, source_root, loaded_at)
-    paths = {n: write_table(df, out_root, n) for n, df in raw.items()}
-    t = Tables(spark, lambda n: read_table(spark, out_root, n))
+        if gates:
+            require(spark, out_root, K.RAW_TABLES)
+        raw = stored_tables(spark, out_root, K.RAW_TABLES)
     for n in K.STG_TABLES:
-        paths[n] = write_table(t[n], out_root, n)
-    t = Tables(spark, lambda n: read_table(spark, out_root, n),
-               stored=lambda n: read_table(spark, out_root, n) if n in paths else None)
+        paths[n] = write_table(raw[n], out_root, n)
+    t = stored_tables(spark, out_root, paths)
+    if gates:
+        require(spark, out_root, K.STG_TABLES)
+        Q.stop_if_any("missing months", Q.completeness_gate(spark, t.many(*K.STG_TABLES)))
+        Q.stop_if_any("repeated keys", Q.unique_keys(t["stg_station_snapshot"], t["stg_month_station_snapshot_map"]))
     for n in K.MART_TABLES:
         paths[n] = write_table(t[n], out_root, n)
-    t = Tables(spark, lambda n: read_table(spark, out_root, n),
-               stored=lambda n: read_table(spark, out_root, n) if n in paths else None)
+    t = stored_tables(spark, out_root, paths)
     paths["check_results"] = write_table(check_results(t), out_root, "check_results")
     return paths
+
+
+def run(spark: SparkSession, out_root: str, raw: dict[str, DataFrame] | None = None,
+        source_root: str | None = None, loaded_at: str | None = None, gates: bool = True) -> dict[str, str]:
+    """Load (from files or given raw frames), stage, build marts, check; every stage written.
+
+    With ``gates`` the run stops before the next stage on a missing or empty
+    table, a missing month or a repeated key.  Loads from files also store the
+    file checks and previews.
+    """
+    configure(spark)
+    paths = {}
+    if raw is None:
+        csv, books = filecheck.csv_file_checks(spark, source_root), filecheck.xlsx_file_check(spark, source_root)
+        paths["check_csv_files"] = write_table(csv, out_root, "check_csv_files")
+        paths["check_workbooks"] = write_table(books, out_root, "check_workbooks")
+        stored = [read_table(spark, out_root, n) for n in ("check_csv_files", "check_workbooks")]
+        paths["check_datasets"] = write_table(filecheck.dataset_summary(*stored), out_root, "check_datasets")
+        paths["check_preview"] = write_table(filecheck.sample_preview(spark, source_root), out_root, "check_preview")
+        raw = loaders.load_raw_tables(spark, source_root, loaded_at)
+    paths |= {n: write_table(df, out_root, n) for n, df in raw.items()}
+    return paths | build(spark, out_root, gates=gates)

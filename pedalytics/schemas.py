@@ -65,7 +65,7 @@ PERIOD_COLUMNS = {
     "station_usage_month": "기준년월",
 }
 
-# raw column -> candidate source headers (first match wins; see resolve_column)
+# raw column -> candidate source headers (ranked; see HeaderIndex)
 SIGNUP_SOURCE_COLUMNS = {
     "signup_ym": ("가입년월",),
     "member_type_raw": ("회원구분",),

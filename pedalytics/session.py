@@ -25,11 +25,6 @@ PIPELINE_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # The JIT does not compile methods above 8000 bytecodes; a fused stage
-    # beyond that runs interpreted and slower than unfused operators.  Fall
-    # back exactly where the JIT would give up.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -47,30 +42,30 @@ _SHIPPED: set[tuple[int, str]] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make this package importable by the Python workers (``addPyFile``), once per session.
 
-    The per-partition functions (encoding detection, workbook reading, file
-    export) live in this package; executors import them from the zip, which
-    is written to the shared checkpoint folder.
+    The zip goes to the shared folder, from which every executor fetches it.
+    A cluster that names none can run all queries that need no Python workers.
     """
     key = session_key(spark)
     if key in _SHIPPED:
         return
-    from pedalytics.sources import fs  # local import: fs only needs pyarrow
-
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    buf = io.BytesIO()
-    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in sorted(os.walk(pkg)):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    data = buf.getvalue()
-    path = f"{checkpoint_root(spark)}/pyfiles/pedalytics-{hashlib.sha1(data).hexdigest()[:16]}.zip"
-    try:
-        fs.write_bytes(path, data)
-        spark.sparkContext.addPyFile(path)
-    except Exception:  # noqa: BLE001 - already registered, or a session without a context
-        pass
+    if _named_root(spark) or _is_local(spark):
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        buf = io.BytesIO()
+        with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in sorted(os.walk(pkg)):
+                for n in sorted(names):
+                    if n.endswith(".py"):
+                        full = os.path.join(folder, n)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        data = buf.getvalue()
+        path = f"{checkpoint_root(spark)}/pyfiles/pedalytics-{hashlib.sha1(data).hexdigest()[:16]}.zip"
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(target):
+            stream = fs.create(target)
+            stream.write(bytearray(data))
+            stream.close()
+        spark.sparkContext.addPyFile(str(fs.makeQualified(target).toString()))
     _SHIPPED.add(key)
 
 
@@ -96,28 +91,36 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8,
 
 def session_key(spark: SparkSession) -> tuple[int, str]:
     """Identity of a live session, for reusing plans built on it."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # noqa: BLE001 - remote sessions expose no context
-        app = ""
-    return id(spark), app
+    return id(spark), spark.sparkContext.applicationId
+
+
+def _is_local(spark: SparkSession) -> bool:
+    return (spark.conf.get("spark.master", None) or "local").split("[")[0] == "local"
+
+
+def _named_root(spark: SparkSession) -> str | None:
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    return root.rstrip("/") if root else None
+
+
+_LOCAL_ROOTS: dict[tuple[int, str], str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, local runs) a fresh local
-    folder is created and registered, so a cluster run always writes to the
-    folder the cluster provides.
+    Only a local session that names none gets a fresh folder of its own; on
+    a cluster that would be a different disk on every machine, so there the
+    missing setting is an error.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="pedalytics-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    return d.rstrip("/")
+    if root := _named_root(spark):
+        return root
+    if not _is_local(spark):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    key = session_key(spark)
+    if key not in _LOCAL_ROOTS:
+        _LOCAL_ROOTS[key] = os.path.join(tempfile.mkdtemp(prefix="run-"), "shared")
+    return _LOCAL_ROOTS[key]
 
 
 def scratch_dir(spark: SparkSession, label: str = "run") -> str:

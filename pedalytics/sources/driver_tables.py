@@ -90,7 +90,9 @@ def raw_ride_month(spark: SparkSession, sf_dir: str) -> DataFrame:
         _ym(F.col("l_shipdate")).alias("ride_ym"),
         F.when(F.col("l_suppkey") % 25 == 24, "9980")
         .when(F.col("l_linenumber") == 7, F.concat(supp, F.lit(".0")))
-        .when(F.col("l_partkey") % 97 == 0, "nan").otherwise(supp).alias("station_id_raw"),
+        .when(F.col("l_partkey") % 97 == 0, "nan")
+        .when(F.col("l_partkey") % 89 == 0, F.concat(supp, F.lit("D")))
+        .when(F.col("l_partkey") % 83 == 0, "9007199254740993").otherwise(supp).alias("station_id_raw"),
         F.when(F.col("l_partkey") % 50 == 0, "중랑 as센터")
         .when(F.col("l_partkey") % 11 == 0, F.concat(F.lit("Station "), supp))
         .otherwise(F.concat(F.lit(" "), supp, F.lit(". Station "), supp, F.lit("."),

@@ -1,15 +1,16 @@
 """Write raw tables out as source files (CSV in the source encodings, XLSX workbooks).
 
 Used to exercise the file ingest on data derived from the driver tables.
-Each Spark task writes the rows of its own partition into one part file
-per logical source file it holds
-(``<root>/<folder>/<source_file>/part-<partition>.<ext>``), so no file,
-group or table passes through the driver or a single task.  Part names
-are deterministic, so a retried task overwrites its own output.
+CSV files are written by Spark's CSV writer, one folder of part files per
+source file; workbooks by one Python call per task (Spark has no writer for
+them), as ``part-<partition>-<k>.xlsx``, so a retried task overwrites its own
+output.  No file, group or table passes through the driver or a single task.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pedalytics import schemas as K
-from pedalytics.sources import fs, xlsx
+from pedalytics.sources import files, fs, xlsx
 
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("rows", T.LongType())])
+WORKBOOK_ROWS = 100_000  # rows of one workbook; the format holds 1,048,576
 
 # dataset -> (raw table, [(source header, raw column)], month column)
 CSV_LAYOUT = {
@@ -43,85 +45,83 @@ DRIFT_BEFORE_YM = 202401
 BOM_USAGE_YEAR = 2025
 
 
-def csv_encoding(dataset: str, ym: Column) -> Column:
+def _groups(dataset: str, ym: Column) -> list[tuple[Column, str, bool]]:
+    """(rows, encoding, drifted header) of the files that are written alike."""
     if dataset == "station_usage_month":
-        return F.when((ym / 100).cast("int") == BOM_USAGE_YEAR, "utf-8-sig").otherwise("cp949")
-    return F.lit("cp949")
-
-
-def _part_name(ext: str) -> str:
-    tc = TaskContext.get()
-    pid = tc.partitionId() if tc is not None else 0
-    return f"part-{pid:05d}.{ext}"
-
-
-def _csv_writer(headers_by_drift: dict[bool, list[str]], folder: str):
-    """One part file per task and logical file; batches are streamed into it."""
-    def write(it):
-        streams: dict[str, tuple] = {}
-        try:
-            for pdf in it:
-                for (name, enc, drift), g in pdf.groupby(["_file", "_enc", "_drift"], sort=False):
-                    body = g.drop(columns=["_file", "_enc", "_drift"])
-                    body.columns = headers_by_drift[bool(drift)]
-                    if name not in streams:
-                        path = f"{folder}/{name}/{_part_name('csv')}"
-                        streams[name] = (path, fs.open_output(path), [0])
-                        # header (and the byte-order mark of utf-8-sig) once per file
-                        data = body.to_csv(index=False, lineterminator="\n").encode(enc)
-                    else:
-                        data = body.to_csv(index=False, header=False, lineterminator="\n") \
-                            .encode("utf-8" if enc == "utf-8-sig" else enc)
-                    streams[name][1].write(data)
-                    streams[name][2][0] += len(g)
-        finally:
-            for _, stream, _ in streams.values():
-                stream.close()
-        yield pd.DataFrame([(p, n[0]) for p, _, n in streams.values()], columns=["path", "rows"])
-    return write
-
-
-def export_csv(raw: DataFrame, dataset: str, root: str) -> int:
-    """Write one raw table as the dataset's CSV files; returns the number of rows written."""
-    table, layout = CSV_LAYOUT[dataset]
-    folder = f"{root.rstrip('/')}/{K.DATASET_FILES[dataset][0]}"
-    ym_col = {"signup_month": "signup_ym", "ride_month": "ride_ym",
-              "station_usage_month": "usage_ym"}[dataset]
-    headers = [h for h, _ in layout]
-    drift_headers = [DRIFT_HEADER if h == "이동거리(M)" else h for h in headers]
-    ym = F.col(ym_col)
-    drift = (ym < DRIFT_BEFORE_YM) if dataset == "ride_month" else F.lit(False)
-    src = raw.select(F.col("source_file").alias("_file"),
-                     csv_encoding(dataset, ym).alias("_enc"), drift.alias("_drift"),
-                     *[F.col(c).cast("string").alias(c) for _, c in layout])
-    manifest = src.mapInPandas(_csv_writer({False: headers, True: drift_headers}, folder), MANIFEST)
-    return manifest.agg(F.sum("rows")).first()[0] or 0
+        bom = (ym / 100).cast("int") == BOM_USAGE_YEAR
+        return [(bom, "utf-8-sig", False), (~bom, "cp949", False)]
+    if dataset == "ride_month":
+        return [(ym < DRIFT_BEFORE_YM, "cp949", True), (ym >= DRIFT_BEFORE_YM, "cp949", False)]
+    return [(F.lit(True), "cp949", False)]
+
+
+def export_csv(raw: DataFrame, dataset: str, root: str, ordered: bool = False) -> None:
+    """Write one raw table as the dataset's CSV files.
+
+    ``ordered``: rows sorted by file and all columns over the whole table, so
+    that a file's first part begins with its least rows.
+    """
+    spark = raw.sparkSession
+    _, layout = CSV_LAYOUT[dataset]
+    folder = f"{files.qualified(spark, root)}/{K.DATASET_FILES[dataset][0]}"
+    ym = F.col({"signup_month": "signup_ym", "ride_month": "ride_ym", "station_usage_month": "usage_ym"}[dataset])
+    for rows, encoding, drift in _groups(dataset, ym):
+        headers = [DRIFT_HEADER if drift and h == "이동거리(M)" else h for h, _ in layout]
+        if encoding == "utf-8-sig":
+            headers[0] = "\ufeff" + headers[0]
+        part = raw.filter(rows).select(F.col("source_file").alias("_file"), *[
+            F.col(c).cast("string").alias(h) for h, (_, c) in zip(headers, layout, strict=True)])
+        if ordered:
+            part = part.orderBy(*[F.col(f"`{c}`").asc_nulls_first() for c in part.columns])
+        out = f"{folder}/_written-{uuid.uuid4().hex[:12]}"
+        (part.write.partitionBy("_file").option("header", True).option("escape", '"')
+         .option("encoding", files.SPARK_ENCODING[encoding])
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(out))
+        _publish(spark, out, folder)
+
+
+def _publish(spark, out: str, folder: str) -> None:
+    """Give each partition folder ``_file=NAME`` the name of its source file (metadata only)."""
+    hadoop, path = files._hadoop(spark, out)
+    for status in hadoop.listStatus(path):
+        name = status.getPath().getName()
+        if name.startswith("_file="):
+            target = files._hadoop(spark, f"{folder}/{name[len('_file='):]}")[1]
+            if not hadoop.rename(status.getPath(), target):
+                raise OSError(f"cannot place {target}")
 
 
 def _xlsx_writer(folder: str):
-    """One workbook per task and snapshot file (a workbook cannot be appended to)."""
+    """Workbooks of up to WORKBOOK_ROWS rows per task and snapshot file (a workbook cannot be appended to)."""
     def write(it):
         rows: dict[str, list] = {}
+        count: dict[str, int] = {}
+
+        def flush(name):
+            k = count[name] = count.get(name, -1) + 1
+            path = f"{folder}/{name}/part-{TaskContext.get().partitionId():05d}-{k:03d}.xlsx"
+            own = rows.pop(name)
+            fs.write_bytes(path, xlsx.write_workbook(own))
+            return pd.DataFrame([(path, len(own))], columns=["path", "rows"])
+
         for pdf in it:
             for name, g in pdf.groupby("_file", sort=False):
-                rows.setdefault(name, []).extend(
-                    g[list(K.SNAPSHOT_POSITIONAL_COLUMNS)].itertuples(index=False, name=None))
-        out = []
-        for name, rs in rows.items():
-            path = f"{folder}/{name}/{_part_name('xlsx')}"
-            fs.write_bytes(path, xlsx.write_workbook(rs))
-            out.append((path, len(rs)))
-        yield pd.DataFrame(out, columns=["path", "rows"])
+                for at in range(0, len(g), WORKBOOK_ROWS):
+                    part = g[list(K.SNAPSHOT_POSITIONAL_COLUMNS)].iloc[at:at + WORKBOOK_ROWS]
+                    rows.setdefault(name, []).extend(part.itertuples(index=False, name=None))
+                    if len(rows[name]) >= WORKBOOK_ROWS:
+                        yield flush(name)
+        for name in list(rows):
+            yield flush(name)
     return write
 
 
-def export_xlsx(raw_snapshot: DataFrame, root: str) -> int:
+def export_xlsx(raw_snapshot: DataFrame, root: str) -> None:
     """Write the snapshot table as workbooks, one folder per snapshot file name."""
-    folder = f"{root.rstrip('/')}/{K.DATASET_FILES['station_snapshot'][0]}"
+    folder = f"{files.qualified(raw_snapshot.sparkSession, root)}/{K.DATASET_FILES['station_snapshot'][0]}"
     src = raw_snapshot.select(F.col("source_file").alias("_file"),
                               *[F.col(c).cast("string") for c in K.SNAPSHOT_POSITIONAL_COLUMNS])
-    manifest = src.mapInPandas(_xlsx_writer(folder), MANIFEST)
-    return manifest.agg(F.sum("rows")).first()[0] or 0
+    src.mapInPandas(_xlsx_writer(folder), MANIFEST).agg(F.sum("rows")).collect()
 
 
 DATASET_TABLES = {"signup_month": "raw_signup_month", "ride_month": "raw_ride_month",
@@ -129,11 +129,8 @@ DATASET_TABLES = {"signup_month": "raw_signup_month", "ride_month": "raw_ride_mo
                   "station_snapshot": "raw_station_snapshot"}
 
 
-def export_dataset(raw: DataFrame, dataset: str, root: str) -> int:
+def export_dataset(raw: DataFrame, dataset: str, root: str, ordered: bool = False) -> None:
     if dataset == "station_snapshot":
-        return export_xlsx(raw, root)
-    return export_csv(raw, dataset, root)
-
-
-def export_all(raw: dict[str, DataFrame], root: str) -> dict[str, int]:
-    return {ds: export_dataset(raw[t], ds, root) for ds, t in DATASET_TABLES.items()}
+        export_xlsx(raw, root)
+    else:
+        export_csv(raw, dataset, root, ordered)

@@ -1,58 +1,72 @@
 """Source-file discovery, encoding detection, CSV scans and lineage.
 
 * Discovery lists the files matching a dataset's name pattern with the
-  cluster's Hadoop filesystem (metadata only).  A matched entry may be a
-  single file or a folder of part files; both read the same way.
-* Encoding detection runs on the executors: ``mapInPandas`` over the file
-  list reads only the first bytes of each file and tries the candidate
-  codecs in order, so no file content passes through the driver.
-* Files are then read by Spark's CSV source, one read per (encoding,
-  header) group, and aligned by name (``unionByName``), which also absorbs
-  schema drift between files.
+  cluster's Hadoop filesystem (metadata only).  A matched entry, a logical
+  file, may be a single file or a folder of part files; both read the same way.
+* The encoding of a logical file is found from the first lines of its first
+  part, read by Spark's text source.  It is only a proposal: the scan that
+  loads the file fails on any character that does not decode.
+* Logical files that share encoding and header are read by one Spark CSV scan,
+  with all columns as text, and aligned by name (``unionByName``), which also
+  absorbs schema drift between files.
 """
 
 from __future__ import annotations
 
 import codecs
 import csv
+from dataclasses import dataclass
 from functools import reduce
 
-import pandas as pd
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pedalytics import schemas as K
 from pedalytics.functions import columns as C
-from pedalytics.sources import fs
 
-HEAD_BYTES = 1 << 16     # bytes read per file for encoding/header detection
 HEAD_ROWS = 5            # data rows that must decode (plus the header)
 
 # Python codec name -> Spark CSV ``encoding`` option
 SPARK_ENCODING = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp949": "cp949",
                   "euc-kr": "EUC-KR"}
+CORRUPT = "_corrupt_record"
+REPLACED = "�"      # what the decoder puts in place of bytes that fit no character
 
-FILE_INFO = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("encoding", T.StringType()),
-    T.StructField("header", T.StringType()),
-])
+
+class UnreadableFiles(ValueError):
+    """Source files that cannot be read; the message names them."""
+
+
+@dataclass(frozen=True)
+class SourceFile:
+    path: str
+    name: str
+    encoding: str | None
+    header: tuple[str, ...] = ()
+    error: str | None = None
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the cluster's filesystem."""
+    fs, p = _hadoop(spark, path)
+    return str(fs.makeQualified(p).toString())
 
 
 def _glob(spark: SparkSession, pattern: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(pattern)
-    stats = path.getFileSystem(conf).globStatus(path)
-    return sorted(str(s.getPath().toString()) for s in (stats or []))
+    fs, p = _hadoop(spark, pattern)
+    return sorted(str(s.getPath().toString()) for s in (fs.globStatus(p) or []))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(conf).exists(p))
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _hadoop(spark, path)
+    return bool(fs.exists(p))
 
 
 def _glob_escape(s: str) -> str:
@@ -63,51 +77,51 @@ def find_files(spark: SparkSession, root: str, dataset: str) -> list[str]:
     """Files of a dataset in ``root/<folder>``, else in ``root`` itself, sorted."""
     folder, pattern = K.DATASET_FILES[dataset]
     root = root.rstrip("/")
-    base = f"{root}/{folder}" if _exists(spark, f"{root}/{folder}") else root
+    base = f"{root}/{folder}" if exists(spark, f"{root}/{folder}") else root
     return _glob(spark, f"{_glob_escape(base)}/{pattern}")
 
 
-def physical_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Leaf files under the matched entries: (path, length). File content is not read."""
-    if not paths:
-        return spark.createDataFrame([], "path string, length bigint")
-    return spark.read.format("binaryFile").load(paths).select("path", "length")
+def leaf_name(path: str) -> str:
+    return path.rstrip("/").rsplit("/", 1)[-1]
 
 
-def detect_one(head: bytes, candidates=K.ENCODING_CANDIDATES) -> tuple[str | None, str | None]:
-    """First candidate codec that decodes the header plus HEAD_ROWS rows.
+def first_part(spark: SparkSession, path: str) -> str:
+    """The file itself, or the first data file of a folder of part files."""
+    fs, p = _hadoop(spark, path)
+    if not fs.getFileStatus(p).isDirectory():
+        return path
+    parts = sorted(str(s.getPath().toString()) for s in fs.listStatus(p) if s.getLen() > 0)
+    parts = [x for x in parts if not leaf_name(x).startswith(("_", "."))]
+    if not parts:
+        raise UnreadableFiles(f"no data file in {path}")
+    return parts[0]
 
-    Returns (codec, header columns joined by ', ') or (None, None).
-    """
-    lines = head.split(b"\n")
-    complete = lines[:-1] if len(lines) > 1 else lines
-    sample = b"\n".join(complete[:HEAD_ROWS + 1])
+
+def detect_one(lines: list[bytes], candidates=K.ENCODING_CANDIDATES) -> tuple[str | None, tuple[str, ...]]:
+    """First candidate codec that decodes the given first lines, and the header's columns."""
     for enc in candidates:
         try:
-            text = codecs.decode(sample, enc)
+            first, *_ = [codecs.decode(x, enc) for x in lines] or [""]
         except (UnicodeDecodeError, LookupError):
             continue
-        first = text.split("\n", 1)[0].rstrip("\r")
-        names = next(csv.reader([first]), [])
-        return enc, ", ".join(names)
-    return None, None
+        return enc, tuple(next(csv.reader([first.lstrip("﻿").rstrip("\r")]), []))
+    return None, ()
 
 
-def _detect_batches(it):
-    for pdf in it:
-        out = []
-        for p in pdf["path"]:
-            try:
-                enc, header = detect_one(fs.read_head(p, HEAD_BYTES))
-            except OSError:
-                enc, header = None, None
-            out.append((p, enc, header))
-        yield pd.DataFrame(out, columns=["path", "encoding", "header"])
+def detect(spark: SparkSession, path: str) -> SourceFile:
+    """S2/S6 for one logical file: its first six lines decide; a file that cannot be read keeps its error."""
+    try:
+        head = spark.read.text(_glob_escape(first_part(spark, path))).limit(HEAD_ROWS + 1) \
+            .select(F.col("value").cast("binary").alias("b")).collect()
+        enc, header = detect_one([bytes(r["b"]) for r in head])
+    except (PySparkException, UnreadableFiles) as e:
+        return SourceFile(path, leaf_name(path), None, error=f"{type(e).__name__}: {str(e).splitlines()[0]}")
+    return SourceFile(path, leaf_name(path), enc, header, None if enc else "cannot detect encoding")
 
 
-def detect_encodings(files: DataFrame) -> DataFrame:
-    """S2 on the executors: (path, encoding, header) per physical file; encoding NULL if none fits."""
-    return files.select("path").mapInPandas(_detect_batches, FILE_INFO)
+def detect_all(spark: SparkSession, paths: list[str]) -> list[SourceFile]:
+    """One entry per logical file (a dataset has a handful of them, however many parts each has)."""
+    return [detect(spark, p) for p in paths]
 
 
 def logical_file_name(path: Column) -> Column:
@@ -127,68 +141,97 @@ def scan_file_name() -> Column:
     return C.decoded_file_name(logical_file_name(F.col("_metadata.file_path")))
 
 
-def clean_col_name(name: str) -> str:
-    """Header cleaning (trim, newline -> blank)."""
-    return str(name).strip().replace("\n", " ")
+# characters that headers of the same column differ in
+_HEADER_BLANKS = str.maketrans("", "", " \n\r\t")
+
+
+class HeaderIndex:
+    """Header cells by their text without blanks; finds the cell that stands for a canonical column."""
+
+    def __init__(self, header: tuple[str, ...] | list[str]):
+        self.cells = [(h.translate(_HEADER_BLANKS), h) for h in header]
+
+    def find(self, wanted: tuple[str, ...]) -> str | None:
+        """The best-ranked cell: an equal one before one that contains or is contained.
+
+        Among equals the order of ``wanted`` decides.  Two cells of the best
+        rank for one name are an error, not a guess.
+        """
+        keys = [w.translate(_HEADER_BLANKS) for w in wanted]
+        ranked = [(0 if k == c else 1, i, cell) for i, k in enumerate(keys) for c, cell in self.cells
+                  if c and (k == c or k in c or c in k)]
+        best = [cell for r in [min(ranked, default=None)] if r for rank, i, cell in ranked if (rank, i) == r[:2]]
+        if len(best) > 1:
+            raise UnreadableFiles(f"columns {best} all fit {wanted[0]}")
+        return best[0] if best else None
+
+
+def tidy_header(name: str) -> str:
+    """A header cell on one line, without surrounding blanks."""
+    return " ".join(part.strip() for part in name.splitlines()).strip() if name else ""
 
 
-def resolve_column(columns: list[str], candidates: tuple[str, ...]) -> str | None:
-    """A source column for a canonical column.
+def read_csv_group(spark: SparkSession, group: list[SourceFile]) -> DataFrame:
+    """S3: scan of logical files sharing encoding and header; all columns as text, by position ``c0, c1 ...``.
 
-    Exact match ignoring blanks and newlines first, then containment in
-    either direction; candidates are tried in order.
+    Adds ``_source_file`` and ``_problem``: why a row is not what the file
+    holds (wrong number of fields, an open quote, bytes that do not decode),
+    else NULL.  A part whose header differs from the first part's stops the scan.
     """
-    def squash(s: str) -> str:
-        return str(s).replace(" ", "").replace("\n", "")
-    norm = {squash(c): c for c in columns}
-    for cand in candidates:
-        if squash(cand) in norm:
-            return norm[squash(cand)]
-    for cand in candidates:
-        key = squash(cand)
-        for n, original in norm.items():
-            if key in n or n in key:
-                return original
-    return None
-
-
-def read_csv_group(spark: SparkSession, paths: list[str], encoding: str) -> DataFrame:
-    """S3: Spark CSV scan of files sharing an encoding and header, all columns as text."""
-    return (spark.read.option("header", True).option("encoding", SPARK_ENCODING[encoding])
-            .option("mode", "PERMISSIVE").option("inferSchema", False).csv(paths)
-            .select("*", scan_file_name().alias("_source_file")))
-
-
-def file_groups(info: DataFrame) -> list[tuple[str, str, list[str]]]:
-    """(encoding, header, paths) groups of a detected file list.
-
-    The list holds one short row per file (metadata), never file content.
+    header = group[0].header
+    # the scan checks each part's header against these names, so they stay as written
+    names = [h if h and header.index(h) == i else f"_c{i}" for i, h in enumerate(header)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+    df = (spark.read.schema(schema).option("header", True).option("enforceSchema", len(set(header)) < len(header))
+          .option("encoding", SPARK_ENCODING[group[0].encoding]).option("quote", '"').option("escape", '"')
+          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+          .option("columnPruning", False).csv([_glob_escape(f.path) for f in group]))
+    cols = [F.col(f"`{n}`") for n in names]
+    bad = reduce(lambda a, b: a | b, [F.coalesce(F.contains(c, F.lit(REPLACED)), F.lit(False)) for c in cols])
+    problem = F.when(F.col(CORRUPT).isNotNull(), "malformed row").when(bad, "bytes that do not decode")
+    return df.select(*[c.alias(f"c{i}") for i, c in enumerate(cols)], scan_file_name().alias("_source_file"),
+                     problem.alias("_problem"))
+
+
+def csv_groups(found: list[SourceFile]) -> list[list[SourceFile]]:
+    """Readable files grouped by encoding and header."""
+    groups: dict[tuple, list[SourceFile]] = {}
+    for f in found:
+        if f.encoding:
+            groups.setdefault((f.encoding, f.header), []).append(f)
+    return [groups[k] for k in sorted(groups)]
+
+
+def stop_on_problem(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` without ``_problem``; a row that has one stops the job and names its file.
+
+    The test is a filter, so no later choice of columns can drop it.
     """
-    rows = info.filter(F.col("encoding").isNotNull()).groupBy("encoding", "header") \
-        .agg(F.sort_array(F.collect_list("path")).alias("paths")).collect()
-    return sorted((r["encoding"], r["header"], list(r["paths"])) for r in rows)
+    told = F.raise_error(F.concat(F.lit("unreadable source file "), F.col("_source_file"), F.lit(": "),
+                                  F.col("_problem")))
+    return df.filter(F.when(F.col("_problem").isNull(), F.lit(True)).otherwise(told.cast("boolean"))).drop("_problem")
 
 
 def read_dataset_csv(spark: SparkSession, files: list[str],
                      mapping: dict[str, tuple[str, ...]]) -> DataFrame:
     """Read a dataset's CSV files into canonical column names (text), plus ``_source_file``.
 
-    Files are grouped by detected encoding and header; each group is one
-    Spark scan whose columns are resolved against ``mapping``; a column a
-    group lacks becomes NULL.  Groups are aligned with ``unionByName``.
+    A file without a fitting encoding stops the load at once; a row that is
+    malformed or does not decode stops it when the row is read.  A column that
+    a group lacks becomes NULL.
     """
-    info = detect_encodings(physical_files(spark, files))
+    found = detect_all(spark, files)
+    if bad := [f"{f.path} ({f.error})" for f in found if f.encoding is None]:
+        raise UnreadableFiles("unreadable source files: " + "; ".join(bad))
     frames = []
-    for enc, _header, paths in file_groups(info):
-        df = read_csv_group(spark, paths, enc)
-        cols = [c for c in df.columns if c != "_source_file"]
-        cleaned = {clean_col_name(c): c for c in cols}
+    for group in csv_groups(found):
+        df, index = read_csv_group(spark, group), HeaderIndex([tidy_header(h) for h in group[0].header])
+        places = {tidy_header(h): f"c{i}" for i, h in reversed(list(enumerate(group[0].header)))}
         sel = []
-        for target, cands in mapping.items():
-            src = resolve_column(list(cleaned), cands)
-            sel.append((F.col(f"`{cleaned[src]}`") if src is not None
-                        else F.lit(None).cast("string")).alias(target))
-        frames.append(df.select(*sel, "_source_file"))
+        for target, wanted in mapping.items():
+            cell = index.find(wanted)
+            sel.append((F.col(places[cell]) if cell is not None else F.lit(None).cast("string")).alias(target))
+        frames.append(stop_on_problem(df).select(*sel, "_source_file"))
     if not frames:
         schema = ", ".join(f"`{c}` string" for c in [*mapping, "_source_file"])
         return spark.createDataFrame([], schema)

@@ -1,8 +1,7 @@
-"""Executor-side file access through pyarrow's filesystem layer.
+"""Writing of workbooks from executors, through pyarrow's filesystem layer.
 
-Paths come from Spark (``binaryFile``'s ``path`` column or a folder the
-caller names); local paths and remote URIs (hdfs://, s3://, gs://) both
-work, so the same code runs in local tests and on a cluster.
+Paths are full URIs (the driver asks Spark's filesystem for the scheme), so
+an executor never takes a shared folder for one on its own disk.
 """
 
 from __future__ import annotations
@@ -13,32 +12,14 @@ import pyarrow.fs as pafs
 
 
 def resolve(path: str):
+    if ":" not in path.split("/", 1)[0]:
+        raise ValueError(f"a path without a scheme names no shared folder: {path}")
     if path.startswith("file:"):
-        p = path[5:]
-        while p.startswith("//"):
-            p = p[1:]
-        return pafs.LocalFileSystem(), p
-    if "://" not in path:
-        return pafs.LocalFileSystem(), path
+        return pafs.LocalFileSystem(), "/" + path[5:].lstrip("/")
     fs, p = pafs.FileSystem.from_uri(path)
     return fs, unquote(p)
 
 
-def read_head(path: str, n: int) -> bytes:
-    fs, p = resolve(path)
-    with fs.open_input_stream(p) as f:
-        return f.read(n)
-
-
-def open_output(path: str):
-    """A writable stream at ``path`` (parent folders created)."""
-    fs, p = resolve(path)
-    parent = p.rsplit("/", 1)[0]
-    if parent:
-        fs.create_dir(parent, recursive=True)
-    return fs.open_output_stream(p)
-
-
 def write_bytes(path: str, data: bytes) -> None:
     fs, p = resolve(path)
     parent = p.rsplit("/", 1)[0]

@@ -30,7 +30,7 @@ def _normalise(df: DataFrame, schema, loaded_at: str | None) -> DataFrame:
         elif f.name == "loaded_at":
             out.append(_loaded_at(loaded_at).alias("loaded_at"))
         elif f.name in K.INT_RAW_COLUMNS or f.name == "snapshot_ym":
-            out.append(C.to_int_coerce(f.name).cast(f.dataType).alias(f.name))
+            out.append(C.to_int_coerce(f.name).try_cast(f.dataType).alias(f.name))
         else:
             out.append(C.null_tokens(f.name).alias(f.name))
     return df.select(*out)
@@ -94,7 +94,9 @@ def positional(rows: DataFrame) -> DataFrame:
 def load_raw_station_snapshot(spark: SparkSession, root: str | None, loaded_at: str | None = None,
                               paths: list[str] | None = None) -> DataFrame:
     """Positional read -> drop empty rows -> keep numeric ids -> text normalisation."""
-    data = positional(workbook_rows(spark, root, paths))
+    rows = workbook_rows(spark, root, paths).withColumn("_problem", F.col("error")) \
+        .withColumn("_source_file", F.col("file_name"))
+    data = positional(files.stop_on_problem(rows))
     data = data.na.drop("all", subset=list(K.SNAPSHOT_POSITIONAL_COLUMNS)) \
         .filter(C.is_numeric_text("station_id_raw"))
     out = [F.col("snapshot_ym").cast("int").alias("snapshot_ym"),

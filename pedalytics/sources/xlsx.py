@@ -96,15 +96,13 @@ def read_sheet(data: bytes, preferred: str = K.SNAPSHOT_SHEET):
 
 def _sheet_batches(it):
     for pdf in it:
-        out = []
         for path, content in zip(pdf["path"], pdf["content"]):
             try:
                 names, used, rows = read_sheet(bytes(content))
-                for idx, cells in rows:
-                    out.append((path, ", ".join(names), used, idx, cells, None))
-            except Exception as e:  # noqa: BLE001 - a broken workbook becomes a status row
-                out.append((path, None, None, None, None, f"{type(e).__name__}: {e}"))
-        yield pd.DataFrame(out, columns=SHEET_ROWS.fieldNames())
+                out = [(path, ", ".join(names), used, idx, cells, None) for idx, cells in rows]
+            except Exception as e:  # noqa: BLE001 - a broken workbook becomes a row that loads stop on
+                out = [(path, None, None, None, None, f"{type(e).__name__}: {e}")]
+            yield pd.DataFrame(out, columns=SHEET_ROWS.fieldNames())
 
 
 def sheet_rows(workbooks: DataFrame) -> DataFrame:

@@ -1,9 +1,12 @@
 """File ingest on hand-made files: encodings, BOM, drift, failures, workbooks."""
 
+import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
+from pedalytics.functions import columns as C
 from pedalytics.operators import filecheck
 from pedalytics.sources import files, loaders, xlsx
 
@@ -17,18 +20,21 @@ def write(path, text, enc):
 
 
 def test_detect_one():
-    assert files.detect_one("가입년월,성별\n202401,M\n".encode("cp949"))[0] == "cp949"
-    assert files.detect_one("가입년월,성별\n".encode("utf-8-sig")) == ("utf-8-sig", "가입년월, 성별")
-    assert files.detect_one(b"a,b\n1,2\n") == ("utf-8-sig", "a, b")
-    assert files.detect_one(b"\xff\xff\xff\n") == (None, None)
+    assert files.detect_one(["가입년월,성별".encode("cp949"), "202401,M".encode("cp949")])[0] == "cp949"
+    assert files.detect_one(["가입년월,성별".encode("utf-8-sig")]) == ("utf-8-sig", ("가입년월", "성별"))
+    assert files.detect_one([b"a,b", b"1,2"]) == ("utf-8-sig", ("a", "b"))
+    assert files.detect_one([b"\xff\xff\xff"]) == (None, ())
+    assert files.detect_one([]) == ("utf-8-sig", ())
 
 
-def test_resolve_column():
-    cols = ["대여 일자", "이용거리(M)", "이용시간\n(분)"]
-    assert files.resolve_column(cols, ("대여일자",)) == "대여 일자"
-    assert files.resolve_column(cols, ("이동거리(M)", "이용거리(M)")) == "이용거리(M)"
-    assert files.resolve_column(cols, ("이용시간(분)",)) == "이용시간\n(분)"
-    assert files.resolve_column(cols, ("없음",)) is None
+def test_header_index():
+    index = files.HeaderIndex(["대여 일자", "이용거리(M)", "이용시간\n(분)"])
+    assert index.find(("대여일자",)) == "대여 일자"
+    assert index.find(("이동거리(M)", "이용거리(M)")) == "이용거리(M)"
+    assert index.find(("이용시간(분)",)) == "이용시간\n(분)"
+    assert index.find(("없음",)) is None
+    with pytest.raises(files.UnreadableFiles):
+        files.HeaderIndex(["거리(M)", "거리(km)"]).find(("거리",))
 
 
 def test_ride_csv_mixed_encodings_and_drift(spark, tmp_root):
@@ -64,8 +70,63 @@ def test_undecodable_file_is_a_failed_row(spark, tmp_root):
     assert out["bad.csv"].status == "fail: cannot detect encoding"
     assert out["bad.csv"].encoding == "READ_FAILED" and out["bad.csv"].row_count is None
     assert (out["ok.csv"].status, out["ok.csv"].row_count, out["ok.csv"].period_min) == ("ok", 1, 202401)
-    raw = loaders.load_raw_signup_month(spark, tmp_root, "L").collect()
-    assert [(r.signup_ym, r.signup_cnt_raw, r.gender_raw) for r in raw] == [(202401, 5, "M")]
+    with pytest.raises(files.UnreadableFiles, match="_bad.csv"):
+        loaders.load_raw_signup_month(spark, tmp_root, "L")
+
+
+SIGNUP = "서울특별시 공공자전거 신규가입자 정보(월별)_x.csv"
+SIGNUP_HEADER = "가입년월,회원구분,연령대,성별,가입건수\n"
+
+
+@pytest.mark.parametrize(("body", "problem"), [
+    (("202401,개인,20대,M,5\n" * 9).encode() + "202409,개인,30대,M,5\n".encode("cp949"), "bytes that do not decode"),
+    ("202401,개인,20대,M,5,extra\n".encode(), "malformed row"),
+    ("202401,개인,20대\n".encode(), "malformed row"),
+    ('202401,"개\n인",20대,M,5\n'.encode(), "malformed row"),
+])
+def test_bad_rows_stop_the_load_and_are_reported(spark, tmp_root, body, problem):
+    write(os.path.join(tmp_root, "signup_month", SIGNUP), SIGNUP_HEADER.encode() + body, None)
+    with pytest.raises(Exception, match=problem):
+        loaders.load_raw_signup_month(spark, tmp_root, "L").select("signup_ym").collect()
+    chk = filecheck.csv_file_check(spark, tmp_root, "signup_month").first()
+    assert chk.status.startswith("fail: ") and problem in chk.status and chk.row_count is None
+
+
+def test_quotes_numbers_and_empty_files(spark, tmp_root):
+    write(os.path.join(tmp_root, "signup_month", SIGNUP), SIGNUP_HEADER
+          + '202401,"개""인"" x","a,b",M,9007199254740993\n99999999999,단체,30대,F,12.0\n', "cp949")
+    write(os.path.join(tmp_root, "signup_month", SIGNUP.replace("_x", "_y")), SIGNUP_HEADER, "cp949")
+    rows = loaders.load_raw_signup_month(spark, tmp_root, "L").orderBy("signup_ym").collect()
+    assert [(r.signup_ym, r.member_type_raw, r.age_band_raw, r.signup_cnt_raw) for r in rows] == [
+        (None, "단체", "30대", 12), (202401, '개"인" x', "a,b", 9007199254740993)]
+    chk = {r.file_name[-5]: r for r in filecheck.csv_file_check(spark, tmp_root, "signup_month").collect()}
+    assert (chk["y"].row_count, chk["y"].status, chk["x"].row_count) == (0, "ok", 2)
+
+
+def test_numeric_text(spark):
+    values = ["207", "207D", "207f", " 12.0 ", "1e2", "0x1F", "9007199254740993", "nan", "inf", "1.5", "", None, "1" * 30]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    got = df.select("v", C.is_numeric_text("v").alias("n"), C.to_int_coerce("v").alias("i")).collect()
+    assert {r.v: (r.n, r.i) for r in got} == {
+        "207": (True, 207), "207D": (False, None), "207f": (False, None), " 12.0 ": (True, 12), "1e2": (True, 100),
+        "0x1F": (False, None), "9007199254740993": (True, 9007199254740993), "nan": (False, None), "inf": (True, None),
+        "1.5": (True, None), "": (False, None), None: (False, None), "1" * 30: (True, None)}
+
+
+def test_preview_has_all_datasets_and_failures(spark, tmp_root):
+    write(os.path.join(tmp_root, "signup_month", SIGNUP), SIGNUP_HEADER + "202401,,20대,M,5\n202402,a,b,c,1\n202403,a,b,c,1\n",
+          "cp949")
+    write(os.path.join(tmp_root, "ride_month", "서울특별시 공공자전거 이용정보(월별)_x.csv"), b"\xff\xff\n", None)
+    write(os.path.join(tmp_root, "station_snapshot", "공공자전거 대여소 정보(24.6월 기준).xlsx"),
+          xlsx.write_workbook([("102", "망원역")]), None)
+    got = {r.dataset_key: r for r in filecheck.sample_preview(spark, tmp_root).collect()}
+    assert json.loads(got["signup_month"].sample_json) == [
+        {"가입년월": "202401", "회원구분": None, "연령대": "20대", "성별": "M", "가입건수": "5"},
+        {"가입년월": "202402", "회원구분": "a", "연령대": "b", "성별": "c", "가입건수": "1"}]
+    assert got["ride_month"].encoding == "READ_FAILED" and got["ride_month"].sample_json is None
+    sheet = {r.dataset_key: r for r in filecheck.sample_preview(spark, tmp_root, 3).collect()}["station_snapshot"]
+    assert [r["대여소 번호"] for r in json.loads(sheet.sample_json)] == [None, None, "102"]
+    assert filecheck.sample_preview(spark, tmp_root + "/none").count() == 0
 
 
 def test_flat_folder_fallback(spark, tmp_root):
@@ -100,6 +161,8 @@ def test_broken_workbook_reports_failure(spark, tmp_root):
           b"not a zip", None)
     chk = filecheck.xlsx_file_check(spark, tmp_root).first()
     assert chk.snapshot_ym == 202506 and chk.status.startswith("fail: BadZipFile")
+    with pytest.raises(Exception, match="BadZipFile"):
+        loaders.load_raw_station_snapshot(spark, tmp_root, "L").count()
 
 
 def test_part_folders_are_one_logical_file(spark, tmp_root):
