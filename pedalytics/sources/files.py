@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import codecs
 import csv
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.errors import PySparkException
@@ -119,9 +119,18 @@ def detect(spark: SparkSession, path: str) -> SourceFile:
     return SourceFile(path, leaf_name(path), enc, header, None if enc else "cannot detect encoding")
 
 
+def logical_path(path: str) -> str:
+    """The folder of a part file (``name.csv/part-00000.csv``), else the path itself."""
+    return path.rstrip("/").rsplit("/", 1)[0] if leaf_name(path).startswith("part-") else path
+
+
 def detect_all(spark: SparkSession, paths: list[str]) -> list[SourceFile]:
-    """One entry per logical file (a dataset has a handful of them, however many parts each has)."""
-    return [detect(spark, p) for p in paths]
+    """One entry per path; each logical file is looked at once, however many of its parts are given."""
+    known: dict[str, SourceFile] = {}
+    for p in paths:
+        if logical_path(p) not in known:
+            known[logical_path(p)] = detect(spark, p)
+    return [replace(known[logical_path(p)], path=p, name=leaf_name(logical_path(p))) for p in paths]
 
 
 def logical_file_name(path: Column) -> Column:

@@ -29,6 +29,7 @@ RAW_TABLE = {"signup_month": "raw_signup_month", "ride_month": "raw_ride_month",
              "station_usage_month": "raw_station_usage_month",
              "station_snapshot": "raw_station_snapshot"}
 BATCH_COLUMN = "ingest_batch"
+FILES_PER_BATCH = 1000  # file names that one micro-batch hands to the driver
 
 
 def _matches(dataset: str, path: str) -> bool:
@@ -57,16 +58,16 @@ def ingest_new_files(spark: SparkSession, source_root: str, dataset: str, table_
     month = K.MONTH_COLUMN[table]
     ckpt = checkpoint or f"{checkpoint_root(spark)}/stream-{table}"
     listing = (spark.readStream.format("binaryFile").schema(BINARY_FILE_SCHEMA)
-               .option("recursiveFileLookup", "true")
+               .option("recursiveFileLookup", "true").option("maxFilesPerTrigger", FILES_PER_BATCH)
                .option("pathGlobFilter", ext).load(folder).select("path"))
 
     def load_batch(batch: DataFrame, batch_id: int) -> None:
-        # the new file names of this batch (metadata only)
+        # the new file names of this batch (metadata only, at most FILES_PER_BATCH)
         paths = sorted(r["path"] for r in batch.collect() if _matches(dataset, r["path"]))
         if not paths:
             return
         rows = _load(batch.sparkSession, dataset, paths, loaded_at)
-        (rows.withColumn(BATCH_COLUMN, F.lit(batch_id).cast("long")).write.mode("overwrite")
+        (rows.withColumn(BATCH_COLUMN, F.lit(batch_id).cast("long")).hint("rebalance", month).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy(BATCH_COLUMN, month).parquet(target))
 
     writer = listing.writeStream.foreachBatch(load_batch).option("checkpointLocation", ckpt)
