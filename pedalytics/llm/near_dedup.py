@@ -8,6 +8,7 @@ from fractions import Fraction
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -106,21 +107,24 @@ def _fixed(column: pa.Array, dtype: np.dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
+def _survivors(a: np.ndarray, b: np.ndarray, needed: list[int]) -> np.ndarray:
+    """Rows of two signature matrices that stay after comparing them batch by batch."""
+    left, found = np.arange(len(a)), np.zeros(len(a), int)
+    for k, least in enumerate(needed):
+        part = slice(k * STEP, (k + 1) * STEP)
+        found[left] += (a[left, part] == b[left, part]).sum(1)
+        left = left[found[left] >= least]
+    return left
+
+
 def _prune(pairs: DataFrame, needed: list[int]) -> DataFrame:
-    """Pairs (a, b, sa, sb) that stay after comparing the signatures batch by batch."""
+    """Pairs (a, b, sa, sb) whose signatures leave the threshold possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            a, b = (np.array(_fixed(batch.column(c), np.uint32)) for c in ("sa", "sb"))
-            left, found = np.arange(len(batch)), np.zeros(len(batch), int)
-            for k, least in enumerate(needed):
-                part = slice(k * STEP, (k + 1) * STEP)
-                found[left] += (a[left, part] == b[left, part]).sum(1)
-                left = left[found[left] >= least]
-            kept = batch.select(["a", "b"]).take(pa.array(left))
-            yield kept
+            if len(batch):
+                a, b = (np.array(_fixed(batch.column(c), np.uint32)) for c in ("sa", "sb"))
+                yield batch.select(["a", "b"]).take(pa.array(_survivors(a, b, needed)))
 
     return pairs.mapInArrow(run, "a long, b long")
 
@@ -154,9 +158,10 @@ def near_groups(df: DataFrame, words: int = 5, threshold: Fraction = Fraction(4,
     ``threshold`` is below ``miss``.  What stays is confirmed on the full sets.
 
     A bucket never meets itself in full.  First each member meets the bucket's
-    smallest id.  Then members that are not yet in that id's component meet
-    the members of other components: all links between components are found,
-    and links inside one are not needed.
+    hub, the member that shares most buckets with others.  Then documents that
+    are not yet in their hub's component meet the hub's other documents, in
+    blocks: all links between components are found, and links inside one are
+    not needed.
 
     Returns ``doc_id, n_shingles, component_id, kept``.  Rows of one id are
     one node; rows with a null id share their class's component and are never
@@ -171,35 +176,26 @@ def near_groups(df: DataFrame, words: int = 5, threshold: Fraction = Fraction(4,
                        .select("doc_id", "sig", "bands"), "representatives")
 
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")) \
-        .filter("hub <> last").select("key", "hub")
-    members = materialize(rows.join(materialize(shared, "buckets"), "key"), "members")
-    sets = _needed_sets(src, members, words)
+    shared = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
+    members = materialize(rows.join(shared, "key"), "members")
+    # of each bucket the member that meets most others, over all its buckets
+    weight = materialize(members.groupBy("doc_id").agg((-F.sum("c")).alias("w")), "weights")
+    hubs = materialize(members.join(weight, "doc_id").groupBy("key").agg(F.min(F.struct("w", "doc_id")).alias("m"))
+                       .select("key", F.col("m.doc_id").alias("a")), "hubs")
+    stars = materialize(members.join(hubs, "key").filter("a <> doc_id")
+                        .select("a", F.col("doc_id").alias("b")).distinct(), "stars")
+    sets = _needed_sets(src, members.select("doc_id"), words)
     needed = matches_needed(threshold, miss)
 
-    def verify(pairs: DataFrame, label: str) -> DataFrame:
-        sigs = reps.select("doc_id", "sig")
-        full = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a") \
-            .join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-        left = materialize(_prune(full.select("a", "b", "sa", "sb"), needed).distinct(), f"{label}-candidates")
-        full = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a") \
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
-        return materialize(_confirm(full.select("a", "b", "xa", "xb"), threshold).distinct(), label)
-
-    stars = members.filter("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = verify(stars, "star-links")
+    sigs = reps.select("doc_id", "sig")
+    full = stars.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a") \
+        .join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
+    left = materialize(_prune(full.select("a", "b", "sa", "sb"), needed), "star-candidates")
+    full = left.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("xa")), "a") \
+        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("xb")), "b")
+    links = materialize(_confirm(full.select("a", "b", "xa", "xb"), threshold), "star-links")
     found = materialize(components(links), "components")
-    of = members.join(found.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left") \
-        .join(found.select(F.col("node").alias("hub"), F.col("root").alias("hub_root")), "hub", "left") \
-        .select("key", "doc_id", "hub", F.coalesce("root", "doc_id").alias("root"),
-                F.coalesce("hub_root", "hub").alias("hub_root"))
-    of = materialize(of, "labelled")
-    apart = of.filter("root <> hub_root").select("key", F.col("doc_id").alias("x"), F.col("root").alias("x_root"))
-    others = of.filter("doc_id <> hub").join(apart.select("key").distinct(), "key", "left_semi")
-    cross = apart.join(others, "key").filter("x_root <> root").select(
-        F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    cross = cross.join(stars, ["a", "b"], "left_anti")
-    more = verify(materialize(cross, "cross-pairs"), "cross-links")
+    more = materialize(_cross_links(stars, found, sigs, sets, needed, threshold), "cross-links")
     final = found if more.isEmpty() else materialize(components(links.unionByName(more)), "all-components")
 
     named = classes.join(final, classes.class_id == final.node, "left").select(
@@ -210,10 +206,72 @@ def near_groups(df: DataFrame, words: int = 5, threshold: Fraction = Fraction(4,
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _needed_sets(src: DataFrame, members: DataFrame, words: int) -> DataFrame:
+def _needed_sets(src: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """Full shingle sets of the documents that share a bucket with another."""
-    ids = members.select("doc_id").distinct()
-    return materialize(_sets(src.join(ids, "doc_id", "left_semi"), words, False), "sets")
+    return materialize(_sets(src.join(ids.distinct(), "doc_id", "left_semi"), words, False)
+                       .dropDuplicates(["doc_id"]), "sets")
+
+
+def _cross_links(stars: DataFrame, found: DataFrame, sigs: DataFrame, sets: DataFrame, needed: list[int],
+                 threshold: Fraction, block_bytes: int = 8 << 20) -> DataFrame:
+    """Links between different components among the documents that met one hub.
+
+    Only documents outside the hub's component have anything left to find.
+    They meet the hub's other documents in blocks of about ``block_bytes`` of
+    shingle sets; a block's pairs are pruned, confirmed and reduced to one
+    link per document and component where they are made.
+    """
+    root = found.select(F.col("node").alias("b"), "root")
+    hub_root = found.select(F.col("node").alias("a"), F.col("root").alias("hub_root"))
+    of = stars.join(root, "b", "left").join(hub_root, "a", "left").select(
+        "a", "b", F.coalesce("root", "b").alias("root"), F.coalesce("hub_root", "a").alias("hub_root"))
+    sizes = sets.select(F.col("doc_id").alias("b"), (F.octet_length("shingles") + 512).alias("bytes"))
+    of = materialize(of.join(sizes, "b"), "met")
+    open_hubs = of.groupBy("a").agg(
+        F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum("bytes").alias("bytes")).filter("lo <> hi") \
+        .select("a", F.ceil(F.col("bytes") / block_bytes).cast("long").alias("blocks"))
+    met = of.join(materialize(open_hubs, "open-hubs"), "a") \
+        .withColumn("own", F.pmod(F.xxhash64("b"), "blocks")) \
+        .withColumn("all", F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    asks = met.filter("root <> hub_root").select("a", "b", "root", F.lit(True).alias("asks"),
+                                                 F.col("own").alias("i"), F.explode("all").alias("j"))
+    told = met.select("a", "b", "root", F.lit(False).alias("asks"), F.explode("all").alias("i"),
+                      F.col("own").alias("j"))
+    both = asks.unionByName(told).join(sigs.withColumnRenamed("doc_id", "b"), "b") \
+        .join(sets.withColumnRenamed("doc_id", "b"), "b")
+
+    def links(rows):
+        return _block_links(rows, needed, threshold)
+
+    return both.groupBy("a", "i", "j").applyInPandas(links, "a long, b long").distinct()
+
+
+def _block_links(rows: pd.DataFrame, needed: list[int], threshold: Fraction) -> pd.DataFrame:
+    asks, told = rows[rows["asks"]], rows[~rows["asks"]]
+    out: list[tuple[int, int]] = []
+    if len(asks) and len(told):
+        sig = np.array([np.frombuffer(x, np.uint32) for x in told["sig"]])
+        shingles = [np.frombuffer(x, np.uint64) for x in told["shingles"]]
+        size = np.array([len(x) for x in shingles])
+        first = np.concatenate([[0], np.cumsum(size)])
+        known, place = np.unique(np.concatenate(shingles), return_inverse=True)
+        ids, roots = told["b"].to_numpy(), told["root"].to_numpy()
+        p, q = threshold.numerator, threshold.denominator
+        for x, x_root, x_sig, x_set in zip(asks["b"], asks["root"], asks["sig"], asks["shingles"], strict=True):
+            others = np.flatnonzero(roots != x_root)
+            own = np.frombuffer(x_set, np.uint64)
+            others = others[(q * np.minimum(size[others], len(own)) >= p * np.maximum(size[others], len(own)))]
+            mine = np.broadcast_to(np.frombuffer(x_sig, np.uint32), (len(others), HASHES))
+            others = others[_survivors(sig[others], mine, needed)]
+            if not len(others):
+                continue
+            mark = np.zeros(len(known) + 1, np.int32)
+            mark[np.searchsorted(known, own[np.isin(own, known, assume_unique=True)])] = 1
+            common = np.array([mark[place[first[k]:first[k + 1]]].sum() for k in others])
+            linked = others[q * common >= p * (size[others] + len(own) - common)]
+            _, one = np.unique(roots[linked], return_index=True)
+            out += [(min(x, int(ids[k])), max(x, int(ids[k]))) for k in linked[one]]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
