@@ -91,7 +91,38 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
+# smallest id reachable from each node along ``links`` (x, y), both directions given
+_REACH = """
+        reach(x, r) AS (SELECT id, id FROM nodes UNION SELECT reach.x, y FROM reach JOIN links ON links.x = reach.r),
+        component AS (SELECT x, min(r) AS component_id FROM reach GROUP BY x)"""
+
 ORACLE = {
+    "op2_minhash": rf"""
+        WITH RECURSIVE words AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        shingles AS (
+          SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN w ELSE w[i:i + 2] END AS s
+          FROM words, unnest(range(1, greatest(len(w) - 2, 1) + 1)) t(i) WHERE len(w) > 0),
+        sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+        common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+                   FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        links AS (SELECT x, y FROM common JOIN sizes a ON x = a.doc_id JOIN sizes b ON y = b.doc_id
+                  WHERE 100 * c >= 85 * (a.n + b.n - c)),
+        nodes AS (SELECT doc_id AS id FROM documents),{_REACH}
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+        FROM documents LEFT JOIN sizes USING (doc_id) JOIN component ON x = doc_id""",
+    "op9_embedding_dedup": f"""
+        WITH RECURSIVE v AS (
+          SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+          WHERE len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+            AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+        links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b
+                  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+        nodes AS (SELECT vec_id AS id FROM embeddings),{_REACH},
+        degree AS (SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings LEFT JOIN degree USING (vec_id) JOIN component ON x = vec_id""",
     "op6_chat_format": r"""
         WITH rows AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
