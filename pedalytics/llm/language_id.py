@@ -153,15 +153,22 @@ def _margin(entropy: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def learn(docs: DataFrame, sample_rows: int = 500) -> Identifier:
-    """Fit on at most ``sample_rows`` rows of each language (those of least id hash).
+    """Fit on at most ``sample_rows`` rows of each language, chosen by id hashes.
 
     ``docs``: doc_id, text, lang.  A third of the sampled rows, by hash, sets
     the score line and the rejection limits; the others are counted.
     """
+    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).limit(MAX_LANGUAGES + 1).collect()
+    if len(sizes) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    # about three times the sample is ranked, however many rows a language has
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (
+        r["lang"], min(1.0, 3 * sample_rows / r["c"]))]), F.col("lang")) if sizes else F.lit(1.0)
     order = F.xxhash64("doc_id")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
     # at most sample_rows * MAX_LANGUAGES ids
-    sample = docs.select("doc_id", "lang").withColumn("k", rank).filter(F.col("k") <= sample_rows) \
+    sample = docs.select("doc_id", "lang").filter(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30)) \
+        .withColumn("k", rank).filter(F.col("k") <= sample_rows) \
         .select(F.col("doc_id").alias("s_id"), F.col("lang").alias("s_lang"), (F.col("k") % 3 == 0).alias("check"))
     rows = docs.join(F.broadcast(sample), (docs.doc_id == sample.s_id) & (docs.lang == sample.s_lang)) \
         .select("text", "lang", "check")
@@ -181,8 +188,6 @@ def learn(docs: DataFrame, sample_rows: int = 500) -> Identifier:
     table = rows.filter(~F.col("check")).mapInArrow(count, "lang string, key long, c long") \
         .groupBy("lang", "key").agg(F.sum("c").alias("c")).toPandas()
     names = sorted(table["lang"].unique())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     models = []
     for name in names:
         own = table[table["lang"] == name].sort_values("key")
