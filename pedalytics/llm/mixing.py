@@ -195,8 +195,10 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     taken = rows.join(parts, rows._key.eqNullSafe(parts._id) & (rows._h == parts._tie) & (rows._n == parts._copy))
     text = F.col("record").getField(text_col)
     words = F.regexp_extract_all(text, F.lit(f"[^{SPACE_CLASS}]+"), F.lit(0))
-    cut = F.concat_ws(" ", F.flatten(F.transform(
-        F.col("parts"), lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["length"].cast("int")))))
+    # a one-element array binds the words, so that they are found once and not for every part
+    bound = F.array(F.struct(words.alias("w"), F.col("parts").alias("p")))
+    cut = F.element_at(F.transform(bound, lambda d: F.concat_ws(" ", F.flatten(F.transform(
+        d["p"], lambda p: F.slice(d["w"], (p["first"] + 1).cast("int"), p["length"].cast("int")))))), 1)
     new_text = F.when(F.col("words") == F.col("size"), text).otherwise(cut)
     return taken.select(*[
         (new_text if c == text_col else F.char_length(new_text).cast(t) if c == "n_chars"
