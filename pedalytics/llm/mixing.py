@@ -63,8 +63,7 @@ def mix_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     Up to 10,000 sources: their totals are held by the driver.
     """
     spark = df.sparkSession
-    sized = materialize(_rows(df, id_col, text_col, source_col).select(
-        "doc_id", "source", "tie", "copy", word_count(F.col("text")).alias("size")), "sizes")
+    sized = materialize(_sizes(df, id_col, text_col, source_col), "sizes")
     totals = sized.groupBy("source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -106,11 +105,14 @@ def mix_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     return runs, spans
 
 
-def _rows(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    """The rows with ``tie`` (hash of id and text) and ``copy`` (number among rows that repeat both)."""
-    rows = df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                     F.col(source_col).alias("source"), F.xxhash64(id_col, text_col, source_col).alias("tie"))
-    same = Window.partitionBy("doc_id", "tie").orderBy("source")
+def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """Per row its word count, ``tie`` (hash of id, text and source) and ``copy`` (number among equal rows).
+
+    Words are counted where the text is read; only the counts are shuffled.
+    """
+    rows = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+                     F.xxhash64(id_col, text_col, source_col).alias("tie"), word_count(F.col(text_col)).alias("size"))
+    same = Window.partitionBy("doc_id", "tie").orderBy("source", "size")
     return rows.withColumn("copy", F.row_number().over(same))
 
 
