@@ -37,7 +37,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = materialize(hashed.select(
         "doc_id", "h", F.sha2("norm", 256).alias("text_sha256"),
         F.char_length(F.coalesce("text", F.lit(""))).cast("long").alias("n")), "hashes")
-    repeated = keys.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    repeated = materialize(keys.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "repeated")
     members = keys.join(repeated, "h", "left_semi").select(F.col("doc_id").alias("m_id")).distinct()
     texts = src.join(members, src.doc_id.eqNullSafe(members.m_id), "left_semi") \
         .withColumn("norm", normalised(F.col("text"))).select("norm", digest(F.col("norm")).alias("h"))
