@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import base64
+import json
 import math
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 END_ID = 0
 KEEP_WORDS = 400_000  # encoded words a worker remembers before it starts afresh
-_ENCODERS: dict[str, "Encoder"] = {}
+_ENCODERS: dict[tuple[str, tuple], "Encoder"] = {}
 
 
 class Encoder:
@@ -23,10 +25,11 @@ class Encoder:
 
     A space between two characters that are no white space always begins a
     new pre-token, so a text's ids are those of its pieces at such spaces.
-    Pieces next to other white space are encoded together.
+    Pieces next to other white space are encoded together.  ``added`` are the
+    vocabulary's added tokens: a text is first cut at them.
     """
 
-    def __init__(self, ranks_path: str):
+    def __init__(self, ranks_path: str, added: tuple[tuple[str, int], ...] = ()):
         import public_tokenizers
         import tiktoken
         with open(ranks_path, "rb") as f:
@@ -34,6 +37,9 @@ class Encoder:
         self.bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                      special_tokens={})
         self.words: dict[str, bytes | None] = {}
+        self.added = {token: array("H", [i]).tobytes() for token, i in added}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.cut = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if added else None
 
     def raw(self, text: str) -> bytes:
         return array("H", self.bpe.encode_ordinary(text)).tobytes()
@@ -47,6 +53,13 @@ class Encoder:
         self.words[piece] = ids
 
     def ids(self, text: str) -> np.ndarray:
+        if not any(token in text for token in self.added):
+            return np.frombuffer(self._plain(text), dtype="<u2")
+        parts = self.cut.split(text)  # every second part is an added token
+        return np.frombuffer(b"".join(self.added[part] if i % 2 else self._plain(part)
+                                      for i, part in enumerate(parts)), dtype="<u2")
+
+    def _plain(self, text: str) -> bytes:
         first, *rest = text.split(" ")
         if len(self.words) > KEEP_WORDS:
             self.words.clear()
@@ -56,10 +69,8 @@ class Encoder:
                 self._learn(piece)
         found = list(map(known.__getitem__, rest))
         if None in found or (rest and (not first or first[-1].isspace())):
-            out = b"".join(self._joined([first, *rest], [None, *found]))
-        else:
-            out = self.raw(first) + b"".join(found)
-        return np.frombuffer(out, dtype="<u2")
+            return b"".join(self._joined([first, *rest], [None, *found]))
+        return self.raw(first) + b"".join(found)
 
     def _joined(self, pieces: list[str], found: list[bytes | None]) -> Iterator[bytes]:
         """Ids of single pieces as remembered, and of pieces around other white space together."""
@@ -72,10 +83,20 @@ class Encoder:
                 start = i
 
 
-def encoder(ranks_path: str) -> Encoder:
-    if ranks_path not in _ENCODERS:
-        _ENCODERS[ranks_path] = Encoder(ranks_path)
-    return _ENCODERS[ranks_path]
+def encoder(ranks_path: str, added: tuple[tuple[str, int], ...] = ()) -> Encoder:
+    if (ranks_path, added) not in _ENCODERS:
+        _ENCODERS[ranks_path, added] = Encoder(ranks_path, added)
+    return _ENCODERS[ranks_path, added]
+
+
+def added_tokens(json_path: str) -> tuple[tuple[str, int], ...]:
+    """Texts and ids of the added tokens in a tokenizer's json."""
+    with open(json_path, encoding="utf-8") as f:
+        found = json.load(f)["added_tokens"]
+    for t in found:
+        if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]:
+            raise ValueError(f"added token {t['content']!r} is not matched as it stands")
+    return tuple((t["content"], t["id"]) for t in found)
 
 
 def balance(lengths: np.ndarray, capacity: int, quadratic: float) -> list[tuple[int, int, int, int, int]]:
@@ -116,10 +137,12 @@ def balance(lengths: np.ndarray, capacity: int, quadratic: float) -> list[tuple[
 
 def pack(df: DataFrame, ranks_path: str | None = None, capacity: int = 1024, quadratic: float = 1 / 1024,
          group_bytes: int = 2 << 20, with_ids: bool = False, id_col: str = "doc_id",
-         text_col: str = "text") -> DataFrame:
+         text_col: str = "text", json_path: str | None = None) -> DataFrame:
     """Pack all documents (null text: empty) into sequences of at most ``capacity`` tokens.
 
-    A document's tokens are the BPE ids of its text and then id 0.  Documents
+    A document's tokens are the BPE ids of its text and then id 0.  The added
+    tokens of ``json_path`` (without ``ranks_path``: of the public vocabulary)
+    that stand in a text are one id each.  Documents
     are dealt by a hash of id and text into groups of about ``group_bytes`` of
     text (their number follows from the bytes of all texts); a group is read,
     encoded and packed by one call, so a call's memory is bounded by the group
@@ -133,6 +156,8 @@ def pack(df: DataFrame, ranks_path: str | None = None, capacity: int = 1024, qua
     if ranks_path is None:
         import public_tokenizers
         ranks_path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        json_path = json_path or public_tokenizers.path("byte_bpe_50k.json")
+    added = added_tokens(json_path) if json_path else ()
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = src.agg(F.sum(F.octet_length("text") + F.lit(1).cast("long"))).first()[0] or 0
     groups = max(1, math.ceil(total / group_bytes))
@@ -141,7 +166,7 @@ def pack(df: DataFrame, ranks_path: str | None = None, capacity: int = 1024, qua
               "offset long" + (", ids binary" if with_ids else ""))
 
     def pack_group(key, rows):
-        bpe, g = encoder(ranks_path), int(key[0])
+        bpe, g = encoder(ranks_path, added), int(key[0])
         rows = rows.sort_values(["doc_id", "text"], ignore_index=True)
         ids = [np.append(bpe.ids(t).astype("<u4"), np.uint32(END_ID)) for t in rows.pop("text")]
         doc_id = rows["doc_id"].astype("Int64")

@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pedalytics.llm.packing import Encoder, balance, pack
+from pedalytics.llm.packing import Encoder, added_tokens, balance, pack
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +24,29 @@ def test_ids_equal_the_tokenizer_on_odd_spacing(reference):
     assert [bpe.ids(t).tolist() for t in texts] == reference(texts)
 
 
+@pytest.fixture(scope="module")
+def default():
+    """The tokenizer at its default setting: added tokens in a text are one id each."""
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_added_tokens_equal_the_default_tokenizer(default):
+    rng = random.Random(2)
+    parts = ["a", "bé", " ", "  ", "\n", "'s", "1", "<|endoftext|>", "<|endoftext", "|>", "字", "don't"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 14))) for _ in range(3000)]
+    bpe = Encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                  added_tokens(public_tokenizers.path("byte_bpe_50k.json")))
+    assert [bpe.ids(t).tolist() for t in texts] == default(texts)
+
+
+def test_added_tokens_in_packed_documents(make_docs, default):
+    assert default(["a<|endoftext|>b"]) == [[64, 50256, 65]]
+    docs = make_docs([(1, "a<|endoftext|>b"), (2, "one two <|endoftext|>" * 300), (3, "no token here"),
+                      (4, "<|endoftext|>"), (5, None)])
+    check(pack(docs, with_ids=True).toPandas(), docs.collect(), default)
+
+
 def test_balance_fills_and_levels():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 3000, 400)
