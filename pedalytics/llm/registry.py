@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pedalytics.llm.chat_format import format_trees, linear_trees, read_back
 from pedalytics.llm.common import table
+from pedalytics.llm.divergence import audit_sources
 from pedalytics.llm.exact_dedup import exact_groups
 from pedalytics.llm.language_id import identify
 from pedalytics.llm.language_model import score_documents
@@ -78,6 +79,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_sources(table(spark, sf_dir, "documents"), min_df=30, smooth=5, top=50)
+
+
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_minhash": op2_minhash,
@@ -89,6 +96,7 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_quality": op10_quality,
+    "op11_source_divergence": op11_source_divergence,
 }
 
 # smallest id reachable from each node along ``links`` (x, y), both directions given
@@ -146,4 +154,34 @@ ORACLE = {
           FROM n GROUP BY norm)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
         FROM n JOIN g USING (norm)""",
+    "op11_source_divergence": r"""
+        WITH d AS (
+          SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                 regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d)
+                 GROUP BY ALL HAVING count(*) >= 30),
+        sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        groups AS (SELECT DISTINCT lang, source FROM d),
+        found AS (SELECT lang, source, term, count(*) AS c
+                  FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN kept USING (lang, term) GROUP BY ALL),
+        cells AS (SELECT lang, source, term, coalesce(c, 0) AS c, sum(coalesce(c, 0)) OVER (PARTITION BY lang, source) AS n
+                  FROM groups JOIN kept USING (lang) LEFT JOIN found USING (lang, source, term)),
+        p AS (SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v) AS p
+              FROM cells JOIN sizes USING (lang)),
+        whole AS (SELECT lang, term, 1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v) AS q
+                  FROM (SELECT lang, term, sum(c) AS c FROM found GROUP BY lang, term)
+                  JOIN (SELECT lang, sum(c) AS n FROM found GROUP BY lang) USING (lang) JOIN sizes USING (lang)),
+        pairs AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, 0 AS value
+                  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+                  UNION ALL
+                  SELECT a.lang, a.source, 'pair', b.source, abs(a.p - b.p)
+                  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source),
+        terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value
+                  FROM p JOIN whole USING (lang, term) WHERE c > 0 AND p > q),
+        both_parts AS (SELECT lang, source, part, item, sum(value) AS value FROM pairs GROUP BY ALL
+                       UNION ALL SELECT * FROM terms),
+        ranked AS (SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(row_number() OVER (
+                     PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM both_parts)
+        SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }
