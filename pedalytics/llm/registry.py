@@ -19,6 +19,7 @@ from pedalytics.llm.packing import pack
 from pedalytics.llm.quality import score_quality
 from pedalytics.llm.sharding import shard_rows
 from pedalytics.llm.vector_dedup import near_vectors
+from pedalytics.llm.whitening import whiten
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,9 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_sources(table(spark, sf_dir, "documents"), min_df=30, smooth=5, top=50)
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
+
 
 
 QUERIES = {
@@ -97,6 +101,7 @@ QUERIES = {
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_quality": op10_quality,
     "op11_source_divergence": op11_source_divergence,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 # smallest id reachable from each node along ``links`` (x, y), both directions given
