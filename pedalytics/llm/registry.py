@@ -18,6 +18,7 @@ from pedalytics.llm.near_dedup import near_groups
 from pedalytics.llm.packing import pack
 from pedalytics.llm.quality import score_quality
 from pedalytics.llm.sharding import shard_rows
+from pedalytics.llm.token_files import read_documents, write_token_files
 from pedalytics.llm.vector_dedup import near_vectors
 from pedalytics.llm.whitening import whiten
 
@@ -88,6 +89,9 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"), components=16)
 
 
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_documents(spark, write_token_files(table(spark, sf_dir, "documents")))
+
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -102,6 +106,7 @@ QUERIES = {
     "op10_quality": op10_quality,
     "op11_source_divergence": op11_source_divergence,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_token_files": op13_token_files,
 }
 
 # smallest id reachable from each node along ``links`` (x, y), both directions given
