@@ -37,8 +37,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Runs of rows of about SLICE_BYTES: (first row, end row, bytes, byte offsets); null is empty."""
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of rows of about ``most`` bytes: (first row, end row, bytes, byte offsets); null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -50,12 +50,20 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        end = int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1
         end = min(max(end, row + 1), n)
         yield row, end, raw[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
         row = end
 
 
+def hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64 bits of each word given by its byte places in ``raw``."""
+    up, down = _powers(len(raw) + 1)
+    total = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE[raw] * up[:-1], out=total[1:])
+    return fmix((total[stop] - total[start]) * down[start])
+
+
 class Words:
     """Words (runs of non-space bytes) of consecutive texts.
 
@@ -82,7 +90,4 @@ class Words:
 
     @property
     def hash(self) -> np.ndarray:
-        up, down = _powers(len(self.bytes) + 1)
-        total = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum(_BYTE[self.bytes] * up[:-1], out=total[1:])
-        return fmix((total[self.stop] - total[self.start]) * down[self.start])
+        return hashes(self.bytes, self.start, self.stop)

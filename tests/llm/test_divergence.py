@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pedalytics.llm import divergence
@@ -106,8 +107,24 @@ def test_odd_rows_and_empty_table(spark, odd_docs, clashing):
 
 
 def test_sizes_of_dictionaries(spark):
-    tagged = frame(spark, [(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)), "en", "a")] * 3)
-    terms = tagged.select(divergence.terms(F.col("text")).alias("terms"))
-    assert divergence._slices(terms, 3, 10**6) == 1
-    assert divergence._slices(terms, 4, 1) == 1
-    assert divergence._slices(terms, 3, 100) > 1
+    docs = frame(spark, [(" ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)), "en", "a")] * 3)
+    assert divergence._slices(docs, 3, 10**6) == 1
+    assert divergence._slices(docs, 4, 1) == 1
+    assert divergence._slices(docs, 3, 100) > 1
+
+
+def test_runs_of_a_batch_hold_all_rows(monkeypatch):
+    batch = pa.RecordBatch.from_pylist([{"text": t, "lang": "en"} for t in ["a b", None, "", "c" * 100, "d", "É f-g", "h"]])
+
+    def found(*part):
+        return [t for b, raw, offsets in divergence.runs(iter([batch]))
+                for t in divergence.tagged_terms(b, raw, offsets, *part)[1].to_pylist()]
+    whole = found()
+    assert [w.split("\x00")[1] for w in whole] == ["a", "b", "c" * 100, "d", "É", "f", "g", "h"]
+    assert sorted(t for k in range(5) for t in found(5, k)) == sorted(whole)
+    monkeypatch.setattr(divergence, "RUN_BYTES", 4)
+    assert len(list(divergence.runs(iter([batch])))) == 5 and found() == whole
+    monkeypatch.setattr(divergence, "CACHE_BYTES", 2)
+    assert found() == whole
+    cut = [b for b, _, _ in divergence.runs(iter([batch]))]
+    assert pa.Table.from_batches(cut).to_pylist() == batch.to_pylist()
