@@ -21,7 +21,8 @@ SLICE = 1 << 18                  # values packed or read at a time
 def level_widths(ids: np.ndarray) -> list[int]:
     """Bits per level for the least total size, counting a continuation bit for all but the last level."""
     longest = max(int(ids.max(initial=0)).bit_length(), 1)
-    needs = np.array([len(ids)] + [int((ids >> s != 0).sum()) for s in range(1, longest + 1)])
+    ordered = np.sort(ids)
+    needs = len(ids) - np.searchsorted(ordered, np.concatenate([[0], 2 ** np.arange(1, longest + 1)]))
     best: list[tuple[float, int]] = [(0.0, 0)] * (longest + 1)
     for s in range(longest - 1, -1, -1):
         best[s] = min((float(needs[s]) * (t - s + (1.125 if t < longest else 0)) + best[t][0], t)
@@ -34,13 +35,36 @@ def level_widths(ids: np.ndarray) -> list[int]:
 
 
 def _pack(values: np.ndarray, width: int) -> bytes:
+    """Values of ``width`` bits one after another; eight of them fill exactly ``width`` bytes."""
     parts = []
     for at in range(0, len(values), SLICE):
-        bits = (values[at:at + SLICE, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)
-        parts.append(np.packbits(bits.astype(np.uint8).ravel(), bitorder="little").tobytes())
+        part = values[at:at + SLICE].astype(np.uint64)
+        eight = np.concatenate([part, np.zeros(-len(part) % 8, np.uint64)]).reshape(-1, 8)
+        out = np.zeros((len(eight), width + SPARE), np.uint8)
+        for j in range(8):
+            byte, bit = divmod(j * width, 8)
+            window = eight[:, j] << np.uint64(bit)
+            for k in range((width + bit + 7) // 8):
+                out[:, byte + k] |= (window >> np.uint64(8 * k)).astype(np.uint8)
+        parts.append(out[:, :width].tobytes())
     return b"".join(parts) + bytes(SPARE)
 
 
+def _unpack(data: np.ndarray, start: int, stop: int, width: int) -> np.ndarray:
+    """Values ``start`` (a multiple of eight) to ``stop`` of packed data."""
+    groups = -(-(stop - start) // 8)
+    first = start // 8 * width
+    rows = np.lib.stride_tricks.as_strided(data[first:], (groups, width + SPARE), (width, 1), writeable=False)
+    out = np.empty((groups, 8), np.uint32)
+    for j in range(8):
+        byte, bit = divmod(j * width, 8)
+        window = rows[:, byte].astype(np.uint64)
+        for k in range(1, (width + bit + 7) // 8):
+            window |= rows[:, byte + k].astype(np.uint64) << np.uint64(8 * k)
+        out[:, j] = (window >> np.uint64(bit)) & np.uint64((1 << width) - 1)
+    return out.ravel()[:stop - start]
+
+
 def _bitmap(marks: np.ndarray) -> np.ndarray:
     words = -(-(len(marks) + 1) // 64)
     words += -words % BLOCK_WORDS
@@ -140,5 +164,26 @@ class DirectCodes:
             shift += width
         return out
 
+    def all(self) -> np.ndarray:
+        """All ids in order; no rank is needed, each level is read once from its start."""
+        out = np.zeros(self.length, np.uint32)
+        taken = [0] * len(self.widths)
+        for at in range(0, self.length, SLICE):
+            count, shift = min(SLICE, self.length - at), 0
+            open_ = slice(at, at + count)
+            for level, width in enumerate(self.widths):
+                begin = taken[level]
+                low = begin // 8 * 8
+                values = _unpack(self.chunks[level], low, begin + count, width)[begin - low:]
+                out[open_] |= values << np.uint32(shift)
+                taken[level] += count
+                if level + 1 == len(self.widths):
+                    break
+                marks = np.unpackbits(self.words[level].view(np.uint8)[begin // 8:(begin + count + 7) // 8], bitorder="little")
+                goes_on = np.flatnonzero(marks[begin % 8:begin % 8 + count])
+                open_ = goes_on + at if isinstance(open_, slice) else open_[goes_on]
+                count, shift = len(goes_on), shift + width
+        return out
+
     def document(self, k: int) -> np.ndarray:
         return self.ids(np.arange(int(self.starts[k]), int(self.starts[k + 1])))

@@ -5,6 +5,8 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from pedalytics.llm import direct_codes, token_files
@@ -57,6 +59,27 @@ def test_random_access_to_every_token(spark, odd_docs):
     assert [got[i] for i in (-3, -2, -1, len(every), len(every) + 2)] == [None] * 5
 
 
+def test_slices_of_a_level_begin_anywhere(monkeypatch):
+    ids = np.random.default_rng(4).zipf(1.3, 5000).astype(np.uint64) % 50_257
+    raw = encode(ids, np.array([0, 5000]), np.array([1]), np.array([True]))
+    monkeypatch.setattr(direct_codes, "SLICE", 24)
+    assert (DirectCodes(raw).all() == ids).all()
+    assert encode(ids, np.array([0, 5000]), np.array([1]), np.array([True])) == raw
+
+
+TEXTS = ["", " ", "a", "word, word. Word!", "line\nbreak", "two\n\nbreaks here", "end\n", "end \n ", "it's we'll I'm", "'s x",
+         "a\nb\nc d", "x.\nY, z;\n w", "12 34,5 +1 (716) 555-8176", "ünïcode çé. naïve,\nß", "tab\there  double", "<|endoftext|>x",
+         "a <|endoftext|> b", "日本語 テキスト。", "\U0001d51e\U0001d51f x", "é́ combining", "don't.\n'tis", "word…", "\u00a0nbsp x", "ʰx ª"]
+
+
+@given(st.lists(st.one_of(st.sampled_from(TEXTS + [" ", "\n", ".", "'", "ab", "Z9"]), st.text(max_size=6)), max_size=8))
+def test_word_encoder_gives_the_public_ids(pieces):
+    text = "".join(pieces)
+    coder = token_files.word_encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), (("<|endoftext|>", 50256),))
+    for t in (text, " ".join(pieces)):
+        assert coder.ids(t).tolist() == BPE.encode(t, add_special_tokens=False).ids
+
+
 def test_files_outside_the_index_are_not_read(spark, odd_docs):
     folder = token_files.write_token_files(odd_docs)
     before = token_files.read_documents(spark, folder).count()
@@ -76,6 +99,7 @@ def test_codes(ids):
     assert codes.keys.tolist() == [4, 0, -6] and codes.known.tolist() == [True, False, True]
     order = np.random.default_rng(1).permutation(len(ids))
     assert (codes.ids(order) == ids[order]).all()
+    assert (codes.all() == ids).all()
     for k in range(3):
         assert (codes.document(k) == ids[starts[k]:starts[k + 1]]).all()
     with pytest.raises(IndexError):
