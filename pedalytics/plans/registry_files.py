@@ -19,7 +19,7 @@ from pedalytics.plans import oracle_ctes as O
 from pedalytics.plans import stages
 from pedalytics.plans.context import Tables
 from pedalytics.plans.registry import FLAGS, query
-from pedalytics.sources import driver_tables, files, loaders
+from pedalytics.sources import driver_tables, export, files, loaders
 
 LOADED_AT = driver_tables.LOADED_AT
 _NA_SQL = ", ".join("'" + x.replace("'", "''") + "'" for x in C.PANDAS_NA_TOKENS)
@@ -68,10 +68,18 @@ def _raw_snapshot(t: Tables) -> DataFrame:
 
 @query("src_csv_multi_encoding", f"""
 SELECT source_file, usage_ym, {norm('district_raw')} AS district_raw,
-       {norm('station_name_raw')} AS station_name_raw, checkout_cnt_raw, return_cnt_raw
+       CASE WHEN starts_with(station_name_raw, 'Station ') AND usage_ym // 100 % 2 = 1
+            THEN replace(station_name_raw, ' ', chr(10)) ELSE {norm('station_name_raw')} END AS station_name_raw,
+       checkout_cnt_raw, return_cnt_raw
 FROM raw_station_usage_month""", "raw_station_usage_month")
 def _src_csv_multi_encoding(t: Tables) -> DataFrame:
-    return loaders.load_raw_station_usage_month(t.spark, t.source_files("station_usage_month"), LOADED_AT).drop("loaded_at")
+    # the files of odd years, one of either encoding, get names with a line break inside
+    name, root = F.col("station_name_raw"), t.scratch("line-breaks")
+    broken = F.startswith(name, F.lit("Station ")) & (F.floor(F.col("usage_ym") / 100) % 2 == 1)
+    raw = t["raw_station_usage_month"].withColumn(
+        "station_name_raw", F.when(broken, F.replace(name, F.lit(" "), F.lit("\n"))).otherwise(name))
+    export.export_dataset(raw, "station_usage_month", root)
+    return loaders.load_raw_station_usage_month(t.spark, root, LOADED_AT).drop("loaded_at")
 
 
 # ---------------------------------------------------------------------------
@@ -212,14 +220,36 @@ def _chk_dataset_summary(t: Tables) -> DataFrame:
 
 
 def _preview_sql(ds: str, table: str, header: str, columns: list[str]) -> str:
-    """First two rows, in the order of all columns, of the dataset's first file."""
-    names = header.split(", ")
-    cells = ", ".join(f"'{h}', CAST({c} AS VARCHAR)" for h, c in zip(names, columns, strict=True))
+    """First two rows, in the order of all columns, of the dataset's first file; three rows decide the types."""
     order = ", ".join(f"CAST({c} AS VARCHAR) NULLS FIRST" for c in columns)
+    cells = ", ".join(f"CASE WHEN CAST({c} AS VARCHAR) NOT IN ({_NA_SQL}) THEN CAST({c} AS VARCHAR) END AS v{i}"
+                      for i, c in enumerate(columns))
+    kinds = ", ".join(
+        f"CASE WHEN count(v{i}) OVER () = 0 THEN 0 WHEN bool_and(regexp_full_match(v{i}, ' *[-+]?[0-9]+ *')) OVER () "
+        f"THEN CASE count(v{i}) OVER () WHEN count(*) OVER () THEN 2 ELSE 1 END "
+        f"WHEN count(v{i}) OVER () = count(TRY_CAST(v{i} AS DOUBLE)) OVER () THEN 1 ELSE 0 END AS k{i}"
+        for i in range(len(columns)))
+    values = " || ',' || ".join(
+        f"""'"{h}":' || coalesce(CASE k{i} WHEN 2 THEN CAST(CAST(v{i} AS BIGINT) AS VARCHAR)
+            WHEN 1 THEN CAST(to_json(CAST(v{i} AS DOUBLE)) AS VARCHAR) ELSE CAST(to_json(v{i}) AS VARCHAR) END, 'null')"""
+        for i, h in enumerate(header.split(", ")))
     return f"""
 SELECT '{ds}' AS dataset_key, any_value(source_file) AS file_name, 'cp949' AS encoding, '{header}' AS columns,
-       CAST(to_json(list(json_object({cells}) ORDER BY {order})) AS VARCHAR) AS sample_json
-FROM (SELECT * FROM {table} WHERE source_file = (SELECT min(source_file) FROM {table}) ORDER BY {order} LIMIT 2)"""
+       replace('[' || string_agg('{{' || {values} || '}}', ',' ORDER BY rn) || ']', '/', '\\/') AS sample_json
+FROM (SELECT *, {kinds} FROM (
+      SELECT source_file, {cells}, row_number() OVER (ORDER BY {order}) AS rn FROM {table}
+      WHERE source_file = (SELECT min(source_file) FROM {table}) QUALIFY rn <= 3))
+WHERE rn <= 2"""
+
+
+# header cells of the exported workbooks; below them stand the second header row and an empty one
+_BOOK_CELLS = ["대여소|번호", "보관소(대여소)명", "자치구", "상세주소", "위도", "경도", "설치|시기", "설치형태", "Unnamed: 8", "운영|방식"]
+_BOOK_ROW = "{" + ",".join('"' + c.replace("|", "\\n") + '":' + {"설치형태": '"LCD"', "Unnamed: 8": '"QR"'}.get(c, "null")
+                           for c in _BOOK_CELLS) + "}"
+_BOOK_GAP = "{" + ",".join('"' + c.replace("|", "\\n") + '":null' for c in _BOOK_CELLS) + "}"
+_BOOK_PREVIEW_SQL = f"""
+SELECT 'station_snapshot', min(source_file), 'xlsx', replace('{", ".join(_BOOK_CELLS)}', '|', chr(10)),
+       '[{_BOOK_ROW},{_BOOK_GAP}]' FROM raw_station_snapshot"""
 
 
 @query("src_sample_json", "\nUNION ALL\n".join((
@@ -229,10 +259,10 @@ FROM (SELECT * FROM {table} WHERE source_file = (SELECT min(source_file) FROM {t
         "ride_ym", "station_id_raw", "station_name_raw", "pass_type_raw", "gender_raw", "age_band_raw", "ride_cnt_raw",
         "exercise_amt_raw", "carbon_amt_raw", "distance_m_raw", "duration_min_raw"]),
     _preview_sql("station_usage_month", "raw_station_usage_month", _USAGE_COLS, [
-        "district_raw", "station_name_raw", "usage_ym", "checkout_cnt_raw", "return_cnt_raw"]))),
-    "raw_signup_month", "raw_ride_month", "raw_station_usage_month")
+        "district_raw", "station_name_raw", "usage_ym", "checkout_cnt_raw", "return_cnt_raw"]), _BOOK_PREVIEW_SQL)),
+    "raw_signup_month", "raw_ride_month", "raw_station_usage_month", "raw_station_snapshot")
 def _src_sample_json(t: Tables) -> DataFrame:
-    return filecheck.sample_preview(t.spark, t.source_files(*K.PERIOD_COLUMNS, ordered=True))
+    return filecheck.sample_preview(t.spark, t.source_files(ordered=True))
 
 
 # ---------------------------------------------------------------------------

@@ -17,7 +17,7 @@ from pedalytics import schemas as K
 from pedalytics.operators import checks as Q
 from pedalytics.operators import filecheck
 from pedalytics.plans.context import Tables
-from pedalytics.sources import files, loaders
+from pedalytics.sources import files, landing, loaders
 from pedalytics.session import configure
 
 # tables written partitioned by their month column
@@ -152,12 +152,28 @@ def run(spark: SparkSession, out_root: str, raw: dict[str, DataFrame] | None = N
     configure(spark)
     paths = {}
     if raw is None:
-        csv, books = filecheck.csv_file_checks(spark, source_root), filecheck.xlsx_file_check(spark, source_root)
-        paths["check_csv_files"] = write_table(csv, out_root, "check_csv_files")
-        paths["check_workbooks"] = write_table(books, out_root, "check_workbooks")
-        stored = [read_table(spark, out_root, n) for n in ("check_csv_files", "check_workbooks")]
-        paths["check_datasets"] = write_table(filecheck.dataset_summary(*stored), out_root, "check_datasets")
-        paths["check_preview"] = write_table(filecheck.sample_preview(spark, source_root), out_root, "check_preview")
-        raw = loaders.load_raw_tables(spark, source_root, loaded_at)
+        raw, paths = load(spark, out_root, source_root, loaded_at)
     paths |= {n: write_table(df, out_root, n) for n, df in raw.items()}
     return paths | build(spark, out_root, gates=gates)
+
+
+def load(spark: SparkSession, out_root: str, source_root: str, loaded_at: str | None = None
+         ) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Land the source files, store their checks and preview, and return the raw tables over what has landed.
+
+    CSV files are parsed once; a later run into the same ``out_root`` parses
+    only files that are new or changed.  Stops, after the checks and rejected
+    rows are stored, where a file could not be read or holds broken rows.
+    """
+    entries = landing.land(spark, source_root, out_root)
+    tables = {"check_csv_files": filecheck.landed_file_checks(spark, entries),
+              "check_workbooks": filecheck.xlsx_file_check(spark, source_root),
+              "check_header_doubts": landing.header_doubts(spark, entries),
+              "check_preview": filecheck.sample_preview(spark, source_root),
+              "rejected_rows": landing.rejected_rows(spark, out_root, entries)}
+    paths = {n: write_table(df, out_root, n) for n, df in tables.items()}
+    stored = [read_table(spark, out_root, n) for n in ("check_csv_files", "check_workbooks")]
+    paths["check_datasets"] = write_table(filecheck.dataset_summary(*stored), out_root, "check_datasets")
+    landing.require_clean(entries)
+    raw = {f"raw_{ds}": loaders.load_landed(spark, out_root, ds, entries, loaded_at) for ds in K.PERIOD_COLUMNS}
+    return raw | {"raw_station_snapshot": loaders.load_raw_station_snapshot(spark, source_root, loaded_at)}, paths

@@ -138,7 +138,9 @@ def raw_station_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("addr "), sk).alias("address_raw"),
         F.concat(F.lit("37."), sk).alias("lat_raw"),
         F.concat(F.lit("127."), sk).alias("lon_raw"),
-        F.lit("2020-01-01").alias("installed_at_raw"),
+        F.when(k % 3 == 0, F.concat(F.lit("2020-01-"), F.lpad((k % 28 + 1).cast("string"), 2, "0"),
+                                    F.when(k % 2 == 0, " 09:30:00").otherwise(" 00:00:00")))
+        .when(k % 3 == 1, _txt(k % 100 + 43831)).otherwise("2020-01-01").alias("installed_at_raw"),
         F.when(k % 5 == 0, "nan").otherwise(_txt(k % 7)).alias("rack_lcd_raw"),
         F.when(k % 5 == 1, "nan").otherwise(_txt(k % 9 + 5)).alias("rack_qr_raw"),
         F.when(k % 5 == 0, "QR").when(k % 5 == 1, "LCD").when(k % 5 == 2, "LCD,QR")

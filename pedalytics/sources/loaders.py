@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from pedalytics import schemas as K
 from pedalytics.functions import columns as C
-from pedalytics.sources import files, xlsx
+from pedalytics.session import scratch_dir
+from pedalytics.sources import files, landing, xlsx
 
 SKIP_ROWS = K.SNAPSHOT_SKIP_ROWS
 
@@ -50,6 +51,12 @@ def load_csv_files(spark: SparkSession, paths: list[str], dataset: str,
     return _normalise(files.read_dataset_csv(spark, paths, mapping), schema, loaded_at)
 
 
+def load_landed(spark: SparkSession, root: str, dataset: str, entries: list[dict], loaded_at: str | None = None) -> DataFrame:
+    """Landed files of one dataset -> its raw table; the source files are not read again."""
+    rows = landing.landed(spark, root, dataset, [e for e in entries if e["dataset"] == dataset])
+    return _normalise(files.stop_on_problem(rows), CSV_DATASETS[dataset][1], loaded_at)
+
+
 def load_csv_dataset(spark: SparkSession, root: str, dataset: str, loaded_at: str | None = None) -> DataFrame:
     return load_csv_files(spark, files.find_files(spark, root, dataset), dataset, loaded_at)
 
@@ -88,20 +95,47 @@ def positional(rows: DataFrame) -> DataFrame:
     """Data rows (after the skipped rows) as the 10 positional snapshot columns."""
     cols = [F.try_element_at("cells", F.lit(i + 1)).alias(c)
             for i, c in enumerate(K.SNAPSHOT_POSITIONAL_COLUMNS)]
-    return rows.filter(F.col("row_idx") >= SKIP_ROWS).select("snapshot_ym", "file_name", *cols)
+    return rows.filter(F.col("row_idx") >= SKIP_ROWS).select("snapshot_ym", "file_name", "dates", *cols)
+
+
+MIDNIGHT = " 00:00:00"
+
+
+def date_columns(data: DataFrame) -> DataFrame:
+    """Per file and positional column 0 (cells as they stand), 1 (a column of moments) or 2 (of dates).
+
+    A column whose cells are all dates is one of moments, shown as dates where
+    the kept rows hold midnight only; in any other column a date cell is a
+    moment among texts and numbers.
+    """
+    told = []
+    for i, c in enumerate(K.SNAPSHOT_POSITIONAL_COLUMNS):
+        dated = F.array_contains("dates", F.lit(i))
+        timed = dated & C.is_numeric_text("station_id_raw") & ~F.endswith(F.col(c), F.lit(MIDNIGHT))
+        whole = (F.count(c) > 0) & (F.count(c) == F.count(F.when(dated, 1)))
+        told.append(F.when(~whole, 0).when(F.count(F.when(timed, 1)) > 0, 1).otherwise(2).alias(f"_{c}"))
+    return data.groupBy("file_name").agg(*told)
 
 
 def load_raw_station_snapshot(spark: SparkSession, root: str | None, loaded_at: str | None = None,
                               paths: list[str] | None = None) -> DataFrame:
-    """Positional read -> drop empty rows -> keep numeric ids -> text normalisation."""
+    """Positional read -> drop empty rows -> keep numeric ids -> text normalisation.
+
+    The parsed rows are stored, since how a column shows its dates depends on
+    all its cells; the workbooks are read once.
+    """
     rows = workbook_rows(spark, root, paths).withColumn("_problem", F.col("error")) \
         .withColumn("_source_file", F.col("file_name"))
-    data = positional(files.stop_on_problem(rows))
-    data = data.na.drop("all", subset=list(K.SNAPSHOT_POSITIONAL_COLUMNS)) \
-        .filter(C.is_numeric_text("station_id_raw"))
+    data = positional(files.stop_on_problem(rows)).na.drop("all", subset=list(K.SNAPSHOT_POSITIONAL_COLUMNS))
+    path = scratch_dir(spark, "sheet-rows")
+    data.write.parquet(path)
+    data = spark.read.schema(data.schema).parquet(path)
+    data = data.join(F.broadcast(date_columns(data)), "file_name").filter(C.is_numeric_text("station_id_raw"))
     out = [F.col("snapshot_ym").cast("int").alias("snapshot_ym"),
            F.col("file_name").alias("source_file")]
-    out += [C.null_tokens(c).alias(c) for c in K.SNAPSHOT_POSITIONAL_COLUMNS]
+    for c in K.SNAPSHOT_POSITIONAL_COLUMNS:
+        shown = F.when(F.col(f"_{c}") == 2, F.substring(c, 1, 10)).otherwise(F.col(c))
+        out.append(F.when((F.col(f"_{c}") > 0) & F.col(c).isNull(), "NaT").otherwise(C.null_tokens(shown)).alias(c))
     out.append(_loaded_at(loaded_at).alias("loaded_at"))
     return data.select(*out)
 

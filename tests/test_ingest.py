@@ -33,8 +33,9 @@ def test_header_index():
     assert index.find(("이동거리(M)", "이용거리(M)")) == "이용거리(M)"
     assert index.find(("이용시간(분)",)) == "이용시간\n(분)"
     assert index.find(("없음",)) is None
-    with pytest.raises(files.UnreadableFiles):
-        files.HeaderIndex(["거리(M)", "거리(km)"]).find(("거리",))
+    unsure = files.HeaderIndex(["이용시간", "거리(M)", "거리(km)"])
+    assert unsure.find(("거리",)) == "거리(M)" and unsure.doubts == [("거리", "거리(M)", ["거리(km)"])]
+    assert files.HeaderIndex(["거리 (km)", "거리"]).find(("거리",)) == "거리"
 
 
 def test_ride_csv_mixed_encodings_and_drift(spark, tmp_root):
@@ -82,7 +83,9 @@ SIGNUP_HEADER = "가입년월,회원구분,연령대,성별,가입건수\n"
     (("202401,개인,20대,M,5\n" * 9).encode() + "202409,개인,30대,M,5\n".encode("cp949"), "bytes that do not decode"),
     ("202401,개인,20대,M,5,extra\n".encode(), "malformed row"),
     ("202401,개인,20대\n".encode(), "malformed row"),
-    ('202401,"개\n인",20대,M,5\n'.encode(), "malformed row"),
+    ('202401,"개\n인",20대,M,5\n202401,개인,20대\n'.encode(), "malformed row"),
+    ('202401,"개인,20대,M,5\n202402,단체,20대,M,5\n'.encode(), "a quote that never ends"),
+    ('202401,개인,20대,M,"5\n202402,단체,20대,M,5\n'.encode(), "a quote that never ends"),
 ])
 def test_bad_rows_stop_the_load_and_are_reported(spark, tmp_root, body, problem):
     write(os.path.join(tmp_root, "signup_month", SIGNUP), SIGNUP_HEADER.encode() + body, None)
@@ -121,14 +124,78 @@ def test_preview_has_all_datasets_and_failures(spark, tmp_root):
           xlsx.write_workbook([("102", "망원역")]), None)
     got = {r.dataset_key: r for r in filecheck.sample_preview(spark, tmp_root).collect()}
     assert json.loads(got["signup_month"].sample_json) == [
-        {"가입년월": "202401", "회원구분": None, "연령대": "20대", "성별": "M", "가입건수": "5"},
-        {"가입년월": "202402", "회원구분": "a", "연령대": "b", "성별": "c", "가입건수": "1"}]
-    assert got["ride_month"].encoding == "READ_FAILED" and got["ride_month"].sample_json is None
+        {"가입년월": 202401, "회원구분": None, "연령대": "20대", "성별": "M", "가입건수": 5},
+        {"가입년월": 202402, "회원구분": "a", "연령대": "b", "성별": "c", "가입건수": 1}]
+    failed = got["ride_month"]
+    assert (failed.encoding, failed.columns, failed.sample_json) == (None, None, "failed: cannot detect encoding")
     sheet = {r.dataset_key: r for r in filecheck.sample_preview(spark, tmp_root, 3).collect()}["station_snapshot"]
-    assert [r["대여소 번호"] for r in json.loads(sheet.sample_json)] == [None, None, "102"]
+    assert [r["대여소\n번호"] for r in json.loads(sheet.sample_json)] == [None, None, 102.0]
+    assert sheet.columns.startswith("대여소\n번호, ") and "Unnamed: 8" in sheet.columns
     assert filecheck.sample_preview(spark, tmp_root + "/none").count() == 0
 
 
+@pytest.mark.parametrize(("cells", "typed"), [
+    (["1", "-2", " 3"], [1, -2, 3]), (["1", None, "3"], [1.0, None, 3.0]), (["1", "2.5", ".5"], [1.0, 2.5, 0.5]),
+    (["1", "x", None], ["1", "x", None]), ([None, None], [None, None]), (["True", "false"], [True, False]),
+    (["9" * 30, "1"], [1e30, 1.0]), (["1,200", "3"], ["1,200", "3"]), ([], [])])
+def test_typed_column(cells, typed):
+    got = filecheck.typed_column(cells)
+    assert got == typed and list(map(type, got)) == list(map(type, typed))
+
+
+def test_preview_of_quoted_line_breaks_and_slashes(spark, tmp_root):
+    write(os.path.join(tmp_root, "signup_month", SIGNUP), SIGNUP_HEADER + '202401,"개\n인",a/b,M,5\n202402,a,b,c,1.5\n', "cp949")
+    got = filecheck.sample_preview(spark, tmp_root).first()
+    assert "a\\/b" in got.sample_json
+    assert [r["회원구분"] for r in json.loads(got.sample_json)] == ["개\n인", "a"]
+    assert [r["가입건수"] for r in json.loads(got.sample_json)] == [5.0, 1.5]
+
+
+def test_only_files_with_open_quotes_are_read_whole(spark, tmp_root):
+    d = os.path.join(tmp_root, "signup_month")
+    write(os.path.join(d, SIGNUP), SIGNUP_HEADER + '202401,"개\n""인""",20대,M,5\n202402,"a, ""b""",x,M,6\n', "cp949")
+    write(os.path.join(d, SIGNUP.replace("_x", "_y")), SIGNUP_HEADER + '202403,5" x,"y ""z""",F,7\n', "cp949")
+    write(os.path.join(d, SIGNUP.replace("_x", "_z")), SIGNUP_HEADER + '202404,"여러\n\n줄,",20대,M,8\n', "utf-8-sig")
+    found = files.mark_open_quotes(spark, files.detect_all(spark, files.find_files(spark, tmp_root, "signup_month")))
+    assert [(f.name[-5], f.multiline, f.error) for f in found] == [("x", True, None), ("y", False, None), ("z", True, None)]
+    assert sorted((g[0].encoding, g[0].multiline, len(g)) for g in files.csv_groups(found)) == [
+        ("cp949", False, 1), ("cp949", True, 1), ("utf-8-sig", True, 1)]
+    rows = loaders.load_raw_signup_month(spark, tmp_root, "L").orderBy("signup_ym").collect()
+    assert [(r.member_type_raw, r.age_band_raw, r.signup_cnt_raw) for r in rows] == [
+        ('개\n"인"', "20대", 5), ('a, "b"', "x", 6), ('5" x', 'y "z"', 7), ("여러\n\n줄,", "20대", 8)]
+    chk = filecheck.csv_file_check(spark, tmp_root, "signup_month").collect()
+    assert sorted((r.file_name[-5], r.row_count, r.status) for r in chk) == [("x", 2, "ok"), ("y", 1, "ok"), ("z", 1, "ok")]
+
+
+def test_header_with_a_line_break(spark, tmp_root):
+    write(os.path.join(tmp_root, "signup_month", SIGNUP), '가입년월,"회원\n구분",연령대,성별,가입건수\n202401,a,b,c,1\n', "cp949")
+    assert loaders.load_raw_signup_month(spark, tmp_root, "L").first().member_type_raw == "a"
+
+
+def test_detection_takes_one_job_however_many_files(spark, tmp_root):
+    def jobs(n):
+        root = os.path.join(tmp_root, str(n))
+        for i in range(n):
+            write(os.path.join(root, "signup_month", SIGNUP.replace("_x", f"_{i:03d} +%20")),
+                  SIGNUP_HEADER + f"2024{i % 12 + 1:02d},a,b,c,1\n" * (i % 9), ("cp949", "utf-8-sig")[i % 2])
+        paths = files.find_files(spark, root, "signup_month")
+        spark.sparkContext.setJobGroup(f"detect-{n}", "")
+        found = files.detect_all(spark, paths)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert [f.encoding for f in found] == [("cp949", "utf-8-sig")[i % 2] for i in range(n)]
+        assert {f.header for f in found} == {tuple(SIGNUP_HEADER.strip().split(","))}
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"detect-{n}"))
+    assert jobs(200) <= jobs(20) + 1 <= 3  # Spark lists many paths by a job of its own
+
+
+def test_first_lines_stop_early(spark, tmp_root):
+    path = os.path.join(tmp_root, "a b.csv")
+    write(path, "".join(f"line {i}\n" for i in range(50_000)), "utf-8")
+    write(path + "0", b"", None)
+    got = files.first_lines(spark, ["file:" + path, "file:" + path + "0"], 3)
+    assert list(got.values()) == [[b"line 0", b"line 1", b"line 2"], []]
+
+
 def test_flat_folder_fallback(spark, tmp_root):
     write(os.path.join(tmp_root, "서울특별시 공공자전거 대여소별 이용정보(월별)_1.csv"),
           "자치구,대여소명,기준년월,대여건수,반납건수\n마포구,102. 망원역,202401,10,9\n", "cp949")
@@ -156,6 +223,94 @@ def test_workbook_roundtrip_and_checks(spark, tmp_root):
     assert chk.columns.startswith("대여소 번호, 보관소(대여소)명, 자치구")
 
 
+STYLES = {"0": False, "General": False, "yyyy-mm-dd": True, "m/d/yy h:mm": True, "[h]:mm:ss": True, '0.0"days"': False,
+          "[Red]0.00": False, "0\\d": False, "#,##0_d": False, "mm:ss.0": True, "[$-412]yyyy년": True, "@": False, "* d": True}
+
+
+@pytest.mark.parametrize("code", STYLES)
+def test_number_formats_that_show_dates(code):
+    assert xlsx.shows_dates(code) == STYLES[code] or code == "* d"
+
+
+def test_serial_numbers():
+    assert xlsx.date_text(42248) == "2015-09-01 00:00:00" and xlsx.date_text(42248.5) == "2015-09-01 12:00:00"
+    assert xlsx.date_text(42248 + 1 / 86400 * 1.25) == "2015-09-01 00:00:01.250000"
+    assert (xlsx.date_text(1), xlsx.date_text(59), xlsx.date_text(61)) == (
+        "1900-01-01 00:00:00", "1900-02-28 00:00:00", "1900-03-01 00:00:00")
+    assert xlsx.date_text(0.375) == "09:00:00" and xlsx.date_text(0, True) == "00:00:00"
+    assert xlsx.date_text(1462, True) == "1908-01-02 00:00:00"
+
+
+def _edited(book, **parts):
+    import io
+    import zipfile
+    src, buf = zipfile.ZipFile(io.BytesIO(book)), io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for n in src.namelist():
+            body = src.read(n)
+            for name, (old, new) in parts.items():
+                if n.endswith(f"{name}.xml"):
+                    body = body.replace(old, new)
+            z.writestr(n, body)
+    return buf.getvalue()
+
+
+def _station(i, installed):
+    return (str(i), f"s{i}", "d", "a", "37", "127", installed, "1", "nan", "QR")
+
+
+def test_date_cells(spark, tmp_root):
+    d = os.path.join(tmp_root, "station_snapshot")
+    books = {"23.12": ["2015-09-01 00:00:00", "2016-01-02 00:00:00", None],   # dates only
+             "24.6": ["2015-09-01 00:00:00", "2016-01-02 10:30:00", None],    # moments
+             "24.12": ["2015-09-01 00:00:00", "42248", "soon", None]}          # mixed with a number and a text
+    for name, cells in books.items():
+        rows = [_station(i, c) for i, c in enumerate(cells)] + [("total", "x", None, None, None, None, None, None, None, None)]
+        write(os.path.join(d, f"공공자전거 대여소 정보({name}월 기준).xlsx"), xlsx.write_workbook(rows), None)
+    old = xlsx.write_workbook([_station(1, "2015-09-01 00:00:00")])
+    write(os.path.join(d, "공공자전거 대여소 정보(25.6월 기준).xlsx"), _edited(old, workbook=(
+        b"<sheets>", b'<workbookPr date1904="1"/><sheets>')), None)
+    raw = loaders.load_raw_station_snapshot(spark, tmp_root, "L").orderBy("snapshot_ym", "station_id_raw")
+    got = {}
+    for r in raw.collect():
+        got.setdefault(r.snapshot_ym, []).append(r.installed_at_raw)
+    assert got == {202312: ["2015-09-01", "2016-01-02", "NaT"], 202406: ["2015-09-01 00:00:00", "2016-01-02 10:30:00", "NaT"],
+                   202412: ["2015-09-01 00:00:00", "42248", "soon", "nan"], 202506: ["2019-09-02"]}
+
+
+def test_odd_cells():
+    book = xlsx.write_workbook([_station(1, "2015-09-01 00:00:00")])
+    serial = b"<v>42248.0</v>"
+    for old, new, want in ((b' s="1"><v>42248.0</v>', b' t="e"><v>#N/A</v>', None), (b' s="1"><v>42248.0</v>', b' t="b"><v>1</v>', "True"),
+                           (b' s="1"><v>42248.0</v>', b' t="d"><v>2015-09-01T00:00:00</v>', "2015-09-01 00:00:00"),
+                           (serial, b"<v/>", None), (b' s="1"', b' s="7"', "42248.0")):
+        rows = xlsx.read_sheet(_edited(book, sheet1=(old, new)))[2]
+        assert rows[-1][1][6] == want
+
+
+def test_long_sheets_are_read_in_bounded_memory():
+    import tracemalloc
+    book = xlsx.write_workbook([_station(i, f"text {i}") for i in range(60_000)])
+    peaks = []
+    for most in (2_000, 60_100):
+        tracemalloc.start()
+        rows = sum(len(f) for f in xlsx.sheet_frames("p", book, most))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        tracemalloc.stop()
+        assert rows == 60_005
+    assert peaks[0] < 25 and peaks[1] > 3 * peaks[0]  # all rows at once, as before, take many times as much
+
+
+def test_a_sheet_that_breaks_off_reports_failure(spark, tmp_root):
+    book = xlsx.write_workbook([_station(i, "x") for i in range(20)])
+    broken = _edited(book, sheet1=(b"</sheetData></worksheet>", b"</wrong>"))
+    frames = list(xlsx.sheet_frames("p", broken, 10))
+    assert frames[-1]["error"].iloc[0].startswith("ParseError") and sum(f["error"].isna().sum() for f in frames) >= 10
+    write(os.path.join(tmp_root, "station_snapshot", "공공자전거 대여소 정보(25.6월 기준).xlsx"), broken, None)
+    with pytest.raises(Exception, match="ParseError"):
+        loaders.load_raw_station_snapshot(spark, tmp_root, "L").count()
+
+
 def test_broken_workbook_reports_failure(spark, tmp_root):
     write(os.path.join(tmp_root, "station_snapshot", "공공자전거 대여소 정보(25.6월 기준).xlsx"),
           b"not a zip", None)
