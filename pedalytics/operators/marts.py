@@ -95,10 +95,9 @@ def with_growth_windows(base: DataFrame) -> DataFrame:
         F.avg("sub_ride_cnt").over(w.rowsBetween(-3, -1)).alias("prev_3m_avg_sub_ride_cnt"))
 
 
-def mart_growth_month(stg_signup: DataFrame, stg_ride: DataFrame) -> DataFrame:
-    """M3: activation, subscription share, month-over-month retention, 3-month persistence."""
-    ww = with_growth_windows(growth_base(stg_signup, stg_ride))
-    return ww.select(
+def growth_from_base(base: DataFrame) -> DataFrame:
+    """M3 from the zero-filled segment months (warm-up months included)."""
+    return with_growth_windows(base).select(
         *SEGMENT, "signup_cnt", "sub_ride_cnt", "total_ride_cnt",
         C.safe_ratio("sub_ride_cnt", "signup_cnt").alias("activation_proxy"),
         C.safe_ratio("sub_ride_cnt", "total_ride_cnt").alias("subscription_share"),
@@ -107,6 +106,25 @@ def mart_growth_month(stg_signup: DataFrame, stg_ride: DataFrame) -> DataFrame:
     ).filter(_in_window())  # after the window: warm-up months feed lag/avg, then drop
 
 
+def mart_growth_month(stg_signup: DataFrame, stg_ride: DataFrame) -> DataFrame:
+    """M3: activation, subscription share, month-over-month retention, 3-month persistence."""
+    return growth_from_base(growth_base(stg_signup, stg_ride))
+
+
+def reached_months(base: DataFrame, changed: list[int], ahead: int = 3) -> DataFrame:
+    """Months of ``base`` whose growth rows a change of the given months can alter (``month_ym``).
+
+    The windows count rows, not months: in each segment the ``ahead`` next
+    rows after a changed month look back on it, however many months they are
+    away.  Whether a changed month had or has a row does not matter: rows of
+    other changed months are not counted, so none is missed.
+    """
+    before = F.array_max(F.filter(F.array(*[F.lit(m) for m in sorted(changed)]), lambda m: m < F.col("month_ym")))
+    rows = base.filter(~F.col("month_ym").isin(changed)).withColumn("_after", before).filter("_after IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("gender", "age_band", "_after").orderBy("month_ym"))
+    return rows.withColumn("_place", place).filter(F.col("_place") <= ahead).select("month_ym").distinct()
+
+
 def ride_by_station(stg_ride: DataFrame) -> DataFrame:
     """Rides per (month, station) inside the window, operations stations excluded.
 

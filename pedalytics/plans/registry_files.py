@@ -299,6 +299,17 @@ def _sink_reload_months(t: Tables) -> DataFrame:
     return stages.read_table(t.spark, root, "stg_ride_month")
 
 
+@query("refresh_months", "SELECT * FROM mart_growth_month", "mart_growth_month")
+def _refresh_months(t: Tables) -> DataFrame:
+    # one month is built with wrong counts and another without rides, then both are refreshed
+    root, raw = t.scratch("refresh"), t.many(*K.RAW_TABLES)
+    wrong = F.when(F.col("ride_ym") == 202405, F.col("ride_cnt_raw") + 1).otherwise(F.col("ride_cnt_raw"))
+    rides = raw["raw_ride_month"].withColumn("ride_cnt_raw", wrong).filter("ride_ym <> 202410")
+    stages.run(t.spark, root, raw=raw | {"raw_ride_month": rides}, gates=False)
+    stages.run(t.spark, root, raw=raw, months=[202405, 202410])
+    return stages.read_table(t.spark, root, "mart_growth_month")
+
+
 @query("src_table_scan", """
 SELECT month_ym, station_id, pass_group, ride_cnt FROM stg_ride_month
 WHERE month_ym BETWEEN 202401 AND 202512""", "stg_ride_month")

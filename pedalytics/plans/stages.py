@@ -10,18 +10,25 @@ some months replaces just those partitions (dynamic partition overwrite).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pedalytics import schemas as K
 from pedalytics.operators import checks as Q
 from pedalytics.operators import filecheck
+from pedalytics.operators import marts as M
+from pedalytics.operators.staging import literal_rows
 from pedalytics.plans.context import Tables
 from pedalytics.sources import files, landing, loaders
 from pedalytics.session import configure
 
 # tables written partitioned by their month column
-PARTITIONED = {"raw_ride_month": "ride_ym", "stg_ride_month": "month_ym"}
+PARTITIONED = {"raw_signup_month": "signup_ym", "raw_ride_month": "ride_ym", "raw_station_usage_month": "usage_ym",
+               "growth_base_month": "month_ym", **{n: "month_ym" for n in (
+                   "stg_signup_month", "stg_ride_month", "stg_station_usage_month", *K.MART_TABLES)}}
+# monthly raw tables and the staging tables made of them, month by month
+MONTHLY = {"raw_signup_month": "stg_signup_month", "raw_ride_month": "stg_ride_month",
+           "raw_station_usage_month": "stg_station_usage_month"}
 
 
 def table_path(root: str, name: str) -> str:
@@ -40,6 +47,106 @@ def reload_months(df: DataFrame, root: str, name: str) -> str:
     return _write(df, root, name, "overwrite", "dynamic")
 
 
+def replace_months(df: DataFrame, root: str, name: str, months: list[int]) -> str:
+    """Replace the given months by the rows that ``df`` holds of them; a month without rows leaves the table."""
+    spark, part = df.sparkSession, PARTITIONED[name]
+    path = reload_months(df.filter(F.col(part).isin(months)), root, name)
+    found = {r[0] for r in read_table(spark, root, name).filter(F.col(part).isin(months)).select(part).distinct().collect()}
+    if found:  # months that the write did not touch still hold what was there before
+        kept = {r[0] for r in df.filter(F.col(part).isin(sorted(found))).select(part).distinct().collect()}
+        for month in found - kept:
+            fs, p = files._hadoop(spark, f"{path}/{part}={month}")
+            fs.delete(p, True)
+    return path
+
+
+# month numbers (year * 12 + month) that one bitmap holds
+BITMAP_BITS = 32_768
+
+
+def observed_counts(month: str) -> list:
+    """Aggregates of a table that can be taken while it is written: rows, first and last month, months as bits."""
+    number = F.floor(F.col(month) / 100) * 12 + F.col(month) % 100
+    inside = F.when(number.between(0, BITMAP_BITS - 1), number)
+    return [F.count(F.lit(1)).alias("row_count"), F.min(month).alias("min_ym"), F.max(month).alias("max_ym"),
+            F.count(F.when(F.col(month).isNotNull() & inside.isNull(), 1)).alias("odd"),
+            F.bitmap_construct_agg(F.coalesce(inside, F.lit(0)).cast("long")).alias("bits")]
+
+
+def write_counted(df: DataFrame, root: str, name: str) -> dict:
+    """``write_table`` with the table's rows and months, counted in the same pass."""
+    month = K.MONTH_COLUMN.get(name, "month_ym")
+    seen = Observation()
+    write_table(df.observe(seen, *observed_counts(month)), root, name)
+    got = seen.get
+    months = sum(bin(b).count("1") for b in bytes(got["bits"])[:BITMAP_BITS // 8]) - (bytes(got["bits"])[0] & 1)
+    if got["odd"]:  # months that are none: count them as they stand
+        months = read_table(df.sparkSession, root, name).agg(F.count_distinct(month)).first()[0]
+    return {"table_name": name, **{k: got[k] for k in ("row_count", "min_ym", "max_ym")}, "month_count": months}
+
+
+COUNTS = {"table_name": "string", "row_count": "bigint", "min_ym": "int", "max_ym": "int", "month_count": "bigint"}
+
+
+def counts_table(spark: SparkSession, counts: list[dict]) -> DataFrame:
+    return literal_rows(spark, [tuple(c[k] for k in COUNTS) for c in counts], list(COUNTS), list(COUNTS.values()))
+
+
+def build_marts(spark: SparkSession, root: str) -> list[dict]:
+    """All marts from the stored staging tables, and their counts (D11, D12) as they are written.
+
+    The growth mart's segment months are stored on their own, so that later
+    runs of some months need only those months' rides and sign-ups.
+    """
+    t = stored_tables(spark, root, K.STG_TABLES)
+    write_table(M.growth_base(t["stg_signup_month"], t["stg_ride_month"]), root, "growth_base_month")
+    growth = M.growth_from_base(read_table(spark, root, "growth_base_month"))
+    return [write_counted(growth if n == "mart_growth_month" else t[n], root, n) for n in K.MART_TABLES]
+
+
+def refresh(spark: SparkSession, root: str, raw: dict[str, DataFrame], months: list[int]) -> dict[str, str]:
+    """Bring the given months of the monthly raw tables, and all that depends on them, up to date.
+
+    ``raw`` holds the monthly raw tables (or those that changed); only their
+    rows of ``months`` are used, and they replace what was stored.  Staging
+    tables and marts are made again for these months alone, from rows of these
+    months alone; the growth mart also for the months whose windows reach back
+    to them (``reached_months``).  Snapshots do not change here.
+    """
+    months = sorted(set(months))
+    for n, df in raw.items():
+        if n not in MONTHLY:
+            raise ValueError(f"{n} is not a monthly table")
+        replace_months(df, root, n, months)
+    own = Tables(spark, lambda n: read_table(spark, root, n).filter(F.col(PARTITIONED[n]).isin(months))
+                 if n in MONTHLY else read_table(spark, root, n))
+    for n in raw:
+        replace_months(own[MONTHLY[n]], root, MONTHLY[n], months)
+
+    def stored(n: str) -> DataFrame | None:
+        if n not in K.STG_TABLES:
+            return None
+        df = read_table(spark, root, n)
+        return df.filter(F.col("month_ym").isin(months)) if n in MONTHLY.values() else df
+
+    t = Tables(spark, lambda n: read_table(spark, root, n), stored=stored)
+    replace_months(M.growth_base(t["stg_signup_month"], t["stg_ride_month"]), root, "growth_base_month", months)
+    for n in K.MART_TABLES:
+        if n != "mart_growth_month":
+            replace_months(t[n], root, n, months)
+    base = read_table(spark, root, "growth_base_month")
+    reached = sorted({*months, *(r[0] for r in M.reached_months(base, months).collect())})
+    replace_months(M.growth_from_base(base), root, "mart_growth_month", reached)
+    paths = {n: table_path(root, n) for n in (*raw, *K.STG_TABLES, "growth_base_month", *K.MART_TABLES)}
+    t = stored_tables(spark, root, [*K.STG_TABLES, *K.MART_TABLES])
+    paths["check_results"] = write_table(check_results(t), root, "check_results")
+    marts = Q.union_all([t[n].agg(F.count(F.lit(1)).alias("row_count"), F.min("month_ym").alias("min_ym"),
+                                  F.max("month_ym").alias("max_ym"), F.count_distinct("month_ym").alias("month_count"))
+                         .select(F.lit(n).alias("table_name"), "*") for n in K.MART_TABLES])
+    paths["table_counts"] = write_table(marts, root, "table_counts")
+    return paths
+
+
 def _write(df: DataFrame, root: str, name: str, mode: str, replaced: str) -> str:
     path = table_path(root, name)
     part = PARTITIONED.get(name)
@@ -134,17 +241,22 @@ def build(spark: SparkSession, out_root: str, raw: Tables | None = None, gates:
         require(spark, out_root, K.STG_TABLES)
         Q.stop_if_any("missing months", Q.completeness_gate(spark, t.many(*K.STG_TABLES)))
         Q.stop_if_any("repeated keys", Q.unique_keys(t["stg_station_snapshot"], t["stg_month_station_snapshot_map"]))
-    for n in K.MART_TABLES:
-        paths[n] = write_table(t[n], out_root, n)
+    counts = build_marts(spark, out_root)
+    paths |= {n: table_path(out_root, n) for n in ("growth_base_month", *K.MART_TABLES)}
+    paths["table_counts"] = write_table(counts_table(spark, counts), out_root, "table_counts")
     t = stored_tables(spark, out_root, paths)
     paths["check_results"] = write_table(check_results(t), out_root, "check_results")
     return paths
 
 
 def run(spark: SparkSession, out_root: str, raw: dict[str, DataFrame] | None = None,
-        source_root: str | None = None, loaded_at: str | None = None, gates: bool = True) -> dict[str, str]:
+        source_root: str | None = None, loaded_at: str | None = None, gates: bool = True,
+        months: list[int] | None = None) -> dict[str, str]:
     """Load (from files or given raw frames), stage, build marts, check; every stage written.
 
+    With ``months`` only these are brought up to date in an ``out_root`` that
+    an earlier run has filled (see ``refresh``).
+
     With ``gates`` the run stops before the next stage on a missing or empty
     table, a missing month or a repeated key.  Loads from files also store the
     file checks and previews.
@@ -153,6 +265,8 @@ def run(spark: SparkSession, out_root: str, raw: dict[str, DataFrame] | None = N
     paths = {}
     if raw is None:
         raw, paths = load(spark, out_root, source_root, loaded_at)
+    if months is not None:
+        return paths | refresh(spark, out_root, {n: df for n, df in raw.items() if n in MONTHLY}, months)
     paths |= {n: write_table(df, out_root, n) for n, df in raw.items()}
     return paths | build(spark, out_root, gates=gates)
 

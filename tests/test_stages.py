@@ -51,7 +51,7 @@ def test_full_refresh_leaves_no_old_month_and_reload_only_replaces_its_own(spark
     got = stages.read_table(spark, root, "stg_ride_month")
     assert got.count() == n[202402] and got.filter("month_ym = 202401").isEmpty()
     with pytest.raises(ValueError):
-        stages.reload_months(two, root, "raw_signup_month")
+        stages.reload_months(two, root, "raw_station_snapshot")
 
 
 def test_gates_stop_the_run(spark):
