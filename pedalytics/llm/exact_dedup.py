@@ -62,10 +62,16 @@ def _decide(rows: DataFrame, group: list[str]) -> DataFrame:
 
 
 def drop_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that stay, all columns unchanged; rows that repeat id and text stay once."""
+    """The input rows that stay, all columns unchanged.
+
+    Of rows with one id and equal texts the one with most code points stays,
+    then the one whose text has the greatest md5.
+    """
     groups = exact_groups(df, id_col, text_col)
     gone = groups.filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), "text_sha256").distinct()
+    text = F.col("record").getField(text_col)
     rows = df.select(F.struct("*").alias("record")).withColumn("id", F.col("record").getField(id_col)) \
-        .withColumn("sha", F.sha2(normalised(F.col("record").getField(text_col)), 256))
+        .withColumn("sha", F.sha2(normalised(text), 256))
     kept = rows.join(gone, rows.id.eqNullSafe(gone.gone_id) & (rows.sha == gone.text_sha256), "left_anti")
-    return kept.dropDuplicates(["id", "sha"]).select("record.*")
+    longest = F.struct(F.char_length(F.coalesce(text, F.lit(""))), F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    return kept.groupBy("id", "sha").agg(F.max_by("record", longest).alias("record")).select("record.*")

@@ -275,8 +275,22 @@ def _block_links(rows: pd.DataFrame, needed: list[int], threshold: Fraction) ->
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows that stand for their component, all columns unchanged; rows with a null id stay."""
-    groups = near_groups(df, id_col=id_col, text_col=text_col, **options)
-    gone = groups.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = df.select(F.struct("*").alias("record")).withColumn("id", F.col("record").getField(id_col).cast("long"))
-    return rows.join(gone, rows.id == gone.gone_id, "left_anti").select("record.*")
+    """One row of each group of near duplicates, all columns unchanged.
+
+    Rows are told apart by numbers of their own, not by id: rows of one id
+    with unlike texts are different documents, and rows without an id are
+    documents as well.  Of a group the row with the smallest id stays (null
+    ids last), of equal ids the first row; texts without words always stay.
+    """
+    numbered = materialize(df.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("record")), "numbered")
+    texts = numbered.select("uid", F.col("record").getField(text_col).alias("text"))
+    groups = near_groups(texts, id_col="uid", text_col="text", **options).select(F.col("doc_id").alias("uid"), "component_id")
+    groups = materialize(groups, "near-groups")
+    # groups of two rows or more, without all others
+    large = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("component_id")
+    members = materialize(groups.join(large, "component_id", "left_semi"), "near-members")
+    ids = numbered.select("uid", F.col("record").getField(id_col).cast("long").alias("id"))
+    order = F.struct(F.col("id").isNull(), "id", "uid")
+    stays = members.join(ids, "uid").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.uid").alias("uid"))
+    gone = members.join(stays, "uid", "left_anti").select("uid")
+    return numbered.join(gone, "uid", "left_anti").select("record.*")

@@ -44,6 +44,15 @@ def test_odd_rows_and_clashing_names(clashing, odd_docs):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "4", "5", "6", "7", "8", "None"]
 
 
+def test_of_rows_with_one_id_the_longest_stays(make_docs):
+    rows = [(1, "a b"), (1, "a  b  "), (1, "ab"), (2, "ab"), (None, "c d"), (None, "cd"), (3, "x  y"), (3, "x y "), (3, "z")]
+    for parts in (1, 3, 7):
+        kept = sorted((str(r["doc_id"]), r["text"]) for r in drop_exact(make_docs(rows, parts)).collect())
+        assert [k for k in kept if k[0] != "3"] == [("1", "a  b  "), ("None", "c d")]
+        ties = [t for i, t in kept if i == "3"]
+        assert len(ties) == 2 and "z" in ties and ties == (first := ties if parts == 1 else first)
+
+
 def test_empty_table(odd_docs):
     assert exact_groups(odd_docs.limit(0)).count() == 0
     assert drop_exact(odd_docs.limit(0)).count() == 0

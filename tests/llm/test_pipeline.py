@@ -2,11 +2,16 @@
 
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from pedalytics.llm import registry
+from pedalytics.llm.common import materialize
 
 WORDS = ("alder birch cedar elm fir hazel larch maple oak pine rowan willow of the and by river stone field cloud "
          "morning evening").split()
@@ -66,9 +71,43 @@ def test_stages_in_order(spark, corpus):
 
 
 def test_run_is_the_stages_result(spark, corpus):
-    folder, _, clean, _, exact, _ = corpus
-    got = P.run(spark, folder).toPandas()
-    assert set(got["doc_id"]) <= {*clean, *exact}
+    """Every document that should stay is in the result with the words the mix took, as the public tokenizer's ids."""
+    folder, texts, clean, _, exact, _ = corpus
+    docs, before = spark.read.parquet(f"{folder}/documents.parquet"), None
+    for name, stage in P.STAGES:
+        before, docs = docs, materialize(stage(spark, docs, folder), f"test-{name}")
+    mixed = [(r["doc_id"], r["text"], r["source"]) for r in before.collect()]
+    stay = {*clean[5:], *exact}
+    source = {i: s for i, _, s in mixed}
+    size = {s: sum(len(texts[i].split()) for i in stay if source.get(i) == s) for s in "abc"}
+    taken = {s: sum(len(t.split()) for _, t, x in mixed if x == s) for s in "abc"}
+    assert {i for i, _, _ in mixed} <= stay
+    for s, n in taken.items():  # each source twice at most, and whole where it is taken more than once
+        assert n <= 2 * size[s] + 64
+    # the first source of the largest weight reaches its cap: every document of it stands twice in full
+    whole = Counter(i for i, t, s in mixed if s == "a" and t.split() == texts[i].split())
+    assert abs(taken["a"] - 2 * size["a"]) <= 64 and len(whole) >= 0.95 * sum(s == "a" for s in source.values())
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = Counter((i, tuple([*bpe.encode(t, add_special_tokens=False).ids, 0])) for i, t, _ in mixed)
+    got: dict = {}
+    for r in sorted(P.run(spark, folder).collect(), key=lambda r: (r["doc_id"], r["start"])):
+        got.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"], r["ids"]))
+    pieces = Counter()
+    for (i, n), own in got.items():
+        if sum(k for _, k, _ in own) == n:  # one copy of this length: its pieces follow one another
+            pieces[i, tuple(np.frombuffer(b"".join(x for _, _, x in own), "<u4").tolist())] += 1
+        else:  # copies of one length: all their tokens, without order
+            pieces[i, n, tuple(sorted(t for _, _, x in own for t in np.frombuffer(x, "<u4").tolist()))] += 1
+    by_length: dict = {}
+    for (i, tokens), c in want.items():
+        by_length.setdefault((i, len(tokens)), []).extend([tokens] * c)
+    expected = Counter()
+    for (i, n), copies in by_length.items():
+        if len(copies) == 1:
+            expected[i, copies[0]] += 1
+        else:
+            expected[i, n, tuple(sorted(t for x in copies for t in x))] += 1
+    assert pieces == expected
 
 
 def test_empty_documents(spark, corpus, odd_docs, tmp_path):
@@ -88,5 +127,5 @@ def test_odd_documents_run_through(spark, corpus, odd_docs, tmp_path):
 
 def test_one_query_for_each_operator():
     numbers = [int(re.match(r"op(\d+)_", name)[1]) for name in registry.QUERIES]
-    assert sorted(numbers) == list(range(1, 11))
+    assert sorted(numbers) == list(range(1, 14))
     assert set(registry.ORACLE) <= set(registry.QUERIES)
