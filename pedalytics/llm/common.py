@@ -32,11 +32,11 @@ def shared_root(spark: SparkSession) -> str:
 _LOCAL: dict[str, str] = {}
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet under the shared folder and read it back: lineage ends here."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/llm-{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -282,7 +282,8 @@ def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
     documents as well.  Of a group the row with the smallest id stays (null
     ids last), of equal ids the first row; texts without words always stay.
     """
-    numbered = materialize(df.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("record")), "numbered")
+    numbered = materialize(df.select(F.monotonically_increasing_id().alias("uid"), F.struct("*").alias("record")),
+                           "numbered", codec="zstd")
     texts = numbered.select("uid", F.col("record").getField(text_col).alias("text"))
     groups = near_groups(texts, id_col="uid", text_col="text", **options).select(F.col("doc_id").alias("uid"), "component_id")
     groups = materialize(groups, "near-groups")
