@@ -78,9 +78,9 @@ def matches_needed(threshold: Fraction, miss: float) -> list[int]:
 
 
 def _sets(df: DataFrame, width: int, with_signature: bool) -> DataFrame:
-    """Per row of (doc_id, text): size and 128-bit digest of the set, signature and band keys — or the set."""
+    """Per row of (doc_id, text): size and 128-bit digest of the set, signature and band keys — or digest and set."""
     schema = "doc_id long, n_shingles long, digest binary, sig binary, bands array<long>" if with_signature \
-        else "doc_id long, shingles binary"
+        else "digest binary, shingles binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,14 +88,14 @@ def _sets(df: DataFrame, width: int, with_signature: bool) -> DataFrame:
             for row, end, raw, offsets in slices(batch.column("text")):
                 sets = list(shingle_sets(raw, offsets, width))
                 own = ids.slice(row, end - row)
+                digests = pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary())
                 if not with_signature:
                     yield pa.RecordBatch.from_arrays(
-                        [own, pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "shingles"])
+                        [digests, pa.array([s.tobytes() for s in sets], pa.binary())], ["digest", "shingles"])
                     continue
                 sigs = [signature(s) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([
-                    own, pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
+                    own, pa.array([len(s) for s in sets], pa.int64()), digests,
                     pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()),
                     pa.array([None if s is None else band_keys(s).tolist() for s in sigs], pa.list_(pa.int64())),
                 ], ["doc_id", "n_shingles", "digest", "sig", "bands"])
@@ -163,17 +163,20 @@ def near_groups(df: DataFrame, words: int = 5, threshold: Fraction = Fraction(4,
     blocks: all links between components are found, and links inside one are
     not needed.
 
-    Returns ``doc_id, n_shingles, component_id, kept``.  Rows of one id are
-    one node; rows with a null id share their class's component and are never
-    kept; equal rows are each returned; an empty table gives an empty result.
+    Returns ``doc_id, n_shingles, component_id, kept``.  Rows are told apart
+    by their sets, not by id: rows of one id with unlike texts are different
+    documents.  Rows with a null id link like others, give a component no
+    name (it is null where no row has an id) and are never kept; equal rows
+    are each returned; an empty table gives an empty result.
     """
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     base = materialize(_sets(src, words, True), "signatures")
-    classes = materialize(base.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("class_id")),
-                          "classes")
-    heads = classes.filter("class_id IS NOT NULL").select(F.col("class_id").alias("doc_id")).distinct()
-    reps = materialize(base.filter("n_shingles > 0").join(heads, "doc_id", "left_semi")
-                       .select("doc_id", "sig", "bands"), "representatives")
+    # a class is a set and stands in for its rows; its number is fixed once the table is stored
+    classes = materialize(
+        base.filter("n_shingles > 0").groupBy("digest").agg(
+            F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+        .withColumn("doc_id", F.monotonically_increasing_id()), "classes")
+    reps = classes.select("doc_id", "sig", "bands")
 
     rows = reps.select("doc_id", F.explode("bands").alias("key"))
     shared = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "buckets")
@@ -184,7 +187,8 @@ def near_groups(df: DataFrame, words: int = 5, threshold: Fraction = Fraction(4,
                        .select("key", F.col("m.doc_id").alias("a")), "hubs")
     stars = materialize(members.join(hubs, "key").filter("a <> doc_id")
                         .select("a", F.col("doc_id").alias("b")).distinct(), "stars")
-    sets = _needed_sets(src, members.select("doc_id"), words)
+    sets = _needed_sets(src, classes.select("digest", "id", "doc_id").join(weight.select("doc_id"), "doc_id", "left_semi"),
+                        words)
     needed = matches_needed(threshold, miss)
 
     sigs = reps.select("doc_id", "sig")
@@ -198,18 +202,23 @@ def near_groups(df: DataFrame, words: int = 5, threshold: Fraction = Fraction(4,
     more = materialize(_cross_links(stars, found, sigs, sets, needed, threshold), "cross-links")
     final = found if more.isEmpty() else materialize(components(links.unionByName(more)), "all-components")
 
-    named = classes.join(final, classes.class_id == final.node, "left").select(
-        "digest", F.coalesce("root", "class_id").alias("component"))
+    least = final.join(classes.select(F.col("doc_id").alias("node"), "id"), "node") \
+        .groupBy("root").agg(F.min("id").alias("least"))
+    roots = materialize(classes.join(final, classes.doc_id == final.node, "left").select("digest", "id", "root"), "roots")
+    named = roots.join(materialize(least, "least-ids"), "root", "left").select(
+        "digest", F.coalesce("least", "id").alias("component"))
     out = base.join(materialize(named, "named"), "digest", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def _needed_sets(src: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """Full shingle sets of the documents that share a bucket with another."""
-    return materialize(_sets(src.join(ids.distinct(), "doc_id", "left_semi"), words, False)
-                       .dropDuplicates(["doc_id"]), "sets")
+def _needed_sets(src: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """``doc_id`` (class number) and ``shingles`` of the classes (digest, id, doc_id) that share a bucket with another."""
+    ids = classes.select(F.col("id").alias("_id")).distinct()
+    texts = src.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    full = _sets(texts, words, False).dropDuplicates(["digest"])
+    return materialize(full.join(classes.select("digest", "doc_id"), "digest").select("doc_id", "shingles"), "sets")
 
 
 def _cross_links(stars: DataFrame, found: DataFrame, sigs: DataFrame, sets: DataFrame, needed: list[int],

@@ -68,6 +68,18 @@ def test_stray_members_meet_the_rest_of_a_bucket(spark, make_docs):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: v[1] for i, v in brute(rows, 5, Fraction(4, 5)).items()}
 
 
+def test_rows_of_one_id_and_rows_without_an_id(make_docs):
+    """A row's links follow from its own text, whatever other row bears its id."""
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a + " x"), (2, b), (3, b + " y"), (4, c), (None, c + " z"), (None, d), (None, d), (2, b), (5, "")]
+    for _ in range(2):
+        got = near_groups(make_docs(rows)).collect()
+        assert sorted((str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in got) == sorted([
+            ("1", "1", True), ("2", "1", False), ("2", "2", True), ("2", "2", True), ("3", "2", False), ("4", "4", True),
+            ("None", "4", False), ("None", "None", False), ("None", "None", False), ("5", "5", True)])
+        rows = rows[::-1]
+
+
 def test_components_of_a_long_chain(spark):
     n = 300
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (7, 7)], "a long, b long")
