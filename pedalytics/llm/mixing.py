@@ -13,7 +13,7 @@ from pedalytics.llm.common import SPACE_CLASS, materialize
 from pedalytics.llm.permutation import permute
 
 WEIGHTS = (5, 2, 1)
-MAX_SOURCES = 10_000
+BROADCAST_SOURCES = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -32,7 +32,7 @@ def source_targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIG
     left, open_rows = share * sum(r["size"] for r in rows), list(range(len(rows)))
     while open_rows:
         unit = left / sum(rows[i]["weight"] for i in open_rows)
-        full = [i for i in open_rows if unit * rows[i]["weight"] > limit * rows[i]["size"]]
+        full = {i for i in open_rows if unit * rows[i]["weight"] > limit * rows[i]["size"]}
         for i in full or open_rows:
             rows[i]["target"] = Fraction(limit * rows[i]["size"]) if full else unit * rows[i]["weight"]
         left -= sum(rows[i]["target"] for i in full)
@@ -60,13 +60,12 @@ def mix_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
     words ``first`` to ``first + length - 1`` (from 0) of a document.  Null or
     empty texts have size 0 and give no span; a null source is a source of
     its own; repeated rows are documents of their own; no rows give no spans.
-    Up to 10,000 sources: their totals are held by the driver.
+    The driver holds one row of totals for each source, and slots draw theirs
+    from an alias table; above 10,000 sources such tables are not broadcast by rule.
     """
     spark = df.sparkSession
     sized = materialize(_sizes(df, id_col, text_col, source_col), "sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("s")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("s")).collect()
     rows = source_targets({r["source"]: r["s"] for r in totals})
     for i, r in enumerate(rows):
         words, n = round(r["target"]), math.ceil(r["size"] / block_words)
@@ -74,12 +73,10 @@ def mix_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sou
         rest = words - epochs * r["size"]
         r |= {"i": i, "blocks": n, "epochs": epochs, "rest": rest,
               "quota": epochs * n + math.ceil(rest / block_words), "t": float(r["target"])}
-    info = spark.range(1).select(F.explode(F.from_json(
-        F.lit(json.dumps([{k: v for k, v in r.items() if k != "target"} for r in rows])),
-        "array<struct<i:int,source:string,size:long,blocks:long,epochs:long,rest:long,quota:long,t:double>>"
-    )).alias("r")).select("r.*")
+    info = _table(spark, [{k: v for k, v in r.items() if k != "target"} for r in rows],
+                  "i:int,source:string,size:long,blocks:long,epochs:long,rest:long,quota:long,t:double")
     docs = (sized.join(info.select("i", F.col("source").alias("_s"), F.col("size").alias("source_size"),
-                                   F.col("t").alias("target")).hint("broadcast"),
+                                   F.col("t").alias("target")),
                        sized.source.eqNullSafe(F.col("_s"))).drop("_s"))
 
     # each document's first word in its source's run: sums by bucket, then inside the bucket
@@ -116,19 +113,38 @@ def _sizes(df: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFr
     return rows.withColumn("copy", F.row_number().over(same))
 
 
+def _table(spark, rows: list[dict], schema: str) -> DataFrame:
+    """Rows about sources as a table: broadcast up to BROADCAST_SOURCES, beyond that stored and left to the planner."""
+    out = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r"))
+    return out.select("r.*").hint("broadcast") if len(rows) <= BROADCAST_SOURCES else materialize(out.select("r.*"), "sources")
+
+
+def alias_table(quotas: list[int]) -> list[dict]:
+    """Cells to draw source i with chance quota / total: cell j gives j below ``below`` (of total), else ``other``."""
+    total, n = sum(quotas), len(quotas)
+    mass, cells = [q * n for q in quotas], [{"j": j, "below": total, "other": j} for j in range(n)]
+    short, rich = [j for j in range(n) if mass[j] < total], [j for j in range(n) if mass[j] >= total]
+    while short:
+        j, giver = short.pop(), rich[-1]
+        cells[j] |= {"below": mass[j], "other": giver}
+        mass[giver] -= total - mass[j]
+        if mass[giver] < total:
+            short.append(rich.pop())
+    return cells
+
+
 def _slots(spark, rows: list[dict], info: DataFrame, block_words: int, shard_blocks: int, seed: int) -> DataFrame:
     """The output's slots: shard, slot, source index, epoch, block and the words it takes."""
     total = sum(r["quota"] for r in rows)
-    bounds, at = [], 0
-    for r in rows:
-        at += r["quota"]
-        bounds.append(at)
-    u = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1)))
-    ends = F.from_json(F.lit(json.dumps(bounds)), "array<long>")
+    cells = _table(spark, alias_table([r["quota"] for r in rows]) if total else [], "j:int,below:long,other:int")
+    # one hash picks the cell, another one which of the cell's two sources
     drawn = spark.range(total).select(
         F.floor(F.col("id") / shard_blocks).cast("long").alias("shard"),
         (F.col("id") % shard_blocks).alias("slot"),
-        F.aggregate(ends, F.lit(0), lambda k, e: k + (u >= e).cast("int")).alias("drawn"))
+        F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(len(rows), 1))).cast("int").alias("j"),
+        F.pmod(F.xxhash64("id", F.lit(seed + 1)), F.lit(max(total, 1))).alias("u")) \
+        .join(cells, "j").select("shard", "slot", F.when(F.col("u") < F.col("below"), F.col("j"))
+                                 .otherwise(F.col("other")).alias("drawn"))
     # rank of a slot among its source's slots: counts by shard, then inside the shard
     counts = drawn.groupBy("drawn", "shard").agg(F.count(F.lit(1)).alias("c"))
     before = Window.partitionBy("drawn").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -138,24 +154,25 @@ def _slots(spark, rows: list[dict], info: DataFrame, block_words: int, shard_blo
         .withColumn("k", F.col("k") + F.col("ahead")).drop("ahead")
     # draws beyond a source's quota go, in order, to the sources that got too few
     got = {r["drawn"]: r["c"] for r in drawn.groupBy("drawn").agg(F.count(F.lit(1)).alias("c")).collect()}
-    over_before, over, gaps, gap_end = [], 0, [], 0
+    over, gaps, gap_end = 0, [], 0
+    quotas = []
     for r in rows:
         n = got.get(r["i"], 0)
-        over_before.append(over)
+        quotas.append({"drawn": r["i"], "quota": r["quota"], "over_before": over})
         over += max(0, n - r["quota"])
-        gap_end += max(0, r["quota"] - n)
-        gaps.append((gap_end, n - (gap_end - max(0, r["quota"] - n))))
-    quotas = F.from_json(F.lit(json.dumps([r["quota"] for r in rows])), "array<long>")
-    firsts = F.from_json(F.lit(json.dumps(over_before)), "array<long>")
-    gap_ends = F.from_json(F.lit(json.dumps([g[0] for g in gaps])), "array<long>")
-    shifts = F.from_json(F.lit(json.dumps([g[1] for g in gaps])), "array<long>")
-    own = F.get(quotas, F.col("drawn"))
-    moved = ranked.withColumn("extra", F.when(F.col("k") >= own, F.col("k") - own + F.get(firsts, F.col("drawn"))))
-    moved = moved.withColumn("i", F.when(F.col("extra").isNull(), F.col("drawn")).otherwise(
-        F.aggregate(gap_ends, F.lit(0), lambda n, e: n + (F.col("extra") >= e).cast("int"))))
-    moved = moved.withColumn("k", F.when(F.col("extra").isNull(), F.col("k"))
-                             .otherwise(F.col("extra") + F.get(shifts, F.col("i"))))
-    placed = moved.join(info.select("i", "blocks", "epochs", "rest").hint("broadcast"), "i")
+        if n < r["quota"]:
+            gaps.append({"to": r["i"], "lo": gap_end, "hi": gap_end + r["quota"] - n, "shift": n - gap_end})
+            gap_end += r["quota"] - n
+    gaps = _table(spark, gaps, "to:int,lo:long,hi:long,shift:long").select(
+        F.explode(F.sequence("lo", F.col("hi") - 1)).alias("extra"), "to", "shift")
+    moved = ranked.join(_table(spark, quotas, "drawn:int,quota:long,over_before:long"), "drawn")
+    # draws within their quota get keys of their own, which meet no gap and fall into all partitions
+    beyond = F.col("k") >= F.col("quota")
+    moved = moved.withColumn("extra", F.when(beyond, F.col("k") - F.col("quota") + F.col("over_before"))
+                             .otherwise(-1 - F.col("shard") * shard_blocks - F.col("slot"))).join(gaps, "extra", "left")
+    moved = moved.select("shard", "slot", F.coalesce("to", "drawn").alias("i"),
+                         F.when(beyond, F.col("extra") + F.col("shift")).otherwise(F.col("k")).alias("k"))
+    placed = moved.join(info.select("i", "blocks", "epochs", "rest"), "i")
     epoch = F.least(F.floor(F.col("k") / F.col("blocks")).cast("long"), F.col("epochs"))
     placed = placed.withColumn("epoch", epoch).withColumn("j", F.col("k") - F.col("epoch") * F.col("blocks"))
     words = F.when(F.col("epoch") < F.col("epochs"), F.lit(block_words)).otherwise(

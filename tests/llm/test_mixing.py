@@ -3,7 +3,8 @@ from fractions import Fraction
 
 import pytest
 
-from pedalytics.llm.mixing import mix_spans, mixed_documents, source_targets, taken_words
+from pedalytics.llm.mixing import alias_table, mix_spans, mixed_documents, source_targets, taken_words
+from tests.llm.plain import permuted, spark_hash
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -81,3 +82,72 @@ def test_empty_table_and_texts_without_words(odd_docs, make_docs):
         got = taken_words(*mix_spans(df)).toPandas()
         assert len(got) == df.count() and not got["taken"].any()
         assert mixed_documents(df).count() == 0
+
+
+def test_more_sources_than_are_broadcast(spark):
+    """Every source is mixed, however many there are."""
+    df = spark.range(20_000).selectExpr("id AS doc_id", "repeat('w ', cast(1 + id % 9 AS int)) AS text",
+                                        "concat('s', id) AS source")
+    got = taken_words(*mix_spans(df)).toPandas()
+    assert len(got) == 20_000 and (got["taken"] <= 2 * got["size"]).all()
+    assert ((got["taken"] - got["target"]).abs() <= 64).all()
+    assert abs(got["taken"].sum() - got["target"].sum()) <= 20_000
+
+
+def test_alias_cells_hold_each_quota():
+    for quotas in ([5], [0, 3], [1, 2, 3, 4, 90], [7] * 10, [1] * 99 + [10**12]):
+        cells, total = alias_table(quotas), sum(quotas)
+        mass = [0] * len(quotas)
+        for cell in cells:
+            mass[cell["j"]] += cell["below"]
+            mass[cell["other"]] += total - cell["below"]
+        assert mass == [q * len(quotas) for q in quotas]
+
+
+def plain_mix(rows, block_words, shard_blocks, seed=29, buckets=1024):
+    """The mix by loops: words taken per (doc_id, epoch, first)."""
+    tie = {r[0]: spark_hash(r[0], r[1], r[3], kinds="lss") for r in rows}
+    size = {r[0]: len(WORD.findall(r[1] or "")) for r in rows}
+    sizes = {}
+    for r in rows:
+        sizes[r[3]] = sizes.get(r[3], 0) + size[r[0]]
+    infos = source_targets(sizes)
+    for r in infos:
+        words, n = round(r["target"]), -(-r["size"] // block_words)
+        epochs = words // r["size"] if r["size"] else 0
+        r |= {"n": n, "epochs": epochs, "rest": words - epochs * r["size"], "slots": []}
+        r["quota"] = epochs * n + -(-r["rest"] // block_words)
+    total, extra = sum(r["quota"] for r in infos), []
+    cells = alias_table([r["quota"] for r in infos])
+    for k in range(total):
+        cell = cells[spark_hash(k, seed, kinds="li") % len(cells)]
+        i = cell["j"] if spark_hash(k, seed + 1, kinds="li") % total < cell["below"] else cell["other"]
+        infos[i]["slots"].append(k)
+    for r in infos:
+        extra += r["slots"][r["quota"]:]
+        r["slots"] = r["slots"][:r["quota"]]
+    for r in infos:
+        while len(r["slots"]) < r["quota"]:
+            r["slots"].append(extra.pop(0))
+    out = []
+    for i, r in enumerate(infos):
+        own = sorted((d[0] for d in rows if d[3] == r["source"]),
+                     key=lambda d: (spark_hash(d, seed, kinds="li") % buckets, d, tie[d]))
+        run = [(d, w) for d in own for w in range(size[d])]
+        for k, slot in enumerate(r["slots"]):
+            epoch = min(k // r["n"], r["epochs"])
+            j = k - epoch * r["n"]
+            words = block_words if epoch < r["epochs"] else min(block_words, r["rest"] - j * block_words)
+            block = permuted(j, r["n"], spark_hash(seed, i, epoch, kinds="iil"))
+            taken = {}
+            for d, w in run[block * block_words:block * block_words + words]:
+                taken.setdefault(d, []).append(w)
+            out += [(d, slot // shard_blocks, slot % shard_blocks, epoch, w[0], len(w)) for d, w in taken.items()]
+    return sorted(out)
+
+
+def test_spans_against_plain_python(mixed):
+    rows, df, _ = mixed
+    spans = mix_spans(df, block_words=16, shard_blocks=64)[1].select(
+        "doc_id", "shard", "slot", "epoch", "first", "length").collect()
+    assert sorted(map(tuple, spans)) == plain_mix(rows, 16, 64)
