@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pedalytics.llm.common import SPACE_CLASS, materialize
-from pedalytics.llm.permutation import permute
+from pedalytics.llm.permutation import with_permuted
 
 WEIGHTS = (5, 2, 1)
 BROADCAST_SOURCES = 10_000
@@ -178,8 +178,8 @@ def _slots(spark, rows: list[dict], info: DataFrame, block_words: int, shard_blo
     words = F.when(F.col("epoch") < F.col("epochs"), F.lit(block_words)).otherwise(
         F.least(F.lit(block_words), F.col("rest") - F.col("j") * block_words))
     key = F.xxhash64(F.lit(seed), F.col("i"), F.col("epoch"))
-    return placed.select("i", "shard", "slot", "epoch", permute(F.col("j"), F.col("blocks"), key).alias("block"),
-                         words.cast("long").alias("words"))
+    placed = with_permuted(placed, "block", F.col("j"), F.col("blocks"), key)
+    return placed.select("i", "shard", "slot", "epoch", "block", words.cast("long").alias("words"))
 
 
 def taken_words(runs: DataFrame, spans: DataFrame) -> DataFrame:

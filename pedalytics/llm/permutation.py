@@ -7,17 +7,22 @@ from pyspark.sql import functions as F
 
 ROUNDS = 6
 MAX_WALKS = 64
+BUCKET_ROWS = 50_000
+FEWEST_BUCKETS, MOST_BUCKETS = 1 << 12, 1 << 20
 
 
-def number_rows(df: DataFrame, order: list[Column], buckets: int = 4096) -> DataFrame:
+def number_rows(df: DataFrame, order: list[Column], spread: list[Column], buckets: int | None = None) -> DataFrame:
     """Add ``_row`` (0 .. n-1 over the whole table) and ``_rows`` (n).
 
-    Rows fall into ``buckets`` by the hash of the first ordering column; the
-    bucket counts (at most ``buckets`` rows, hence the broadcast) give each
+    Rows fall into buckets by the hash of the ``spread`` columns; the bucket
+    counts (at most ``MOST_BUCKETS`` rows, hence the broadcast) give each
     bucket its first number and a window inside the bucket gives the rest.
-    The numbers follow from the rows' values, whatever the partitions are.
+    Unless given, the number of buckets follows from the number of rows.  The
+    numbers follow from the rows' values, whatever the partitions are.
     """
-    b = F.pmod(F.xxhash64(order[0]), F.lit(buckets)).cast("int")
+    if buckets is None:
+        buckets = min(max(df.count() // BUCKET_ROWS, FEWEST_BUCKETS), MOST_BUCKETS)
+    b = F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int")
     counts = df.groupBy(b.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
     ahead = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -63,3 +68,26 @@ def permute(index: Column, n: Column, key: Column) -> Column:
 
     out = F.element_at(F.transform(F.array(dims), walk), 1)
     return F.when(out < n, out).otherwise(F.raise_error(F.lit("cycle walking did not end")).cast("long"))
+
+
+def with_permuted(df: DataFrame, out: str, index: Column, n: Column, key: Column) -> DataFrame:
+    """Add ``out`` = ``permute(index, n, key)``, its first pass as plain columns.
+
+    Each round is a projection of its own, so the six rounds become generated
+    code.  Only rows that the first pass leaves outside [0, n) (less than one
+    in sqrt(n)) go on through ``permute``, which walks on from there.
+    """
+    a = F.greatest(F.ceil(F.sqrt(F.col("_n").cast("double"))).cast("long"), F.lit(1).cast("long"))
+    b = F.greatest(F.ceil(F.col("_n").cast("double") / F.col("_a")).cast("long"), F.lit(1).cast("long"))
+    d = df.withColumns({"_n": n.cast("long"), "_key": key.cast("long"), "_x": index.cast("long")}) \
+        .withColumn("_a", a).withColumn("_d", b) \
+        .withColumns({"_l": ((F.col("_x") - F.col("_x") % F.col("_d")) / F.col("_d")).cast("long"),
+                      "_r": F.col("_x") % F.col("_d")})
+    for i in range(ROUNDS):
+        half, other, size = ("_l", "_r", "_a") if i % 2 == 0 else ("_r", "_l", "_d")
+        step = F.pmod(F.xxhash64(other, F.lit(i), "_key"), F.col(size))
+        d = d.withColumn(half, (F.col(half) + step) % F.col(size))
+    first = F.col("_x")
+    return d.withColumn("_x", F.col("_l") * F.col("_d") + F.col("_r")) \
+        .withColumn(out, F.when(first < F.col("_n"), first).otherwise(permute(first, F.col("_n"), F.col("_key")))) \
+        .drop("_n", "_key", "_x", "_a", "_d", "_l", "_r")

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pedalytics.llm.permutation import permute
+from pedalytics.llm.permutation import permute, with_permuted
 from pedalytics.llm.sharding import shard_rows
+from tests.llm.plain import permuted, spark_hash
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4097])
@@ -22,6 +23,37 @@ def test_keys_give_different_orders(spark):
     assert (rows["a"] != rows["b"]).mean() > 0.9
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 17, 1000, 4097])
+def test_permutation_against_plain_python(spark, n):
+    rows = with_permuted(spark.range(n), "p", F.col("id"), F.lit(n), F.lit(9)) \
+        .withColumn("q", permute(F.col("id"), F.lit(n), F.lit(9))).collect()
+    want = {i: permuted(i, n, 9) for i in range(n)}
+    assert {r["id"]: r["p"] for r in rows} == want == {r["id"]: r["q"] for r in rows}
+
+
+def test_permutation_rounds_are_generated_code(spark, capsys):
+    with_permuted(spark.range(1000), "p", F.col("id"), F.lit(1000), F.lit(9)).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("xxhash64") > 6 and plan.count("*(1) Project") >= 6
+
+
+def test_places_against_plain_python(make_docs):
+    """Rows of one id and rows without an id spread over buckets by their texts."""
+    rows = [(i % 90 if i % 3 else None, f"text {i % 200}") for i in range(600)]
+    got = shard_rows(make_docs(rows, 5), 7, buckets=16).select("record.doc_id", "record.text", "shard", "slot").collect()
+
+    def place(row):
+        h = spark_hash(row[1], kinds="s")
+        return spark_hash(row[0], h, kinds="ll") % 16, (row[0] is not None, row[0] or 0), h, row[1]
+
+    want = []
+    for k, (doc_id, text) in enumerate(sorted(rows, key=place)):
+        p = permuted(k, 600, 17)
+        want.append((doc_id, text, p % 7, p // 7))
+    key = str
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
 def test_shards_are_even_gapless_and_stable(make_docs):
     rows = [(i, f"text {i}") for i in range(1003)]
     a = shard_rows(make_docs(rows, 5), 24).select("record.doc_id", "shard", "slot").toPandas()
