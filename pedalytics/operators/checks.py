@@ -123,19 +123,41 @@ def nonpositive_counts(tables: dict[str, DataFrame], rules=NONPOSITIVE_RULES) ->
     return union_all(frames)
 
 
+def id_sets(df: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """A3: the distinct ids of each key as bit sets: ``keys, word, bits``, 64 neighbouring ids in a row.
+
+    Bits are or-ed in a hash aggregate before the shuffle, so what is
+    shuffled follows from the range of ids (sparse ids: one row each, as for
+    a distinct), not from the rows.  Negative ids are fine; null ids are in
+    no set.  ``sum(bit_count(bits))`` is the exact distinct count.
+    """
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(id_col).bitwiseAND(63).cast("int"))
+    return df.filter(F.col(id_col).isNotNull()).groupBy(*keys, F.shiftright(id_col, 6).alias("word")) \
+        .agg(F.bit_or(bit).alias("bits"))
+
+
 def join_success(stg_ride: DataFrame, stg_snapshot: DataFrame, month_map: DataFrame) -> DataFrame:
-    """Share of distinct (month, station) pairs of rides found in the month's snapshot."""
-    rs = stg_ride.filter(F.col("station_id").isNotNull() & (F.col("is_ops_excluded") == 0)) \
-        .join(F.broadcast(month_map), "month_ym", "inner") \
-        .select("month_ym", "snapshot_ym", "station_id").distinct()
-    s = stg_snapshot.select(F.col("snapshot_ym").alias("_snap"),
-                            F.col("station_id").alias("matched_station_id"))
-    j = rs.join(s, (rs.snapshot_ym == s._snap) & (rs.station_id == s.matched_station_id), "left")
-    matched = count_if_sum(F.col("matched_station_id").isNotNull())
+    """Share of distinct (month, station) pairs of rides found in the month's snapshot.
+
+    Both sides meet as bit sets.  A station that a snapshot repeats counts
+    once for each of its rows, as in a left join.
+    """
+    rides = id_sets(stg_ride.filter(F.col("is_ops_excluded") == 0), ["month_ym"], "station_id") \
+        .join(F.broadcast(month_map), "month_ym", "inner")
+    rows = stg_snapshot.filter(F.col("station_id").isNotNull()).groupBy("snapshot_ym", "station_id") \
+        .agg((F.count(F.lit(1)) - 1).alias("more"))
+    spot = F.struct(F.col("station_id").bitwiseAND(63).cast("int").alias("at"), "more")
+    snapshots = id_sets(rows, ["snapshot_ym"], "station_id").withColumnRenamed("bits", "known")
+    again = rows.filter("more > 0").groupBy("snapshot_ym", F.shiftright("station_id", 6).alias("word")) \
+        .agg(F.collect_list(spot).alias("again"))  # at most 64 in a list
+    j = rides.join(snapshots, ["snapshot_ym", "word"], "left").join(again, ["snapshot_ym", "word"], "left")
+    extra = F.coalesce(F.aggregate("again", F.lit(0).cast("long"), lambda n, x: n + F.when(
+        F.getbit(F.col("bits"), x["at"]) == 1, x["more"]).otherwise(0)), F.lit(0))
+    pairs = F.sum(F.bit_count("bits") + extra)
+    matched = F.sum(F.coalesce(F.bit_count(F.col("bits").bitwiseAND(F.col("known"))), F.lit(0)) + extra)
     return j.groupBy("month_ym", "snapshot_ym").agg(
-        F.count(F.lit(1)).alias("ride_station_count"),
-        matched.alias("matched_station_count"),
-        pct(matched, F.count(F.lit(1))).alias("join_success_rate_pct")).orderBy("month_ym")
+        pairs.alias("ride_station_count"), matched.alias("matched_station_count"),
+        pct(matched, pairs).alias("join_success_rate_pct")).orderBy("month_ym")
 
 
 def id_extraction(stg_usage: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import pytest
 
+from pedalytics.operators import checks as Q
 from pedalytics.plans import stages
 from pedalytics.plans.context import Tables
 from pedalytics.session import scratch_dir
@@ -53,3 +54,13 @@ def test_raw_scan_reads_only_needed_columns(t):
     read = p[p.index("ReadSchema: struct<"):]
     read = read[:read.index(">")]
     assert "o_orderdate" in read and "o_custkey" not in read and "o_orderkey" not in read
+
+
+def test_join_check_shuffles_bit_sets(t):
+    p = plan(Q.join_success(t["stg_ride_month"], t["stg_station_snapshot"], t["stg_month_station_snapshot_map"]))
+    assert "partial_bit_or" in p and "SortAggregate" not in p
+    # ride rows are hash-aggregated to words of 64 ids before their first exchange
+    lines = p.splitlines()
+    scan = next(k for k, x in enumerate(lines) if "lineitem.parquet" in x)
+    above = [x for x in lines[:scan] if "Exchange hashpartitioning" in x][-1]
+    assert "station_id" not in above and "month_ym" in above
