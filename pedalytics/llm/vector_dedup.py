@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,11 @@ from pedalytics.llm.components import components
 BLOCK = 1024  # rows compared with rows at a time
 DENSE = 0.02  # share of a block's pairs beyond which the rest is one matrix product
 SLACK = 1e-9  # bounds are loosened by this much, far above rounding
+SPREAD = 16  # tiles at least, for tables of so many times LEAST vectors
+LEAST = 512
+TILE_BYTES = 16 << 20  # vectors of a tile
+LEAVES = 512  # regions of the leading axes at most
+LEAF_SAMPLE = 32  # vectors of the sample that cuts the regions, for each of them
 
 
 def usable(vector: Column) -> Column:
@@ -127,12 +133,15 @@ def _compare(tiles: pd.DataFrame, axes: np.ndarray, cuts: list[int], threshold:
 
 
 def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding",
-                 tile_rows: int = 4096, lead: int = 16) -> DataFrame:
+                 tile_rows: int = 32_768, lead: int = 16) -> DataFrame:
     """Per row the vectors linked to it by cosine >= ``threshold`` and its component.
 
-    Equal vectors form a class and are compared once.  Classes are dealt by
-    hash into tiles of about ``tile_rows``; every pair of tiles is one task's
-    group of two rows, so a task's memory is two tiles.  Inside, vectors are
+    Equal vectors form a class and are compared once.  Regions of the leading
+    principal axes, cut at medians of a sample, are dealt into tiles of about
+    ``tile_rows`` (16 MB at most, a sixteenth of a small table).  Tiles of
+    regions whose boxes are too far apart for a link never meet; every other
+    pair of tiles is one task's group of two rows, so a task's memory is two
+    tiles and each tile travels once for every tile near it.  Inside, vectors are
     turned to principal axes (largest share first); blocks are multiplied in
     the leading ``lead`` dimensions and pairs are dropped as soon as partial
     product plus suffix norms cannot reach the threshold.  What stays is
@@ -171,31 +180,121 @@ def near_vectors(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id",
                       F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
 
 
+class Regions:
+    """Boxes of the leading axes with about as many vectors each, cut at medians of a sample."""
+
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.axis, self.cut, self.below = [-1], [0.0], [-1]  # a node's children: below, below + 1
+        heap = [(-len(sample), 0, np.arange(len(sample)))]
+        while heap and len(self.axis) // 2 + 1 < leaves:
+            _, node, rows = heapq.heappop(heap)
+            x = sample[rows]
+            axis = int(np.argmax(x.var(axis=0))) if len(rows) else 0
+            cut = float(np.median(x[:, axis])) if len(rows) else 0.0
+            left = x[:, axis] < cut if len(rows) else np.zeros(0, bool)
+            if not left.any():  # one place; its tiles are told apart by hash
+                continue
+            self.axis[node], self.cut[node], self.below[node] = axis, cut, len(self.axis)
+            for part in (rows[left], rows[~left]):
+                heapq.heappush(heap, (-len(part), len(self.axis), part))
+                self.axis.append(-1)
+                self.cut.append(0.0)
+                self.below.append(-1)
+        self.axis, self.cut, self.below = np.array(self.axis), np.array(self.cut), np.array(self.below)
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The region (a node without children) of each row."""
+        node, live = np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(live):
+            live = live[self.axis[node[live]] >= 0]
+            at = node[live]
+            node[live] = self.below[at] + (x[live, self.axis[at]] >= self.cut[at])
+        return node
+
+
+def _turned(batch: pa.RecordBatch, axes: np.ndarray) -> np.ndarray:
+    return _unit(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(axes))) @ axes
+
+
+def _near_regions(low: np.ndarray, high: np.ndarray, threshold: float) -> list[np.ndarray]:
+    """For each box the boxes that some pair of unit vectors with a product of ``threshold`` can reach."""
+    most = 2 - 2 * threshold + SLACK  # squared distance of such a pair
+    found = []
+    for a, b in zip(low, high, strict=True):
+        gap = np.maximum(np.maximum(a - high, low - b), 0)
+        found.append(np.flatnonzero((gap * gap).sum(axis=1) <= most))
+    return found
+
+
 def _links(classes: DataFrame, dims: int, n: int, threshold: float, tile_rows: int, lead: int) -> DataFrame:
-    """Rows (a, null, links of a) and (a, b, 0) for edges of spanning forests, over all pairs of tiles."""
+    """Rows (a, null, links of a) and (a, b, 0) for edges of spanning forests, over all pairs of tiles that can link."""
+    spark = classes.sparkSession
     axes = principal_axes(classes, dims)
     cuts = sorted({min(c, dims) for c in range(lead, dims + lead, lead)})
-    tiles = max(1, -(-n // tile_rows))
+    tile_rows = max(1, min(tile_rows, TILE_BYTES // (8 * dims), max(LEAST, -(-n // SPREAD))))
+    leaves = min(-(-n // tile_rows), LEAVES)
+
+    def leading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.ascontiguousarray(_turned(batch, axes)[:, :lead])
+            yield pa.RecordBatch.from_arrays([pa.array([row.tobytes() for row in x], pa.binary())], ["x"])
+
+    rate = min(1.0, leaves * LEAF_SAMPLE / n)  # the sample only says where tiles are cut
+    sample = classes.filter(F.pmod(F.xxhash64("class_id", F.lit(3)), F.lit(1 << 30)) < int(rate * (1 << 30))) \
+        .select("v").mapInArrow(leading, "x binary").orderBy("x").toArrow().column("x").to_pylist()
+    regions = Regions(np.frombuffer(b"".join(sample), np.float64).reshape(len(sample), min(lead, dims)), leaves)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            leaf = regions.of(_turned(batch, axes))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(leaf), *[batch.column(c) for c in ("class_id", "c", "v")]], ["leaf", "class_id", "c", "v"])
+
+    placed = materialize(classes.select("class_id", "c", "v").mapInArrow(
+        place, "leaf long, class_id long, c long, v array<double>"), "placed")
+
+    def box(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, leaf = _turned(batch, axes), batch.column("leaf").to_numpy()
+            order = np.argsort(leaf, kind="stable")
+            names, starts, sizes = np.unique(leaf[order], return_index=True, return_counts=True)
+            if len(names):
+                low, high = (f.reduceat(x[order], starts) for f in (np.minimum, np.maximum))
+                spot = np.arange(dims)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.repeat(names, dims)), pa.array(np.tile(spot, len(names))), pa.array(low.ravel()),
+                    pa.array(high.ravel()), pa.array(np.repeat(sizes, dims))], ["leaf", "i", "low", "high", "n"])
+
+    boxes = placed.select("leaf", "v").mapInArrow(box, "leaf long, i long, low double, high double, n long") \
+        .groupBy("leaf", "i").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")) \
+        .toPandas().sort_values(["leaf", "i"])
+    names = boxes["leaf"].to_numpy()[::dims]
+    low, high = (boxes[c].to_numpy().reshape(-1, dims) for c in ("low", "high"))
+    parts = -(-boxes["n"].to_numpy()[::dims] // tile_rows)  # a region that is too large is dealt by hash
+    first = np.cumsum(parts) - parts
+    near = spark.createDataFrame(
+        [(leaf, f, p, [(a, b) for a, b in zip(first[m].tolist(), (first + parts - 1)[m].tolist(), strict=True)])
+         for leaf, f, p, m in zip(names.tolist(), first.tolist(), parts.tolist(), _near_regions(low, high, threshold),
+                                  strict=True)],
+        "leaf long, first long, parts long, mates array<struct<start: long, last: long>>")
 
     def tile(rows: pa.Table) -> pa.Table:
         v = rows.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
         return pa.table({
-            "tile": rows.column("tile").slice(0, 1), "ids": pa.array([rows.column("class_id").to_numpy().tobytes()]),
+            "leaf": rows.column("leaf").slice(0, 1), "tile": rows.column("tile").slice(0, 1),
+            "ids": pa.array([rows.column("class_id").to_numpy().tobytes()]),
             "counts": pa.array([rows.column("c").to_numpy().tobytes()]), "vectors": pa.array([v.tobytes()])})
 
-    packed = materialize(
-        classes.select(F.pmod(F.xxhash64("class_id"), F.lit(tiles)).alias("tile"), "class_id", "c", "v")
-        .groupBy("tile").applyInArrow(tile, "tile long, ids binary, counts binary, vectors binary"), "tiles")
-    # tile t meets t+1 .. t+tiles/2 around the ring, so every tile has about as many partners
-    steps = F.sequence(F.lit(0).cast("long"), F.lit(tiles // 2).cast("long"))
-    ahead = F.transform(steps, lambda k: (F.col("tile") + k) % tiles)
-    behind = F.transform(steps, lambda k: F.pmod(F.col("tile") - k, F.lit(tiles)))
-    mates = F.explode(F.array_distinct(F.concat(ahead, behind)))
-    met = packed.withColumn("mate", mates).withColumn(
-        "pair", F.struct(F.least("tile", "mate").alias("x"), F.greatest("tile", "mate").alias("y")))
+    dealt = placed.join(F.broadcast(near.select("leaf", "first", "parts")), "leaf").select(
+        "leaf", (F.col("first") + F.pmod(F.xxhash64("class_id"), F.col("parts"))).alias("tile"), "class_id", "c", "v")
+    packed = materialize(dealt.groupBy("tile").applyInArrow(
+        tile, "leaf long, tile long, ids binary, counts binary, vectors binary"), "tiles")
+    met = packed.join(F.broadcast(near.select("leaf", "mates")), "leaf") \
+        .select("tile", "ids", "counts", "vectors", F.explode("mates").alias("m")) \
+        .select("tile", "ids", "counts", "vectors", F.explode(F.sequence("m.start", "m.last")).alias("mate"))
 
     def compare(rows):
         return _compare(rows.sort_values("tile"), axes, cuts, threshold)
 
-    return met.groupBy(F.col("pair.x").alias("px"), F.col("pair.y").alias("py")).applyInPandas(
+    return met.groupBy(F.least("tile", "mate").alias("px"), F.greatest("tile", "mate").alias("py")).applyInPandas(
         compare, "a long, b long, n long")

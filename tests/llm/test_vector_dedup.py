@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from pedalytics.llm import vector_dedup
 from pedalytics.llm.vector_dedup import near_vectors
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -83,3 +84,34 @@ def test_odd_vectors(spark):
 
 def test_empty_table(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_regions_hold_all_rows_and_far_ones_have_no_links():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 6))
+    x = vector_dedup._unit(centres[rng.integers(0, 12, 1500)] + rng.normal(0, 0.15, (1500, 6)))
+    regions = vector_dedup.Regions(x[::5, :4], 40)
+    leaf = regions.of(x)
+    names, sizes = np.unique(leaf, return_counts=True)
+    assert len(names) == 40 and sizes.max() < 150 and (regions.axis[names] < 0).all()
+    low, high = (np.array([f(x[leaf == k], axis=0) for k in names]) for f in (np.min, np.max))
+    near = vector_dedup._near_regions(low, high, 0.9)
+    linked = {(leaf[i], leaf[j]) for i, j in zip(*np.nonzero(x @ x.T >= 0.9), strict=True)}
+    met = {(names[k], names[m]) for k, own in enumerate(near) for m in own}
+    assert linked <= met and len(met) < 1000  # of 1600
+
+
+def test_regions_of_few_or_equal_rows():
+    assert vector_dedup.Regions(np.zeros((0, 3)), 5).of(np.ones((4, 3))).tolist() == [0] * 4
+    assert vector_dedup.Regions(np.ones((9, 3)), 5).of(np.ones((4, 3))).tolist() == [0] * 4
+
+
+def test_a_crowded_region_is_dealt_by_hash(spark):
+    """A third of all rows stand at about one place, the others apart; brute force decides."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([np.array([3.0, 1, 0, 0]) + rng.normal(0, 1e-5, (60, 4)), rng.normal(size=(120, 4))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), tile_rows=9, lead=2)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert {r["vec_id"]: r["n_links"] for r in got.collect()} == dict(enumerate(links.tolist()))
