@@ -33,6 +33,8 @@ SOURCE_BLOCK = 512       # sources that meet as many others in one task
 RUN_BYTES = 8 << 20      # text whose terms are looked up at a time
 CACHE_BYTES = 1 << 19    # text that is cut into terms at a time
 BUCKET_ROWS = 200_000    # (source, term) counts of one task
+HELD_CELLS = 1 << 20     # sums of a group and term that a task holds before it hands them on
+SENT_CELLS = 1 << 16     # of them, handed on at a time
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -58,10 +60,27 @@ def terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets))), words
 
 
-def tagged_terms(batch: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, slices: int = 1, k: int = 0
-                 ) -> tuple[np.ndarray, pa.Array]:
-    """Row and term, tagged by the row's language, of all terms (of slice ``k`` by hash) of a run of documents."""
-    rows, found, at = [np.zeros(0, np.int64)], [pa.array([], pa.large_string())], 0
+def _runs_of(ordered: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array begin."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])[:len(ordered)])
+
+
+def summed(cells: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``cells``, ascending, and the sums of their ``values``."""
+    order = np.argsort(cells)
+    cells = cells[order]
+    heads = _runs_of(cells)
+    return cells[heads], np.add.reduceat(values[order], heads) if len(heads) else values
+
+
+def _tagged(batch: pa.RecordBatch, row: np.ndarray, words: pa.Array) -> pa.Array:
+    lang = batch.column("lang").cast(pa.large_string()).take(pa.array(row))
+    return pc.binary_join_element_wise(lang, words, pa.scalar(TAG, pa.large_string()))
+
+
+def _cut(raw: np.ndarray, offsets: np.ndarray, slices: int, k: int) -> Iterator[tuple[int, np.ndarray, pa.Array]]:
+    """First row, row after that and term of all terms (of slice ``k`` by hash), for whole documents at a time."""
+    at = 0
     while at + 1 < len(offsets):  # small runs stay in the processor's caches
         end = max(int(np.searchsorted(offsets, offsets[at] + CACHE_BYTES, "right")) - 1, at + 1)
         row, words = terms(raw[offsets[at]:offsets[end]], offsets[at:end + 1] - offsets[at])
@@ -69,12 +88,37 @@ def tagged_terms(batch: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, sl
             places = np.frombuffer(words.buffers()[1], np.int64)
             own = hashes(np.frombuffer(words.buffers()[2], np.uint8), places[:-1], places[1:]) % np.uint64(slices) == k
             row, words = row[own], words.filter(pa.array(own))
+        yield at, row, words
+        at = end
+
+
+def tagged_terms(batch: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, slices: int = 1, k: int = 0
+                 ) -> tuple[np.ndarray, pa.Array]:
+    """Row and term, tagged by the row's language, of all terms (of slice ``k`` by hash) of a run of documents."""
+    rows, found = [np.zeros(0, np.int64)], [pa.array([], pa.large_string())]
+    for at, row, words in _cut(raw, offsets, slices, k):
         rows.append(row + at)
         found.append(words)
-        at = end
-    row, words = np.concatenate(rows), pa.concat_arrays(found)
-    lang = batch.column("lang").cast(pa.large_string()).take(pa.array(row))
-    return row, pc.binary_join_element_wise(lang, words, pa.scalar(TAG, pa.large_string()))
+    row = np.concatenate(rows)
+    return row, _tagged(batch, row, pa.concat_arrays(found))
+
+
+def document_terms(batch: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, slices: int = 1, k: int = 0
+                   ) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Row (ascending), tagged term and number of each different term of each document: ``tagged_terms``, counted."""
+    rows, found, numbers = [np.zeros(0, np.int64)], [pa.array([], pa.large_string())], [np.zeros(0, np.int64)]
+    for at, row, words in _cut(raw, offsets, slices, k):
+        if not len(words):
+            continue
+        told = words.dictionary_encode()
+        cells = np.sort(row * len(told.dictionary) + told.indices.to_numpy())
+        heads = _runs_of(cells)
+        numbers.append(np.diff(np.append(heads, len(cells))))
+        row, code = np.divmod(cells[heads], len(told.dictionary))
+        rows.append(row + at)
+        found.append(told.dictionary.take(pa.array(code)))
+    row = np.concatenate(rows)
+    return row, _tagged(batch, row, pa.concat_arrays(found)), np.concatenate(numbers)
 
 
 def share(count: Column, total: Column, size: Column, smooth: int) -> Column:
@@ -102,12 +146,16 @@ def _slices(docs: DataFrame, min_df: int, most_slots: int) -> int:
 
 
 def _fit(docs: DataFrame, min_df: int, slices: int, k: int) -> DataFrame:
-    """``pos, key`` of the vocabulary (tagged terms) of slice ``k``, read back from the stored model."""
+    """``pos, key`` of the vocabulary (tagged terms) of slice ``k``, read back from the stored model.
+
+    Document frequencies alone decide what is kept, so the vectorizer meets
+    each term of a document once.
+    """
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in runs(batches):
-            row, tagged = tagged_terms(batch, raw, offsets, slices, k)
+            row, tagged, _ = document_terms(batch, raw, offsets, slices, k)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))])
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tagged.cast(pa.string()))],
                                              ["terms"])
@@ -121,34 +169,56 @@ def _fit(docs: DataFrame, min_df: int, slices: int, k: int) -> DataFrame:
     return spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("pos", "key")).filter(F.col("key") != TAG)
 
 
+def group_cells(batches: Iterator[pa.RecordBatch], positions: np.ndarray, words: pa.Array, slices: int = 1, k: int = 0
+                ) -> Iterator[pa.RecordBatch]:
+    """``lang, source, pos, c`` of a task's documents: their sparse vectors over a vocabulary, summed by group.
+
+    Sums are held over runs and batches and handed on once, or as often as
+    more than half of HELD_CELLS remain after adding up.
+    """
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        lang, source = (pa.array([g[i] for g in groups], pa.string()) for i in (0, 1))
+        for at in range(0, len(cells), SENT_CELLS):
+            of, slot = np.divmod(cells[at:at + SENT_CELLS], len(positions))
+            yield pa.RecordBatch.from_arrays([
+                lang.take(pa.array(of)), source.take(pa.array(of)), pa.array(positions[slot], pa.int64()),
+                pa.array(sums[at:at + SENT_CELLS])], ["lang", "source", "pos", "c"])
+
+    groups: dict[tuple[str, str], int] = {}
+    nothing = np.zeros((2, 0), np.int64)
+    waiting, size = [nothing], 0
+    for batch, raw, offsets in runs(batches):
+        # one sparse vector per document: its slots and their counts
+        row, tagged, counts = document_terms(batch, raw, offsets, slices, k)
+        slot = pc.index_in(tagged, words)
+        known = slot.is_valid().to_numpy(zero_copy_only=False)
+        slot, row, counts = slot.drop_null().to_numpy(), row[known], counts[known]
+        lang, source = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
+        group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
+        names, group = np.unique(group, return_inverse=True)
+        pairs = zip(lang.dictionary.take(pa.array(names // len(source.dictionary))).to_pylist(),
+                    source.dictionary.take(pa.array(names % len(source.dictionary))).to_pylist(), strict=True)
+        own = np.array([groups.setdefault(pair, len(groups)) for pair in pairs], np.int64)
+        waiting.append(summed(own[group[row]] * len(words) + slot, counts))
+        size += len(waiting[-1][0])
+        if size > HELD_CELLS:
+            cells, sums = summed(*np.concatenate(waiting, 1))
+            waiting, size = [(cells, sums)], len(cells)
+            if size > HELD_CELLS // 2:
+                yield from sent()
+                groups, waiting, size = {}, [nothing], 0
+    cells, sums = summed(*np.concatenate(waiting, 1))
+    yield from sent()
+
+
 def _group_sums(docs: DataFrame, vocabulary: DataFrame, slices: int, k: int) -> DataFrame:
     """``lang, source, pos, c``: the documents' sparse vectors over a vocabulary, summed by group."""
     spark = docs.sparkSession
     told = vocabulary.toArrow()
     keys = spark.sparkContext.broadcast((told.column("pos").to_numpy(), told.column("key").combine_chunks().cast(pa.large_string())))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        positions, words = keys.value
-        for batch, raw, offsets in runs(batches):
-            row, tagged = tagged_terms(batch, raw, offsets, slices, k)
-            slot = pc.index_in(tagged, words)
-            known = slot.is_valid().to_numpy(zero_copy_only=False)
-            slot, row = slot.drop_null().to_numpy(), row[known]
-            # one sparse vector per document: its slots and their counts
-            entries, counts = np.unique(row * len(words) + slot, return_counts=True)
-            row, slot = entries // max(len(words), 1), entries % max(len(words), 1)
-            lang, source = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
-            group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
-            names, group = np.unique(group, return_inverse=True)
-            cells, at = np.unique(group[row] * len(words) + slot, return_inverse=True)
-            total = np.bincount(at, weights=counts, minlength=len(cells)).astype(np.int64)
-            of = names[cells // max(len(words), 1)]
-            yield pa.RecordBatch.from_arrays([
-                lang.dictionary.take(pa.array(of // len(source.dictionary))),
-                source.dictionary.take(pa.array(of % len(source.dictionary))),
-                pa.array(positions[cells % max(len(words), 1)], pa.int64()), pa.array(total)], ["lang", "source", "pos", "c"])
-
-    return docs.mapInArrow(run, "lang string, source string, pos long, c long").groupBy("lang", "source", "pos").agg(
+    return docs.mapInArrow(lambda batches: group_cells(batches, *keys.value, slices, k),
+                           "lang string, source string, pos long, c long").groupBy("lang", "source", "pos").agg(
         F.sum("c").alias("c"))
 
 
@@ -163,7 +233,7 @@ def group_counts(docs: DataFrame, min_df: int = 30, most_slots: int = MOST_SLOTS
     ``most_slots`` the terms are cut by hash into slices with a vectorizer
     each.  Documents become sparse count vectors over the vocabulary in Arrow
     batches (the model's own transform takes three times as long) and are
-    summed by group where they are made, before the shuffle.
+    summed by group over a task's batches, before the shuffle.
 
     Returns ``lang, source, slot, c`` (c > 0) and ``lang, term, slot``.
     """

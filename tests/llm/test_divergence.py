@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -128,3 +129,46 @@ def test_runs_of_a_batch_hold_all_rows(monkeypatch):
     assert found() == whole
     cut = [b for b, _, _ in divergence.runs(iter([batch]))]
     assert pa.Table.from_batches(cut).to_pylist() == batch.to_pylist()
+
+
+def test_terms_of_a_document_come_once_with_their_number(monkeypatch):
+    texts = ["a b A b b", None, "", "b", "b a", "É é É", "c" * 30 + " c"]
+    langs = ["en", "en", "de", "de", "en", "fr", ""]
+    batch = pa.RecordBatch.from_pylist([{"text": t, "lang": g} for t, g in zip(texts, langs, strict=True)])
+    for size in (divergence.CACHE_BYTES, 2):
+        monkeypatch.setattr(divergence, "CACHE_BYTES", size)
+        for part in ((1, 0), (3, 0), (3, 1), (3, 2)):
+            (run, raw, offsets), = divergence.runs(iter([batch]))
+            row, tagged, numbers = divergence.document_terms(run, raw, offsets, *part)
+            all_rows, all_terms = divergence.tagged_terms(run, raw, offsets, *part)
+            got = list(zip(row.tolist(), tagged.to_pylist(), strict=True))
+            assert len(set(got)) == len(got) and row.tolist() == sorted(row)
+            assert dict(zip(got, numbers.tolist(), strict=True)) == Counter(
+                zip(all_rows.tolist(), all_terms.to_pylist(), strict=True))
+
+
+def test_sums_of_a_group_are_held_over_the_batches_of_a_task(monkeypatch):
+    rows = [(f"t{'abcd'[i % 4]} t{'abcdefg'[i % 7]} ta", "en" if i % 5 else "", f"s{i % 3}") for i in range(60)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("text", "lang", "source"), r, strict=True)) for r in rows[at:at + 7]])
+               for at in range(0, 60, 7)]
+    words = pa.array([f"{g}\x00t{c}" for g in ("en", "") for c in "abcdef"], pa.large_string())
+    positions = np.arange(len(words)) * 10
+    want = Counter()
+    for text, lang, source in rows:
+        for term in text.split():
+            if f"{lang}\x00{term}" in words.to_pylist():
+                want[lang, source, 10 * words.to_pylist().index(f"{lang}\x00{term}")] += 1
+
+    def told():
+        parts = divergence.group_cells(iter(batches), positions, words)
+        return [((r["lang"], r["source"], r["pos"]), r["c"]) for b in parts for r in b.to_pylist()]
+    monkeypatch.setattr(divergence, "RUN_BYTES", 30)
+    assert sorted(told()) == sorted(want.items())  # one row for each group and term, whatever the runs
+    monkeypatch.setattr(divergence, "HELD_CELLS", 8)
+    monkeypatch.setattr(divergence, "SENT_CELLS", 3)
+    found = told()
+    total = Counter()
+    for cell, c in found:
+        total[cell] += c
+    assert len(found) > len(want) and total == want
+    assert list(divergence.group_cells(iter([]), positions, words)) == []
