@@ -34,7 +34,8 @@ RUN_BYTES = 8 << 20      # text whose terms are looked up at a time
 CACHE_BYTES = 1 << 19    # text that is cut into terms at a time
 BUCKET_ROWS = 200_000    # (source, term) counts of one task
 HELD_CELLS = 1 << 20     # sums of a group and term that a task holds before it hands them on
-SENT_CELLS = 1 << 16     # of them, handed on at a time
+SENT_CELLS = 1 << 16     # of them, put out as rows at a time
+BLOCK = 1 << 12          # slots whose sums travel together
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -104,21 +105,19 @@ def tagged_terms(batch: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, sl
 
 
 def document_terms(batch: pa.RecordBatch, raw: np.ndarray, offsets: np.ndarray, slices: int = 1, k: int = 0
-                   ) -> tuple[np.ndarray, pa.Array, np.ndarray]:
-    """Row (ascending), tagged term and number of each different term of each document: ``tagged_terms``, counted."""
-    rows, found, numbers = [np.zeros(0, np.int64)], [pa.array([], pa.large_string())], [np.zeros(0, np.int64)]
+                   ) -> tuple[np.ndarray, pa.Array]:
+    """Row (ascending) and tagged term of each different term of each document."""
+    rows, found = [np.zeros(0, np.int64)], [pa.array([], pa.large_string())]
     for at, row, words in _cut(raw, offsets, slices, k):
         if not len(words):
             continue
         told = words.dictionary_encode()
         cells = np.sort(row * len(told.dictionary) + told.indices.to_numpy())
-        heads = _runs_of(cells)
-        numbers.append(np.diff(np.append(heads, len(cells))))
-        row, code = np.divmod(cells[heads], len(told.dictionary))
+        row, code = np.divmod(cells[_runs_of(cells)], len(told.dictionary))
         rows.append(row + at)
         found.append(told.dictionary.take(pa.array(code)))
     row = np.concatenate(rows)
-    return row, _tagged(batch, row, pa.concat_arrays(found)), np.concatenate(numbers)
+    return row, _tagged(batch, row, pa.concat_arrays(found))
 
 
 def share(count: Column, total: Column, size: Column, smooth: int) -> Column:
@@ -155,7 +154,7 @@ def _fit(docs: DataFrame, min_df: int, slices: int, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, raw, offsets in runs(batches):
-            row, tagged, _ = document_terms(batch, raw, offsets, slices, k)
+            row, tagged = document_terms(batch, raw, offsets, slices, k)
             ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))])
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tagged.cast(pa.string()))],
                                              ["terms"])
@@ -169,57 +168,89 @@ def _fit(docs: DataFrame, min_df: int, slices: int, k: int) -> DataFrame:
     return spark.read.parquet(f"{path}/data").select(F.posexplode("vocabulary").alias("pos", "key")).filter(F.col("key") != TAG)
 
 
-def group_cells(batches: Iterator[pa.RecordBatch], positions: np.ndarray, words: pa.Array, slices: int = 1, k: int = 0
-                ) -> Iterator[pa.RecordBatch]:
-    """``lang, source, pos, c`` of a task's documents: their sparse vectors over a vocabulary, summed by group.
+def _packed(groups: dict[tuple[str, str], int], cells: np.ndarray, sums: np.ndarray, blocks: int) -> pa.RecordBatch:
+    """``lang, source, block, at, c``: the sums of each group's blocks of slots as bytes."""
+    heads = _runs_of(cells // BLOCK)
+    of, block = np.divmod(cells[heads] // BLOCK, blocks)
+    lang, source = (pa.array([g[i] for g in groups], pa.string()).take(pa.array(of)) for i in (0, 1))
+    ends = np.append(heads, len(cells))
+    at, c = (pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer((ends * v.itemsize).astype(np.int32)), pa.py_buffer(v)])
+             for v in ((cells % BLOCK).astype(np.uint16), sums))
+    return pa.RecordBatch.from_arrays([lang, source, pa.array(block), at, c], ["lang", "source", "block", "at", "c"])
+
+
+def group_cells(batches: Iterator[pa.RecordBatch], words: pa.Array, slices: int = 1, k: int = 0) -> Iterator[pa.RecordBatch]:
+    """A task's documents as sparse vectors over a vocabulary, summed by group.
 
     Sums are held over runs and batches and handed on once, or as often as
     more than half of HELD_CELLS remain after adding up.
     """
-
-    def sent() -> Iterator[pa.RecordBatch]:
-        lang, source = (pa.array([g[i] for g in groups], pa.string()) for i in (0, 1))
-        for at in range(0, len(cells), SENT_CELLS):
-            of, slot = np.divmod(cells[at:at + SENT_CELLS], len(positions))
-            yield pa.RecordBatch.from_arrays([
-                lang.take(pa.array(of)), source.take(pa.array(of)), pa.array(positions[slot], pa.int64()),
-                pa.array(sums[at:at + SENT_CELLS])], ["lang", "source", "pos", "c"])
-
+    blocks = -(-len(words) // BLOCK) or 1
     groups: dict[tuple[str, str], int] = {}
     nothing = np.zeros((2, 0), np.int64)
     waiting, size = [nothing], 0
     for batch, raw, offsets in runs(batches):
         # one sparse vector per document: its slots and their counts
-        row, tagged, counts = document_terms(batch, raw, offsets, slices, k)
+        row, tagged = tagged_terms(batch, raw, offsets, slices, k)
         slot = pc.index_in(tagged, words)
         known = slot.is_valid().to_numpy(zero_copy_only=False)
-        slot, row, counts = slot.drop_null().to_numpy(), row[known], counts[known]
+        entries = np.sort(row[known] * len(words) + slot.drop_null().to_numpy())
+        heads = _runs_of(entries)
+        row, slot = np.divmod(entries[heads], max(len(words), 1))
+        counts = np.diff(np.append(heads, len(entries)))
         lang, source = batch.column("lang").dictionary_encode(), batch.column("source").dictionary_encode()
         group = lang.indices.to_numpy().astype(np.int64) * len(source.dictionary) + source.indices.to_numpy()
         names, group = np.unique(group, return_inverse=True)
         pairs = zip(lang.dictionary.take(pa.array(names // len(source.dictionary))).to_pylist(),
                     source.dictionary.take(pa.array(names % len(source.dictionary))).to_pylist(), strict=True)
         own = np.array([groups.setdefault(pair, len(groups)) for pair in pairs], np.int64)
-        waiting.append(summed(own[group[row]] * len(words) + slot, counts))
+        waiting.append(summed(own[group[row]] * (blocks * BLOCK) + slot, counts))
         size += len(waiting[-1][0])
         if size > HELD_CELLS:
-            cells, sums = summed(*np.concatenate(waiting, 1))
-            waiting, size = [(cells, sums)], len(cells)
+            held = summed(*np.concatenate(waiting, 1))
+            waiting, size = [held], len(held[0])
             if size > HELD_CELLS // 2:
-                yield from sent()
+                yield _packed(groups, *held, blocks)
                 groups, waiting, size = {}, [nothing], 0
+    yield _packed(groups, *summed(*np.concatenate(waiting, 1)), blocks)
+
+
+def added_cells(batches: Iterator[pa.RecordBatch], positions: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """``lang, source, pos, c``: packed sums of several tasks, added up."""
+    keys: dict[tuple[str, str, int], int] = {}
+    waiting, size, least = [np.zeros((2, 0), np.int64)], 0, HELD_CELLS
+    for batch in batches:
+        for lang, source, block, at, c in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+            first = keys.setdefault((lang, source, block), len(keys)) * BLOCK
+            waiting.append((np.frombuffer(at, np.uint16).astype(np.int64) + first, np.frombuffer(c, np.int64)))
+            size += len(waiting[-1][0])
+            if size > least:
+                waiting = [summed(*np.concatenate(waiting, 1))]
+                size = len(waiting[0][0])
+                least = max(HELD_CELLS, 2 * size)
     cells, sums = summed(*np.concatenate(waiting, 1))
-    yield from sent()
+    lang, source = (pa.array([key[i] for key in keys], pa.string()) for i in (0, 1))
+    block = np.array([key[2] for key in keys], np.int64)
+    for begin in range(0, len(cells), SENT_CELLS):
+        of, at = np.divmod(cells[begin:begin + SENT_CELLS], BLOCK)
+        yield pa.RecordBatch.from_arrays([
+            lang.take(pa.array(of)), source.take(pa.array(of)), pa.array(positions[block[of] * BLOCK + at], pa.int64()),
+            pa.array(sums[begin:begin + SENT_CELLS])], ["lang", "source", "pos", "c"])
 
 
 def _group_sums(docs: DataFrame, vocabulary: DataFrame, slices: int, k: int) -> DataFrame:
-    """``lang, source, pos, c``: the documents' sparse vectors over a vocabulary, summed by group."""
-    spark = docs.sparkSession
+    """``lang, source, pos, c``: the documents' sparse vectors over a vocabulary, summed by group.
+
+    A task's sums travel as one row for a group and block of slots.
+    """
+    context = docs.sparkSession.sparkContext
     told = vocabulary.toArrow()
-    keys = spark.sparkContext.broadcast((told.column("pos").to_numpy(), told.column("key").combine_chunks().cast(pa.large_string())))
-    return docs.mapInArrow(lambda batches: group_cells(batches, *keys.value, slices, k),
-                           "lang string, source string, pos long, c long").groupBy("lang", "source", "pos").agg(
-        F.sum("c").alias("c"))
+    words = context.broadcast(told.column("key").combine_chunks().cast(pa.large_string()))
+    positions = context.broadcast(told.column("pos").to_numpy())
+    return docs.mapInArrow(lambda batches: group_cells(batches, words.value, slices, k),
+                           "lang string, source string, block long, at binary, c binary") \
+        .repartition("lang", "source", "block") \
+        .mapInArrow(lambda batches: added_cells(batches, positions.value), "lang string, source string, pos long, c long")
 
 
 def group_counts(docs: DataFrame, min_df: int = 30, most_slots: int = MOST_SLOTS) -> tuple[DataFrame, DataFrame]:
